@@ -349,7 +349,7 @@ def _hashed_matches(suffixes: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, k: int = K, hot: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """id and ranges (start, end in bytes; may overlap) of all documents with something to remove."""
+    """id and ranges (packed starts and ends in bytes, maximal runs) of all documents with something to remove."""
     marked = durable(_equal_stretches(_scan(df, text, doc_id, length, k), length))
     wanted = marked.where("end < 0").select("id", "start")
     suffixes = durable(_suffixes(df, text, doc_id, wanted, length, k, broadcast_rows))
@@ -360,7 +360,19 @@ def repeated_ranges(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     else:
         found = found.union(_bucket_matches(suffixes.join(frequent, "lead", "left_anti"), length, k))
         found = found.union(_hashed_matches(suffixes.join(frequent, "lead", "left_semi"), length))
-    return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).mapInArrow(_merged, "id long, ranges binary")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal runs of each document's ranges, packed as pairs of 32-bit integers."""
+    for batch in batches:
+        lists = batch.column("ranges")
+        flat = lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        start, end, owner = _union(flat.field("start").to_numpy().astype(np.int64), flat.field("end").to_numpy().astype(np.int64), owner)
+        packed = np.stack([start, end], axis=1).astype("<i4")
+        cuts = np.searchsorted(owner, np.arange(len(lists) + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["id", "ranges"])
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, keep: tuple[str, ...] = ("doc_id",), broadcast_rows: int = 200_000, hot: int = 20_000) -> DataFrame:
@@ -377,12 +389,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             sizes, spans, left = [], [], []
             for whole, found in zip(part.column("__text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                 whole = (whole or "").encode()
-                runs: list[list[int]] = []
-                for start, end in sorted((r["start"], r["end"]) for r in found or ()):
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], end)
-                    else:
-                        runs.append([start, end])
+                runs = np.frombuffer(found or b"", "<i4").reshape(-1, 2).tolist()
                 at, pieces = 0, []
                 for start, end in runs:
                     pieces.append(whole[at:start])
