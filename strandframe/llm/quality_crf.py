@@ -179,6 +179,11 @@ def train_line_chain(labelled: DataFrame, text: str = "text", label: str = "qual
     return LineChain(weights, change, empty_score)
 
 
+def sample_labels(labels: DataFrame, doc_id: str = "doc_id", max_documents: int = 4000) -> DataFrame:
+    """All labels, or the max_documents of least hash of their id where there are more; so joining them to texts moves no text."""
+    return labels.where(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(max_documents)
+
+
 def score_documents(data: np.ndarray, offsets: np.ndarray, model: LineChain) -> np.ndarray:
     n = len(offsets) - 1
     lines = extract(data, offsets)

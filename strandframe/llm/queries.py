@@ -65,8 +65,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_chain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels").where(_split("doc_id", 5) != 0).select("doc_id", "quality")
-    model = quality_crf.train_line_chain(documents.select("doc_id", "text").join(labels, "doc_id"))
+    labels = quality_crf.sample_labels(read_table(spark, sf_dir, "labels").where(_split("doc_id", 5) != 0)).select("doc_id", "quality")
+    model = quality_crf.train_line_chain(documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
     scored = quality_crf.score_quality(documents, model)
     return scored.select("doc_id", (_split("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
