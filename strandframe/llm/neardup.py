@@ -8,10 +8,13 @@ levels. Nodes of at most `leaf` sets are compared exhaustively; larger ones bran
 until a pair at the threshold meets with probability `recall`.
 
 Comparing uses a 64-token sketch; what may be similar is then confirmed on the full sets:
-- round 1 confirms a spanning forest of the likely pairs of each node (in a node that stays large because its sets are alike,
-  each set against the node's least one), which links nearly all of a group of copies without making all its pairs;
-- round 2 confirms every likely pair of a node whose two sets round 1 left in different components.
-So no link between components is lost, and no group is expanded into all pairs.
+- round 1 confirms a spanning forest of the likely pairs of each node of the first trees (in a node that stays large because its
+  sets are alike, each set against the node's least one), which links nearly all of a group of copies without making its pairs;
+- round 2 confirms, in the nodes of all trees, a spanning forest of likely pairs between the components that round 1 left apart;
+- the likely pairs of both rounds join sets to clusters, so every likely pair lies inside one. Round 3 takes the clusters that
+  still have several components: all their sets are dealt into blocks, those outside the main component visit every block, and an
+  index of a block's shingles gives the exact overlaps. Only confirmed links leave a block.
+So no link between components is lost, and no group is expanded into pairs.
 
 A row with a null id or no shingles is linked with nothing. Rows that share an id count as one document.
 """
@@ -36,6 +39,9 @@ _ADD = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 
 _PAIRS = np.uint64(0x5555555555555555)
 _KEY = np.uint64(0x9FB21C651E98DF25)
+#: The lowest bit of a node tells whether it is of one of the trees of round 1.
+_EARLY = np.uint64(1)
+EARLY_TREES = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +112,8 @@ def _branch(node: np.ndarray, signature: np.ndarray, two: float) -> tuple[np.nda
     more = (h >> np.uint64(32)).astype(np.float64) < two * 2.0**32
 
     def child(row: np.ndarray, token: np.ndarray) -> np.ndarray:
-        return mix64((node[row] ^ (token.astype(np.uint64) << np.uint64(20))) * _KEY + signature[row, token])
+        value = mix64((node[row] ^ (token.astype(np.uint64) << np.uint64(20))) * _KEY + signature[row, token])
+        return value & ~_EARLY | node[row] & _EARLY
 
     extra = rows[more]
     return np.concatenate([rows, extra]), np.concatenate([child(rows, first), child(extra, second[more])])
@@ -126,7 +133,9 @@ def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list
                 bits = (signature >> 14).astype(np.uint64)
                 sketch = [np.bitwise_or.reduce(bits[:, h : h + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1) for h in (0, 32)]
                 row = np.tile(np.arange(len(ids)), trees)
-                node = np.repeat(mix64(np.arange(1, trees + 1, dtype=np.uint64) * _KEY), len(ids))
+                roots = mix64(np.arange(1, trees + 1, dtype=np.uint64) * _KEY) & ~_EARLY
+                roots[:EARLY_TREES] |= _EARLY
+                node = np.repeat(roots, len(ids))
                 for _ in range(levels):
                     at, node = _branch(node, signature[row], two)
                     row = row[at]
@@ -237,23 +246,93 @@ def _compare_leaves(rows: DataFrame, least: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, id long, s0 long, s1 long, other long")
 
 
-def _cross_pairs(members: DataFrame, least: int) -> DataFrame:
-    """a, b: likely pairs of a group (node, block) of different components, one of them a straggler."""
+def _forest_pairs(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """a, b: likely pairs that join components of one node, as a spanning forest. In a large node the sets of its main component
+    (that of its least set) are dealt into blocks, and the others visit every block."""
+    known = members.select("node", "id", "s0", "s1").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    per_node = known.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    mixed = known.join(per_node, "node")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / 512)).cast("int")
+    target = F.when(F.col("component") == F.col("low"), F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    spread = mixed.select("node", "id", "s0", "s1", "component", F.explode(target).alias("block"))
+    placed = spread.select(F.xxhash64("node", "block").alias("place"), "id", "s0", "s1", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, t in _groups(batches, "place", ["place", "id", "s0", "s1", "component"]):
-            left, right, _ = _likely_pairs(starts, t, least)
+            left, right, score = _likely_pairs(starts, t, least)
             apart = t["component"][left] != t["component"][right]
-            a, b = t["id"][left[apart]], t["id"][right[apart]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            left, right, score = left[apart], right[apart], score[apart]
+            if not len(left):
+                continue
+            _, kind = np.unique(t["component"], return_inverse=True)
+            place = np.searchsorted(starts, np.arange(len(kind)), side="right")
+            _, kind = np.unique(place * (kind.max() + 1) + kind, return_inverse=True)
+            used = _forest(int(kind.max()) + 1, kind[left], kind[right], score)
+            a, b = t["id"][left[used]], t["id"][right[used]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return placed.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long").distinct()
+
+
+class _Block:
+    """The sets of one block, and an index from shingle to set."""
+
+    def __init__(self):
+        self.ids, self.components, self.sets, self.ready = [], [], [], False
+
+    def add(self, i: int, component: int, values: np.ndarray) -> None:
+        self.ids.append(i), self.components.append(component), self.sets.append(values)
+
+    def links(self, i: int, component: int, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """A confirmed link from this set to each other component that has one in the block."""
+        if not self.ready:
+            self.sizes = np.array([len(s) for s in self.sets])
+            every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
+            order = np.argsort(every, kind="stable")
+            self.values, self.owner = every[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+            self.of, self.who, self.ready = np.array(self.components, np.int64), np.array(self.ids, np.int64), True
+        low, high = np.searchsorted(self.values, values, "left"), np.searchsorted(self.values, values, "right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        linked = np.flatnonzero((100 * shared >= percent * (len(values) + self.sizes - shared)) & (shared > 0) & (self.of != component))
+        _, first = np.unique(self.of[linked], return_index=True)
+        return [(i, int(x)) for x in self.who[linked[first]]]
+
+
+def _block_links(df: DataFrame, text: str, doc_id: str, words: int, clustered: DataFrame, percent: int, block: int) -> DataFrame:
+    """Confirmed links a, b between components of one cluster. clustered: id, cluster, component."""
+    sizes = clustered.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = clustered.join(main.select("cluster", "n", F.col("m.component").alias("main")), "cluster")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    visits = F.when(F.col("component") == F.col("main"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), blocks - 1))
+    home = F.struct(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("visitor"))
+    guests = F.transform(visits, lambda b: F.struct(b.alias("block"), F.lit(1).alias("visitor")))
+    roles = durable(mixed.select("id", "cluster", "component", F.concat(F.array(home), guests).alias("roles")))
+    sets = _shingle_sets(df, text, doc_id, words, roles.select("id").distinct())
+    rows = roles.join(sets, "id").select("id", "cluster", "component", "shingles", F.explode("roles").alias("r"))
+    rows = rows.select(F.xxhash64("cluster", "r.block").alias("place"), "r.visitor", "id", "component", "shingles")
 
-    return members.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, _Block()
+        for batch in batches:
+            a: list[tuple[int, int]] = []
+            for place, visitor, i, component, values in zip(*(batch.column(c) for c in ("place", "visitor", "id", "component", "shingles")), strict=True):
+                if place != now:
+                    now, held = place, _Block()
+                own = np.frombuffer(values.as_buffer(), np.uint64)
+                if visitor.as_py():
+                    a += held.links(i.as_py(), component.as_py(), own, percent)
+                else:
+                    held.add(i.as_py(), component.as_py(), own)
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in a], pa.int64()), pa.array([max(p) for p in a], pa.int64())], ["a", "b"])
 
+    return rows.repartition("place").sortWithinPartitions("place", "visitor").mapInArrow(run, "a long, b long").distinct()
 
-def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+def _shingle_sets(df: DataFrame, text: str, doc_id: str, words: int, ids: DataFrame) -> DataFrame:
+    """id and shingles (sorted hashes of the whole set, packed) of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_steps(batches, "__text"):
@@ -262,7 +341,13 @@ def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     wanted = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("__text")).join(ids, "id", "left_semi")
-    sets = wanted.mapInArrow(run, "id long, shingles binary")
+    return wanted.mapInArrow(run, "id long, shingles binary")
+
+
+def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _shingle_sets(df, text, doc_id, words, ids)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +362,7 @@ def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, extra_levels: int = 3, max_split: int = 2_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, extra_levels: int = 3, max_split: int = 2_000_000, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id linked, directly or not) and kept (the document is its component's least) of each row.
 
     max_split bounds the nodes that branch again in one level, as their list is broadcast; the largest go first, and what is left
@@ -311,14 +396,18 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     if len(dense):
         members = members.union(_against_least(_in_nodes(rows, dense, True), least))
     members = durable(members)
-    pairs = members.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
-    links = durable(_confirm(df, text, doc_id, words, durable(pairs), percent))
-    found = connected_components(links)
-
-    more = _second_round(members, found, least, leaf).join(pairs, ["a", "b"], "left_anti")
-    more = durable(more)
+    pairs = members.where("other IS NOT NULL AND node % 2 <> 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    tried = durable(pairs.where("a <> b").distinct())
+    found = connected_components(_confirm(df, text, doc_id, words, tried, percent))
+    more = durable(_forest_pairs(members, found, least).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = connected_components(links.union(_confirm(df, text, doc_id, words, more, percent)))
+        stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = connected_components(stars(found).union(_confirm(df, text, doc_id, words, more, percent)))
+        clusters = connected_components(stars(found).union(tried).union(more)).withColumnRenamed("component", "cluster")
+        clustered = clusters.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        late = durable(_block_links(df, text, doc_id, words, durable(clustered), percent, block))
+        if not late.isEmpty():
+            found = connected_components(stars(found).union(late))
     of_set = sets.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
     out = described.join(of_set, "set_key", "left").select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
@@ -351,16 +440,3 @@ def _against_least(rows: DataFrame, least: int) -> DataFrame:
     joined = rows.join(first, "node")
     likely = (TOKENS - agree("s0", "m.s0") - agree("s1", "m.s1") >= least) & (F.col("id") != F.col("m.id"))
     return joined.select("node", "id", "s0", "s1", F.when(likely, F.col("m.id")).alias("other"))
-
-
-def _second_round(members: DataFrame, found: DataFrame, least: int, leaf: int) -> DataFrame:
-    """Likely pairs that round 1 left in different components. Stragglers (all outside the node's largest-numbered share, the
-    component of its least set) meet every block of their node's members."""
-    known = members.select("node", "id", "s0", "s1").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per_node = known.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = known.join(per_node, "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / leaf)).cast("int")
-    # A straggler goes to all blocks of its node, a member of the main component to one.
-    target = F.when(F.col("component") == F.col("low"), F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    spread = mixed.select("node", "id", "s0", "s1", "component", F.explode(target).alias("block"))
-    return _cross_pairs(spread.select(F.xxhash64("node", "block").alias("place"), "id", "s0", "s1", "component"), least)
