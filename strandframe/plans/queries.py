@@ -236,9 +236,9 @@ def item_vs_doc_counts(spark, d):
     return out.select(F.col("m_items").alias("matching_items"), F.col("m_documents").alias("matching_documents"))
 
 
-@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS position, round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings")
+@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS position, round(unnest(embedding)::DOUBLE, 5) + 0.0::DOUBLE AS value FROM embeddings")
 def explode_array(spark, d):
-    return nested.explode_array(table(spark, d, "embeddings"), "embedding", ["vec_id"]).select("vec_id", "position", F.round(F.col("value").cast("double"), 5).alias("value"))
+    return nested.explode_array(table(spark, d, "embeddings"), "embedding", ["vec_id"]).select("vec_id", "position", (F.round(F.col("value").cast("double"), 5) + F.lit(0.0)).alias("value"))
 
 
 @query("SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations WHERE role = 'user' GROUP BY 1")
