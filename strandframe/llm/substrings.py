@@ -304,6 +304,8 @@ def _bucket_matches(suffixes: DataFrame, length: int, k: int) -> DataFrame:
             left, nl = _matrix(column["left"], length - k)
             ids, at = column["id"].to_numpy(), column["at"].to_numpy()
             order = np.lexsort((at, ids, lead))
+            again = (lead[order][1:] == lead[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (at[order][1:] == at[order][:-1])
+            order = order[np.append(True, ~again)]  # repeated rows give one place twice
             lead, right, left, nr, nl, ids, at = (v[order] for v in (lead, right, left, nr, nl, ids, at))
             cuts = np.append(np.concatenate([[0], np.flatnonzero(lead[1:] != lead[:-1]) + 1]), len(lead))
             back, ahead = np.full(len(lead), -1), np.full(len(lead), -1)
