@@ -174,7 +174,12 @@ def train_line_chain(labelled: DataFrame, text: str = "text", label: str = "qual
     )
     if rows.num_rows == 0:
         return LineChain(np.zeros(N_FEATURES), np.zeros((2, 2)), empty_score)
-    lines = extract(*utf8(rows.column("t").combine_chunks()))
+    parts, before = [], 0
+    for part in in_steps(iter(rows.to_batches()), "t"):
+        own = extract(*utf8(part.column("t")))
+        parts.append(Lines(own.features.astype(np.int32), own.length, own.owner + before))
+        before += part.num_rows
+    lines = Lines(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("features", "length", "owner")))
     weights, change = fit(lines, rows.column("y").to_numpy())
     return LineChain(weights, change, empty_score)
 
