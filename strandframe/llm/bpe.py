@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,17 +139,13 @@ class Encoder:
         return b"".join([memo(piece) or packed(piece) for piece in self.split(text)])
 
 
-def _broadcast(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> Shared:
-    return Shared(spark, Vocabulary.build(ranks, pattern))
-
-
 def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "token_ids") -> DataFrame:
     """The columns of `keep` and `out`: the ids of the whole text as little-endian unsigned 32-bit integers in one binary value.
 
     The vocabulary is sent to all executors; its size is fixed by the tokenizer and does not grow with the data.
     `unpack_ids` makes an array of `out`. Null and empty text give an empty value; repeated rows stay repeated.
     """
-    shared = _broadcast(df.sparkSession, ranks, pattern)
+    shared = Shared(df.sparkSession, Vocabulary.build(ranks, pattern))
     source = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField(out, T.BinaryType(), False)])
 
@@ -165,14 +161,14 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     return source.mapInArrow(run, schema)
 
 
-def bpe_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded") -> DataFrame:
+def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded") -> DataFrame:
     """The columns of `keep` and `out`: the bytes that packed ids stand for. Null ids give empty bytes; an unknown id raises."""
-    shared = _broadcast(df.sparkSession, ranks, pattern)
+    shared = Shared(df.sparkSession, {i: token for token, i in ranks.items()})
     source = df.select(*keep, F.col(ids).alias("__ids"))
     schema = T.StructType([*(f for f in source.schema if f.name != "__ids"), T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_of = shared.once(lambda v: dict(zip(v.ids, v.slots, strict=True))).__getitem__
+        token_of = shared.once().__getitem__
         for batch in batches:
             whole = batch.column("__ids")
             for start in range(0, batch.num_rows, 512):

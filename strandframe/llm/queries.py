@@ -18,7 +18,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.bpe_encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.bpe_decode(encoded, ranks, public_tokenizers.PATTERN, keep=("doc_id", "token_ids"))
+    decoded = bpe.bpe_decode(encoded, ranks, keep=("doc_id", "token_ids"))
     return decoded.select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
