@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import Shared
 
 #: Most pre-tokens whose ids one worker remembers, and the longest of them in characters.
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 450_000, 64
 
 
 @dataclass
