@@ -119,9 +119,12 @@ def _branch(node: np.ndarray, signature: np.ndarray, two: float) -> tuple[np.nda
     return np.concatenate([rows, extra]), np.concatenate([child(rows, first), child(extra, second[more])])
 
 
-def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list[Shared], only_deepest: bool) -> DataFrame:
+def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list[Shared], only_deepest: bool, among: tuple[np.ndarray, bool] | None = None) -> DataFrame:
     """node, id and sketch of every set in every node that it ends in. split[i]: sorted nodes that branch again after level
-    `levels` + i. only_deepest: just the nodes that the last of these made, or all if there is none."""
+    `levels` + i. only_deepest: just the nodes that the last of these made, or all if there is none. among: sorted nodes, and whether only these or only others are wanted."""
+    among_given = among is not None and len(among[0]) > 0
+    inside = among is not None and among[1]
+    chosen = Shared(sets.sparkSession, among[0]) if among_given else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = [s.broadcast.value for s in split]
@@ -149,6 +152,10 @@ def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list
                     row = row[at]
                 if not only_deepest:
                     row, node = (np.concatenate([*(d[i] for d in done), x]) for i, x in enumerate((row, node)))
+                if among_given:
+                    nodes = chosen.broadcast.value
+                    hit = nodes[np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)] == node
+                    row, node = row[hit == inside], node[hit == inside]
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(sketch[0][row].view(np.int64)), pa.array(sketch[1][row].view(np.int64))], ["node", "id", "s0", "s1"])
 
@@ -390,11 +397,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
             dense = nodes
             break
         split.append(Shared(df.sparkSession, nodes))
-    rows = _leaf_rows(sets, trees, levels, two, split, only_deepest=False)
-
-    members = _compare_leaves(_in_nodes(rows, dense, False), least)
+    members = _compare_leaves(_leaf_rows(sets, trees, levels, two, split, False, (dense, False)), least)
     if len(dense):
-        members = members.union(_against_least(_in_nodes(rows, dense, True), least))
+        members = members.union(_against_least(_leaf_rows(sets, trees, levels, two, split, False, (dense, True)), least))
     members = durable(members)
     pairs = members.where("other IS NOT NULL AND node % 2 <> 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     tried = durable(pairs.where("a <> b").distinct())
@@ -413,22 +418,6 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 
 
-def _in_nodes(rows: DataFrame, nodes: np.ndarray, inside: bool) -> DataFrame:
-    """Rows whose node is among the sorted nodes, or not. Filtered where the rows are made."""
-    if not len(nodes):
-        return rows
-    shared = Shared(rows.sparkSession, nodes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.broadcast.value
-        for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-            hit = wanted[np.minimum(np.searchsorted(wanted, node), len(wanted) - 1)] == node
-            yield batch.filter(pa.array(hit == inside))
-
-    return rows.mapInArrow(run, "node long, id long, s0 long, s1 long")
-
-
 def _against_least(rows: DataFrame, least: int) -> DataFrame:
     """Rows of large nodes as members, each with the node's least set as its partner where that is likely."""
     first = rows.groupBy("node").agg(F.min(F.struct("id", "s0", "s1")).alias("m"))
