@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared
+from .common import Shared, tidy
 
 #: Most pre-tokens whose ids one worker remembers, and the longest of them in characters.
 MEMO_ENTRIES, MEMO_CHARS = 450_000, 64
@@ -158,7 +158,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
                 packed = pa.array([encoder.encode(x) if x else b"" for x in part.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, 512) for c in keep), packed], [*keep, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded") -> DataFrame:
@@ -176,7 +176,7 @@ def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", k
                 texts = pa.array([b"".join(map(token_of, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, 512) for c in keep), texts], [*keep, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def unpack_ids(packed: str):

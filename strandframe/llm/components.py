@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = durable(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"))
     groups = -(-now.count() // local_edges)
     if groups:
-        now = durable(now.coalesce(groups).mapInArrow(_contract, "u long, v long"))
+        now = durable(now.coalesce(groups).mapInArrow(tidy(_contract), "u long, v long"))
     if groups > 1:
         mark = None
         for _ in range(max_rounds):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared
+from .common import Shared, tidy
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,7 +109,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
             new = [pa.array(np.array(n_words, np.int64)), pa.array(np.array(n_hit, np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(places, span_type)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "n_words", "n_hit", "items", "spans"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def contaminated(percent: int = 5):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, in_steps
+from .common import Shared, in_steps, tidy
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
@@ -79,7 +79,7 @@ def train_language_model(df: DataFrame, text: str = "text", label: str = "lang",
             at, n = np.concatenate([[-1], used]), np.concatenate([[rows[one]], total[used]])
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["label", "bucket", "n"])
 
-    sums = source.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    sums = source.mapInArrow(tidy(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     table = sums.toArrow()  # at most max_languages x (buckets + 1) rows, whatever the input
     labels = table.column("label").to_pylist()
     languages = sorted(set(labels))
@@ -127,4 +127,4 @@ def identify_language(df: DataFrame, model: LanguageModel, text: str = "text", k
                 labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, label_out, score_out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

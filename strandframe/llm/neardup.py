@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Shared, SpanHasher, combine, durable, in_steps, mix64, utf8, word_spans
+from .common import LOWER, Shared, SpanHasher, combine, durable, in_steps, mix64, tidy, utf8, word_spans
 from .components import connected_components
 
 TOKENS = 64
@@ -90,7 +90,7 @@ def _describe(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
                     keys[i], marks[i] = two[row].tobytes(), signs[row].tobytes()
             yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], ["id", "n_shingles", "set_key", "signature"])
 
-    return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "id long, n_shingles long, set_key binary, signature binary")
+    return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(tidy(run), "id long, n_shingles long, set_key binary, signature binary")
 
 
 def stay_together(similarity: float, levels: int) -> float:
@@ -159,7 +159,7 @@ def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(sketch[0][row].view(np.int64)), pa.array(sketch[1][row].view(np.int64))], ["node", "id", "s0", "s1"])
 
-    return sets.select("id", "signature").mapInArrow(run, "node long, id long, s0 long, s1 long")
+    return sets.select("id", "signature").mapInArrow(tidy(run), "node long, id long, s0 long, s1 long")
 
 
 def _agreeing(a0, a1, b0, b1) -> np.ndarray:
@@ -250,7 +250,7 @@ def _compare_leaves(rows: DataFrame, least: int) -> DataFrame:
             other = pa.array(np.concatenate([t["id"][edge_to], np.zeros(len(lone), np.int64)]), pa.int64(), mask=np.arange(len(at)) >= len(edge_from))
             yield pa.RecordBatch.from_arrays([*(pa.array(t[c][at], pa.int64()) for c in ("node", "id", "s0", "s1")), other], ["node", "id", "s0", "s1", "other"])
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, id long, s0 long, s1 long, other long")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(run), "node long, id long, s0 long, s1 long, other long")
 
 
 def _forest_pairs(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -278,7 +278,7 @@ def _forest_pairs(members: DataFrame, found: DataFrame, least: int) -> DataFrame
             a, b = t["id"][left[used]], t["id"][right[used]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return placed.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long").distinct()
+    return placed.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 class _Block:
@@ -335,7 +335,7 @@ def _block_links(df: DataFrame, text: str, doc_id: str, words: int, clustered: D
                     held.add(i.as_py(), component.as_py(), own)
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in a], pa.int64()), pa.array([max(p) for p in a], pa.int64())], ["a", "b"])
 
-    return rows.repartition("place").sortWithinPartitions("place", "visitor").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("place").sortWithinPartitions("place", "visitor").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _shingle_sets(df: DataFrame, text: str, doc_id: str, words: int, ids: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def _shingle_sets(df: DataFrame, text: str, doc_id: str, words: int, ids: DataFr
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     wanted = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("__text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, shingles binary")
+    return wanted.mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame, percent: int) -> DataFrame:
@@ -366,7 +366,7 @@ def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, extra_levels: int = 3, max_split: int = 2_000_000, block: int = 2048) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, durable
+from .common import Shared, durable, tidy
 
 #: Kinds in the order in which spans are listed; the last two come from the corpus statistics.
 KINDS = ("email", "ip", "card", "phone", "disclosing", "revealing")
@@ -127,7 +127,7 @@ def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
                             entities.append(entity), terms.append(term), contexts.append(context)
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], ["entity", "term", "context"])
 
-    return df.select(text).mapInArrow(run, "entity long, term string, context long")
+    return df.select(text).mapInArrow(tidy(run), "entity long, term string, context long")
 
 
 def _terms_of(text: str) -> set[str]:
@@ -147,7 +147,7 @@ def _document_counts(df: DataFrame, terms: DataFrame, text: str, broadcast: bool
                         counts[term] = counts.get(term, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-        return df.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+        return df.select(text).mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,7 @@ def _document_counts(df: DataFrame, terms: DataFrame, text: str, broadcast: bool
                     counts[term] = counts.get(term, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    summed = df.select(text).mapInArrow(words, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    summed = df.select(text).mapInArrow(tidy(words), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return summed.join(terms, "term", "left_semi")
 
 
@@ -232,7 +232,7 @@ def sanitize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in spans]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, span_type), pa.array(new, pa.string())], [*keep, "spans", "sanitized"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def _with_terms(source: DataFrame, terms: DataFrame) -> DataFrame:
@@ -245,6 +245,6 @@ def _with_terms(source: DataFrame, terms: DataFrame) -> DataFrame:
                 own = list(_terms_of(value.as_py() or ""))
                 yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(own), pa.int64()), pa.array(own, pa.string())], ["__row", "term"])
 
-    held = staged.select("__row", "__text").mapInArrow(words, "__row long, term string").join(terms, "term")
+    held = staged.select("__row", "__text").mapInArrow(tidy(words), "__row long, term string").join(terms, "term")
     pair = F.struct("term", F.when(F.col("action") == "remove", 4).otherwise(5).alias("kind"))
     return staged.join(held.groupBy("__row").agg(F.map_from_entries(F.collect_list(pair)).alias("__terms")), "__row", "left")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, SpanHasher, in_steps, line_spans, mix64, utf8, word_spans
+from .common import Shared, SpanHasher, in_steps, line_spans, mix64, tidy, utf8, word_spans
 
 BINS = 8
 #: Upper bounds of the bins of each measure.
@@ -209,4 +209,4 @@ def score_quality(df: DataFrame, model: LineChain, text: str = "text", keep: tup
             score = np.clip(score_documents(*utf8(part.column("__text")), shared.once()), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score)], [*keep, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, combine, in_steps, line_spans, mix64, utf8, word_spans
+from .common import SpanHasher, combine, in_steps, line_spans, mix64, tidy, utf8, word_spans
 
 
 @dataclass(frozen=True)
@@ -112,4 +112,4 @@ def repetition_quality(df: DataFrame, rules: RepetitionRules = RepetitionRules()
     fine = ~failed & (F.col("dup_line_share") <= rules.line_share)
     for k in lengths:
         fine &= F.col(f"ngram_share_{k}") <= rules.ngram_share[k]
-    return source.mapInArrow(run, schema).withColumns({"base_failed": failed, "kept": fine})
+    return source.mapInArrow(tidy(run), schema).withColumns({"base_failed": failed, "kept": fine})

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from pyspark.taskcontext import TaskContext
 
-from .common import durable
+from .common import durable, tidy
 
 #: Rows that one bucket of the second permutation should hold, about.
 BUCKET_ROWS = 200_000
@@ -78,7 +78,7 @@ def _numbered(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], names)
             at += n
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _uniform(seed: int, *columns: str):

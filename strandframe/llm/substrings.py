@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, durable, in_steps, mix64, utf8
+from .common import SpanHasher, durable, in_steps, mix64, tidy, utf8
 
 K = 32
 _PLACE_BITS = 28
@@ -128,7 +128,7 @@ def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, batch_rows
         if held and any(len(x["at"]) for x in held):
             yield settle({c: np.concatenate([x[c] for x in held]) for c in names})
 
-    return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(run, _SCAN)
+    return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(tidy(run), _SCAN)
 
 
 def _equal_stretches(scanned: DataFrame, length: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _equal_stretches(scanned: DataFrame, length: int) -> DataFrame:
             yield emit(np.array([waiting[1]]), np.array([waiting[2]]), np.array([-1]))
 
     ordered = scanned.repartition("gram").sortWithinPartitions("gram", "stretch", "id", "at")
-    return ordered.mapInArrow(run, "id long, start int, end int")
+    return ordered.mapInArrow(tidy(run), "id long, start int, end int")
 
 
 def _suffixes(df: DataFrame, text: str, doc_id: str, wanted: DataFrame, length: int, k: int, broadcast_rows: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _suffixes(df: DataFrame, text: str, doc_id: str, wanted: DataFrame, length:
                     left.append(whole[max(0, a - length + k) : a][::-1])
             yield pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], ["lead", "id", "at", "right", "left"])
 
-    return joined.select("__id", "__text", "places").mapInArrow(run, "lead binary, id long, at int, right binary, left binary")
+    return joined.select("__id", "__text", "places").mapInArrow(tidy(run), "lead binary, id long, at int, right binary, left binary")
 
 
 def _meet(df: DataFrame, text: str, doc_id: str, per_document: DataFrame, broadcast_rows: int, how: str) -> DataFrame:
@@ -321,7 +321,7 @@ def _bucket_matches(suffixes: DataFrame, length: int, k: int) -> DataFrame:
             hit = back >= 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array((at - back)[hit], pa.int32()), pa.array((at + ahead)[hit], pa.int32())], ["id", "start", "end"])
 
-    return suffixes.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(run, "id long, start int, end int")
+    return suffixes.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(tidy(run), "id long, start int, end int")
 
 
 def _hashed_matches(suffixes: DataFrame, length: int) -> DataFrame:
@@ -344,7 +344,7 @@ def _hashed_matches(suffixes: DataFrame, length: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(at), pa.int32())], ["key", "id", "at"])
 
-    windows = suffixes.mapInArrow(run, "key long, id long, at int").distinct()
+    windows = suffixes.mapInArrow(tidy(run), "key long, id long, at int").distinct()
     first = windows.groupBy("key").agg(F.min(F.struct("id", "at")).alias("m"))
     again = windows.join(first, "key").where((F.col("id") != F.col("m.id")) | (F.col("at") != F.col("m.at")))
     return again.select("id", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
@@ -362,7 +362,7 @@ def repeated_ranges(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     else:
         found = found.union(_bucket_matches(suffixes.join(frequent, "lead", "left_anti"), length, k))
         found = found.union(_hashed_matches(suffixes.join(frequent, "lead", "left_semi"), length))
-    return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).mapInArrow(_merged, "id long, ranges binary")
+    return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).mapInArrow(tidy(_merged), "id long, ranges binary")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,4 +399,4 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 sizes.append(len(whole)), left.append(b"".join([*pieces, whole[at:]])), spans.append([{"start": a, "end": min(b, len(whole))} for a, b in runs if a < len(whole)])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(left, pa.binary())], [*keep, "n_bytes", "spans", "kept_bytes"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
