@@ -196,8 +196,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> It
             yield cut(table)
 
 
-def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, agreeing tokens) of the pairs inside groups whose sketches agree on `least` tokens or more."""
+def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int, apart: str = "id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, agreeing tokens) of the pairs inside groups that differ in `apart` and whose sketches agree on `least` tokens or more."""
     n = len(t["id"])
     a0, a1 = t["s0"].view(np.uint64), t["s1"].view(np.uint64)
     end_of = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
@@ -208,7 +208,7 @@ def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int) -> t
         if not len(rows):
             break
         agree = _agreeing(a0[rows], a1[rows], a0[rows + step], a1[rows + step])
-        good = (agree >= least) & (t["id"][rows] != t["id"][rows + step])
+        good = (agree >= least) & (t[apart][rows] != t[apart][rows + step])
         left.append(rows[good]), right.append(rows[good] + step), score.append(agree[good])
         step += 1
     if not left:
@@ -216,6 +216,41 @@ def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int) -> t
     return np.concatenate(left), np.concatenate(right), np.concatenate(score)
 
 
+def _kinds(starts: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Small numbers for the components, apart for each group."""
+    _, kind = np.unique(component, return_inverse=True)
+    group = np.searchsorted(starts, np.arange(len(kind)), side="right")
+    return np.unique(group * (kind.max() + 1) + kind, return_inverse=True)[1]
+
+
+def _pairs_apart(starts: np.ndarray, t: dict[str, np.ndarray], least: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs between components inside groups. Where a group has visitors, only they are compared, with the sets at home,
+    a few at a time, and of the pairs of two components the best stays."""
+    stops = np.append(starts[1:], len(t["id"]))
+    visited = np.logical_or.reduceat(t["visitor"], starts)
+    plain = np.repeat(~visited, stops - starts)
+    rows = np.flatnonzero(plain)
+    sizes = (stops - starts)[~visited]
+    left, right, score = _likely_pairs(np.cumsum(sizes) - sizes, {c: v[rows] for c, v in t.items()}, least, "component")
+    parts = [(rows[left], rows[right], score)]
+    a0, a1 = t["s0"].view(np.uint64), t["s1"].view(np.uint64)
+    for g in np.flatnonzero(visited):
+        own = np.arange(starts[g], stops[g])
+        at_home = own[~t["visitor"][own]]
+        guests = own[t["visitor"][own]]
+        for some in (guests[i : i + step, None] for i in range(0, len(guests), step)):
+            agree = _agreeing(a0[some], a1[some], a0[at_home], a1[at_home])
+            i, j = np.nonzero((agree >= least) & (t["component"][some] != t["component"][at_home]))
+            if not len(i):
+                continue
+            x, y, s = some[i, 0], at_home[j], agree[i, j]
+            order = np.lexsort((-s, t["component"][y], t["component"][x]))
+            x, y, s = x[order], y[order], s[order]
+            best = np.append(True, (t["component"][x][1:] != t["component"][x][:-1]) | (t["component"][y][1:] != t["component"][y][:-1]))
+            parts.append((x[best], y[best], s[best]))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def _forest(n_rows: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Which of the pairs make a spanning forest of greatest agreement."""
     parent = list(range(n_rows))
@@ -253,27 +288,30 @@ def _compare_leaves(rows: DataFrame, least: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(run), "node long, id long, s0 long, s1 long, other long")
 
 
-def _forest_pairs(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """a, b: likely pairs that join components of one node, as a spanning forest. In a large node the sets of its main component
-    (that of its least set) are dealt into blocks, and the others visit every block."""
+def _forest_pairs(members: DataFrame, found: DataFrame, least: int, block: int = 512, guests: int = 4096) -> DataFrame:
+    """a, b: likely pairs that join components of one node, as a spanning forest. A node of more than `block` sets is dealt into
+    blocks, and the sets outside its largest component visit every block, at most about `guests` of them at a time."""
     known = members.select("node", "id", "s0", "s1").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per_node = known.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = known.join(per_node, "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / 512)).cast("int")
-    target = F.when(F.col("component") == F.col("low"), F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    spread = mixed.select("node", "id", "s0", "s1", "component", F.explode(target).alias("block"))
-    placed = spread.select(F.xxhash64("node", "block").alias("place"), "id", "s0", "s1", "component")
+    sizes = known.groupBy("node", "component").agg(F.count("*").alias("n"))
+    per_node = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = known.join(per_node.select("node", "n", (F.col("n") - F.col("m.n")).alias("strangers"), F.col("m.component").alias("main")), "node")
+    blocks, shifts = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("strangers") / guests).cast("int")
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), n).cast("int")
+    cell = lambda b, s, visitor: F.struct(b.alias("block"), s.alias("shift"), F.lit(visitor).alias("visitor"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    home = F.transform(every(shifts), lambda s: cell(own(1, blocks), s, False))
+    visits = F.transform(every(blocks), lambda b: cell(b, own(2, shifts), True))
+    single = F.array(cell(F.lit(0), F.lit(0), False))
+    cells = F.when(blocks == 1, single).when(F.col("component") == F.col("main"), home).otherwise(F.concat(home, visits))
+    spread = mixed.select("node", "id", "s0", "s1", "component", F.explode(cells).alias("c"))
+    placed = spread.select(F.xxhash64("node", "c.block", "c.shift").alias("place"), "c.visitor", "id", "s0", "s1", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, t in _groups(batches, "place", ["place", "id", "s0", "s1", "component"]):
-            left, right, score = _likely_pairs(starts, t, least)
-            apart = t["component"][left] != t["component"][right]
-            left, right, score = left[apart], right[apart], score[apart]
+        for starts, t in _groups(batches, "place", ["place", "visitor", "id", "s0", "s1", "component"]):
+            left, right, score = _pairs_apart(starts, t, least)
             if not len(left):
                 continue
-            _, kind = np.unique(t["component"], return_inverse=True)
-            place = np.searchsorted(starts, np.arange(len(kind)), side="right")
-            _, kind = np.unique(place * (kind.max() + 1) + kind, return_inverse=True)
+            kind = _kinds(starts, t["component"])
             used = _forest(int(kind.max()) + 1, kind[left], kind[right], score)
             a, b = t["id"][left[used]], t["id"][right[used]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -404,7 +442,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     pairs = members.where("other IS NOT NULL AND node % 2 <> 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     tried = durable(pairs.where("a <> b").distinct())
     found = connected_components(_confirm(df, text, doc_id, words, tried, percent))
-    more = durable(_forest_pairs(members, found, least).join(tried, ["a", "b"], "left_anti"))
+    more = durable(_forest_pairs(members, found, least, max(1, block // 4), 2 * block).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
         found = connected_components(stars(found).union(_confirm(df, text, doc_id, words, more, percent)))
