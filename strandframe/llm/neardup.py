@@ -199,8 +199,6 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> It
 def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int, apart: str = "id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, row, agreeing tokens) of the pairs inside groups that differ in `apart` and whose sketches agree on `least` tokens or more."""
     n = len(t["id"])
-    if n == 0:
-        return (np.zeros(0, np.int64),) * 3
     a0, a1 = t["s0"].view(np.uint64), t["s1"].view(np.uint64)
     end_of = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     left, right, score = [], [], []

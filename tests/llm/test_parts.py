@@ -53,16 +53,6 @@ def test_large_groups_of_near_copies(spark):
         assert (got[i].n_shingles, got[i].component_id) == (n, component)
 
 
-def test_visitors_meet_the_sets_at_home():
-    t = {"place": [1, 1, 1, 2, 2], "visitor": [False, False, True, False, True], "id": [1, 2, 3, 4, 5], "s0": [0] * 5, "s1": [0] * 5, "component": [1, 1, 3, 4, 4]}
-    t = {c: np.array(v) for c, v in t.items()}
-    left, right, score = neardup._pairs_apart(np.array([0, 3]), t, 40)  # every group has visitors
-    assert [(t["id"][x], t["component"][y], s) for x, y, s in zip(left, right, score)] == [(3, 1, neardup.TOKENS)]
-    t["visitor"][:] = False
-    left, right, _ = neardup._pairs_apart(np.array([0, 3]), t, 40)
-    assert sorted(zip(left.tolist(), right.tolist())) == [(0, 2), (1, 2)]
-
-
 @pytest.mark.parametrize(("hot", "broadcast_rows"), [(20_000, 200_000), (3, 1), (60, 1)])
 def test_frequent_passages(spark, hot, broadcast_rows):
     r = random.Random(hot)
