@@ -458,6 +458,71 @@ def running_number(spark, d):
     return table(spark, d, "part").select("p_type", "p_brand", "p_partkey", n.cast("long").alias("n"))
 
 
+@query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view') AND props IS NOT NULL")
+def type_in(spark, d):
+    present = filters.conjunctive(table(spark, d, "events"), {}, {}, ["props"])
+    return present.where(F.col("event_type").isin("click", "view")).select("event_id", "user_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size + 5 <= 30")
+def within_window(spark, d):
+    ranges = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_size") + 5).alias("p_end"))
+    return filters.within(ranges, "p_size", "p_end", 10, 30).select("p_partkey")
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN b.p_size < a.p_size THEN 'left' ELSE 'right' END AS side,
+  CASE WHEN b.p_size < a.p_size THEN a.p_size - (b.p_size + 20) ELSE b.p_size - (a.p_size + 20) END AS gap
+  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""")
+def signed_gap(spark, d):
+    p = joins.self_pairs(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey", ["p_brand", "p_type"])
+    start, end, other, other_end = F.col("p_size_a"), F.col("p_size_a") + 20, F.col("p_size_b"), F.col("p_size_b") + 20
+    return p.select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"), S.side(start, other).alias("side"), S.signed_gap(start, end, other, other_end).alias("gap"))
+
+
+@query("SELECT p_partkey, concat(p_brand, '_', p_partkey, '_', split_part(p_name, ' ', 1)) AS header FROM part")
+def rename_header(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.rename_header(F.col("p_name"), F.col("p_brand"), F.col("p_partkey")).alias("header"))
+
+
+@query("SELECT p_partkey, concat(p_brand, ' | ', p_name, ' | ', p_size, '-', p_size + 20, ' | ', p_type) AS header FROM part")
+def header_compose(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.header_compose(F.col("p_brand"), F.col("p_name"), F.col("p_size"), F.col("p_size") + 20, F.col("p_type")).alias("header"))
+
+
+@query("SELECT c_custkey, c_name AS stem FROM customer")
+def strip_extension(spark, d):
+    return table(spark, d, "customer").select("c_custkey", S.strip_extension(F.concat("c_name", F.lit(".fasta"))).alias("stem"))
+
+
+@query("SELECT p_partkey, p_brand AS dim_group, p_type AS dim_value FROM part")
+def filename_to_dims(spark, d):
+    dims = S.filename_to_dims(F.concat_ws("_", "p_brand", "p_type", F.lit("rest.csv")))
+    return table(spark, d, "part").select("p_partkey", dims["group"].alias("dim_group"), dims["value"].alias("dim_value"))
+
+
+@query("SELECT conv_id, max(turn) FILTER (WHERE turn = m) AS turn FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY 1")
+def first_element(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return c.select("conv_id", F.try_element_at("turns", F.lit(1)).alias("turn"))
+
+
+@query("SELECT conv_id, string_agg(upper(role), ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def array_project(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.upper(x["role"])), ",").alias("roles"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def transpose(spark, d):
+    """The matrix of `pivot` as rows again; cells without events were 0."""
+    return pivot(spark, d).unpivot("user_id", _TYPES, "event_type", "n").where("n > 0")
+
+
+@query("SELECT p_partkey, printf('%.2f', p_retailprice) AS price FROM part")
+def sink_csv_float2(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.format_string("%.2f", F.col("p_retailprice")).alias("price"))
+
+
 @query()
 def fuzzy_group(spark, d):
     """Sequential by definition: held against a plain model in the tests."""
