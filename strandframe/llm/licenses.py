@@ -4,6 +4,10 @@ sequence of identifiers of a text is matched against ordered licence rules.
 SQL functions only. Each row is handled where it is read; no shuffle, no Python. The sentence table and the rules are
 parameters of a size that does not depend on the data.
 
+A sentence may be wrapped over lines: between its words a single line break counts as white space. A line that is a known
+sentence by itself counts too. Besides the one-line sentences below, the full sentences, headers, notices and SPDX lines of
+`license_texts` are known; the SQL registered for the query knows the one-line ones only and no wrapped sentence.
+
 Null and empty texts have no sentences and no licence. Unknown sentences between known ones do not break a rule: a rule
 asks for its identifiers in order. Where several rules match, all are reported, in the order of the rules; `license` is
 the first. Repeated rows each get their own result; extra columns pass by only when named in `keep`.
@@ -16,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXT_RULES, notices, text_sentences
+
 #: Normalised sentence -> identifier. Several wordings can share one.
 SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2 0": "apache-2",
@@ -51,35 +57,53 @@ RULES: list[tuple[str, list[str], str]] = [
     ("Proprietary", ["all-rights"], "reserved"),
 ]
 
-#: A sentence ends at a line break, or at . ! ? ; before white space. Version numbers keep their points.
-SENTENCE_END = r"[\n\r]+|[.!?;]+(?=\s)"
+NOTICE_NAMES, NOTICE_RULES = notices()
+ALL_SENTENCES = text_sentences() | SENTENCES
+ALL_RULES = TEXT_RULES + RULES + NOTICE_RULES
+
+#: What stands before a licence's name in a notice.
+NOTICE = (
+    "(?:spdx license identifier|(?:(?:this|the|it|all) (?:[a-z]+ ){0,3}?(?:is|are) )?(?:also )?(?:free software )?(?:dual )?"
+    "(?:licensed|released|distributed|published|available|made available|provided) under (?:the )?(?:terms of the )?(?:conditions of the )?)"
+)
+#: A sentence ends at . ! ? ; before white space. Version numbers keep their points.
+SENTENCE_END = r"[.!?;]+(?=\s)"
+#: A known sentence of so many words may follow others without a mark between, such as a name and a copyright line.
+LONG = 16
 
 
-def normalized(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _words(sentence: str) -> str:
+    """A pattern of the sentence, over single line breaks as well."""
+    return "(?: N)? ".join(re.escape(w) for w in sentence.split(" "))
 
 
-def recognize_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str], str]] = RULES) -> DataFrame:
+def recognize_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: dict[str, str] = ALL_SENTENCES, rules: list[tuple[str, list[str], str]] = ALL_RULES, names: dict[str, str] = NOTICE_NAMES) -> DataFrame:
     """The columns of `keep`, sentence_ids (known identifiers in order), licenses (distinct, in the order of the rules),
-    license and license_class (of the first rule that matches, else null)."""
+    license and license_class (of the first rule that matches, else null). names: what may follow the words of a notice."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    shortest, longest = min(map(len, sentences)), max(map(len, sentences))
-    # Normalising only shortens, and a known sentence keeps its letters: what is too short, or has no letter of any known start, is not looked up.
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END)
-    starts = "^[^a-z0-9]*(" + "|".join(sorted({re.escape(s.split(" ")[0]) for s in sentences})) + ")[^a-z0-9]"
-    likely = F.filter(parts, lambda s: (F.length(s) >= shortest) & F.lower(s).rlike(starts))
-    found = F.transform(likely, lambda s: normalized(s))
-    ids = F.filter(F.transform(F.filter(found, lambda s: F.length(s) <= longest), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    # In lower case text, S stands for the end of a sentence and N for that of a line.
+    marked = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), SENTENCE_END, " S "), r"\r\n?|\n", " N ")
+    stream = F.concat(F.lit(" S "), F.trim(F.regexp_replace(marked, "[^a-z0-9SN]+", " ")), F.lit(" S "))
+    ordered = lambda known: sorted(known, key=lambda s: (-len(s), s))
+    notice = NOTICE.replace(" ", "(?: N)? ") + "(?:(?: N)? )?(?:" + "|".join(map(_words, ordered(names))) + ")"
+    whole = "(?<= [SN] )(?:" + "|".join([*map(_words, ordered(sentences)), *[notice] * bool(names)]) + ")"
+    long = ordered(s for s in sentences if s.count(" ") + 1 >= LONG)
+    starts = "|".join(sorted({s.split(" ")[0] for s in long}))
+    anywhere = [f"(?<= )(?=(?:{starts}) )(?:" + "|".join(map(_words, long)) + ")"] if long else []
+    found = F.regexp_extract_all(stream, F.lit("(?:" + "|".join([whole, *anywhere]) + ")(?= [SN] )"), F.lit(0))
+    one_line = F.transform(found, lambda s: F.regexp_replace(s, " N ", " "))
+    ids = F.filter(F.transform(one_line, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(named, F.trim(F.regexp_replace(s, "^" + NOTICE, ""))))), lambda i: i.isNotNull())
     out = df.select(*keep, ids.alias("sentence_ids"))
     sequence = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     matched = [F.when(sequence.rlike(".*".join(" " + re.escape(i) + " " for i in wanted)), F.lit(i)) for i, (_, wanted, _) in enumerate(rules)]
-    names, classes = F.array(*[F.lit(name) for name, _, _ in rules]), F.array(*[F.lit(kind) for _, _, kind in rules])
+    titles, classes = F.array(*[F.lit(name) for name, _, _ in rules]), F.array(*[F.lit(kind) for _, _, kind in rules])
     hits = F.array_compact(F.array(*matched))
     out = out.withColumn("__hits", hits)
     return out.select(
         *keep,
         "sentence_ids",
-        F.array_distinct(F.transform("__hits", lambda i: names[i])).alias("licenses"),
-        F.when(F.size("__hits") > 0, names[F.try_element_at("__hits", F.lit(1))]).alias("license"),
+        F.array_distinct(F.transform("__hits", lambda i: titles[i])).alias("licenses"),
+        F.when(F.size("__hits") > 0, titles[F.try_element_at("__hits", F.lit(1))]).alias("license"),
         F.when(F.size("__hits") > 0, classes[F.try_element_at("__hits", F.lit(1))]).alias("license_class"),
     )
