@@ -405,12 +405,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     tried = durable(pairs.where("a <> b").distinct())
     found = connected_components(_confirm(df, text, doc_id, words, tried, percent))
     more = durable(_forest_pairs(members, found, least).join(tried, ["a", "b"], "left_anti"))
+    stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
     if not more.isEmpty():
-        stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
         found = connected_components(stars(found).union(_confirm(df, text, doc_id, words, more, percent)))
-        clusters = connected_components(stars(found).union(tried).union(more)).withColumnRenamed("component", "cluster")
-        clustered = clusters.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        late = durable(_block_links(df, text, doc_id, words, durable(clustered), percent, block))
+    clusters = connected_components(stars(found).union(tried).union(more)).withColumnRenamed("component", "cluster")
+    clustered = durable(clusters.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # A pair that failed may keep two sets apart that are linked through others, untried or not.
+    if not clustered.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").isEmpty():
+        late = durable(_block_links(df, text, doc_id, words, clustered, percent, block))
         if not late.isEmpty():
             found = connected_components(stars(found).union(late))
     of_set = sets.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
