@@ -4,8 +4,8 @@ A document is the set of its word shingles. Documents with equal sets are one fr
 gets MinHash tokens; a tree starts with all sets in one node, and a node sends each set to a child for each of
 1 / similarity (on average) randomly chosen tokens, by the token's value. Sets of similarity s stay together in a child
 with probability s, so a pair at the threshold keeps one common path on average, while unrelated sets part after a few
-levels. Nodes of at most `leaf` sets are compared exhaustively; larger ones branch again. Independent trees are repeated
-until a pair at the threshold meets with probability `recall`.
+levels. Nodes of at most `leaf` sets are compared exhaustively; larger ones branch again, now on two tokens always. There are
+as many trees as let a pair at the threshold meet with probability `recall`, even where every further level is made.
 
 Comparing uses a 64-token sketch; what may be similar is then confirmed on the full sets:
 - round 1 confirms a spanning forest of the likely pairs of each node of the first trees (in a node that stays large because its
@@ -21,6 +21,7 @@ A row with a null id or no shingles is linked with nothing. Rows that share an i
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -33,9 +34,11 @@ from .common import LOWER, Shared, SpanHasher, combine, durable, in_steps, mix64
 from .components import connected_components
 
 TOKENS = 64
+#: Trees branch on more tokens than the sketch holds, so that pairs with few agreeing ones are rarer.
+BRANCH_TOKENS = 128
 _rng = np.random.Generator(np.random.PCG64(20))
-_MULTIPLY = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 1 << 63, BRANCH_TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, BRANCH_TOKENS, dtype=np.uint64)
 
 _PAIRS = np.uint64(0x5555555555555555)
 _KEY = np.uint64(0x9FB21C651E98DF25)
@@ -64,9 +67,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
 
 
 def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 MinHash tokens of 16 bits for each non-empty set."""
-    out = np.empty((len(offsets) - 1, TOKENS), np.uint16)
-    for t in range(TOKENS):
+    """128 MinHash tokens of 16 bits for each non-empty set; the sketch is of the first 64."""
+    out = np.empty((len(offsets) - 1, BRANCH_TOKENS), np.uint16)
+    for t in range(BRANCH_TOKENS):
         least = np.minimum.reduceat(values * _MULTIPLY[t] + _ADD[t], offsets[:-1])
         out[:, t] = mix64(least).astype(np.uint16)
     return out
@@ -93,22 +96,27 @@ def _describe(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(tidy(run), "id long, n_shingles long, set_key binary, signature binary")
 
 
-def stay_together(similarity: float, levels: int) -> float:
-    """Probability that a pair of this similarity has a common node after so many levels of a tree that branches 1 / similarity times."""
+def meeting_probability(similarity: float, levels: int, extra_levels: int, trees: int) -> float:
+    """Probability that a pair of this similarity has a common node in one of the trees, after `levels` that branch
+    1 / similarity times and `extra_levels` that branch twice. All trees choose from the same tokens, so it is averaged over
+    the number of tokens on which the pair agrees."""
     two = 1 / similarity - 1
-    p = 1.0
-    for _ in range(levels):
-        x = similarity * p
-        p = (1 - two) * x + two * (1 - (1 - x) ** 2)
-    return p
+    total = 0.0
+    for k in range(BRANCH_TOKENS + 1):
+        p = 1.0
+        for more in [1.0] * extra_levels + [two] * levels:
+            x = k / BRANCH_TOKENS * p
+            p = (1 - more) * x + more * (1 - (1 - x) ** 2)
+        total += math.comb(BRANCH_TOKENS, k) * similarity**k * (1 - similarity) ** (BRANCH_TOKENS - k) * (1 - p) ** trees
+    return 1 - total
 
 
 def _branch(node: np.ndarray, signature: np.ndarray, two: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child) of each branch: one chosen token for every node, and a second one for a share `two` of the nodes."""
     h = mix64(node)
     rows = np.arange(len(node))
-    first = (h & np.uint64(TOKENS - 1)).astype(np.int64)
-    second = (first + 1 + ((h >> np.uint64(8)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
+    first = (h & np.uint64(BRANCH_TOKENS - 1)).astype(np.int64)
+    second = (first + 1 + ((h >> np.uint64(8)) % np.uint64(BRANCH_TOKENS - 1)).astype(np.int64)) % BRANCH_TOKENS
     more = (h >> np.uint64(32)).astype(np.float64) < two * 2.0**32
 
     def child(row: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -132,8 +140,8 @@ def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
-                signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, TOKENS)
-                bits = (signature >> 14).astype(np.uint64)
+                signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, BRANCH_TOKENS)
+                bits = (signature[:, :TOKENS] >> 14).astype(np.uint64)
                 sketch = [np.bitwise_or.reduce(bits[:, h : h + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1) for h in (0, 32)]
                 row = np.tile(np.arange(len(ids)), trees)
                 roots = mix64(np.arange(1, trees + 1, dtype=np.uint64) * _KEY) & ~_EARLY
@@ -148,7 +156,7 @@ def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list
                     large = nodes[place] == node
                     done.append((row[~large], node[~large]))
                     row, node = row[large], node[large]
-                    at, node = _branch(node, signature[row], two)
+                    at, node = _branch(node, signature[row], 1.0)
                     row = row[at]
                 if not only_deepest:
                     row, node = (np.concatenate([*(d[i] for d in done), x]) for i, x in enumerate((row, node)))
@@ -382,7 +390,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     similarity = percent / 100
     two = 1 / similarity - 1
     levels = max(1, math.ceil(math.log(max(2.0, n / 2)) / math.log(20)))  # unrelated sets share a token with a probability under 1 in 20
-    trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - stay_together(similarity, levels))))
+    trees = next(t for t in itertools.count(1) if meeting_probability(similarity, levels, extra_levels, t) >= recall)
     # An estimate this far below the threshold is more than four standard errors off: agreeing tokens include 1 in 4 by chance.
     at_threshold = similarity + (1 - similarity) / 4
     least = math.floor(TOKENS * at_threshold - 4.3 * math.sqrt(TOKENS * at_threshold * (1 - at_threshold)))

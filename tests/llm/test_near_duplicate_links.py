@@ -39,3 +39,22 @@ def test_a_link_behind_two_failed_pairs(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in neardup.near_duplicates(rows, words=1, recall=0.3, extra_levels=0).collect()}
     assert got == {i: c for i, (_, c) in brute.near_duplicates(list(enumerate(texts)), 1).items()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_recall_counts_further_levels_and_shared_tokens():
+    """Against a simulation of the branching of pairs at the threshold."""
+    levels, extra, trees, pairs = 2, 3, 2, 20_000
+    g = np.random.Generator(np.random.PCG64(4))
+    a = g.integers(0, 1 << 16, (pairs, neardup.BRANCH_TOKENS), dtype=np.uint16)
+    b = np.where(g.random(a.shape) < 0.8, a, a + np.uint16(1))
+    met = np.zeros(pairs, bool)
+    for tree in range(trees):
+        node = mix64(np.arange(pairs, dtype=np.uint64) + np.uint64(1 + tree * pairs))
+        row = np.arange(pairs)
+        for more in [0.25] * levels + [1.0] * extra:
+            at, left = neardup._branch(node, a[row], more)
+            again, right = neardup._branch(node, b[row], more)
+            assert (at == again).all()
+            row, node = row[at][left == right], left[left == right]
+        met[row] = True
+    assert abs(met.mean() - neardup.meeting_probability(0.8, levels, extra, trees)) < 0.01
