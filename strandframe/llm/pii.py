@@ -109,25 +109,29 @@ def _surroundings(text: str, span: Span, spans: list[Span], reach: int) -> tuple
 
 
 def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
-    """entity, term, context: once for each document, entity and term near it; term is null once for each document and entity."""
+    """entity, term, context, first: once for each document, entity, term near it and surroundings; first is 1 for one of these of
+    each document, entity and term, else 0. A null term stands for the entity itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entities, terms, contexts = [], [], []
+            entities, terms, contexts, firsts = [], [], [], []
             for value in batch.column(0):
                 t = value.as_py()
                 spans = base_spans(t)
                 seen: set[tuple[int, str | None]] = set()
+                met: set[tuple[int, int]] = set()
                 for span in spans:
                     entity = _entity(t, span)
                     context, near = _surroundings(t, span, spans, reach)
+                    if (entity, context) in met:
+                        continue
+                    met.add((entity, context))
                     for term in (None, *near):
-                        if (entity, term) not in seen:
-                            seen.add((entity, term))
-                            entities.append(entity), terms.append(term), contexts.append(context)
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], ["entity", "term", "context"])
+                        entities.append(entity), terms.append(term), contexts.append(context), firsts.append(int((entity, term) not in seen))
+                        seen.add((entity, term))
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], ["entity", "term", "context", "first"])
 
-    return df.select(text).mapInArrow(tidy(run), "entity long, term string, context long")
+    return df.select(text).mapInArrow(tidy(run), "entity long, term string, context long, first long")
 
 
 def _terms_of(text: str) -> set[str]:
@@ -163,7 +167,7 @@ def _document_counts(df: DataFrame, terms: DataFrame, text: str, broadcast: bool
 
 def disclosing_terms(df: DataFrame, text: str = "text", reach: int = 80, min_contexts: int = 3, generalize_at: float = 0.8, remove_at: float = 0.95, max_broadcast_terms: int = 1_000_000) -> DataFrame:
     """term, disclosure (the greatest over entities, 0 to 1) and action (`remove` or `generalize`), of the whole corpus."""
-    pairs = _co_occurrences(df, text, reach).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = _co_occurrences(df, text, reach).groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts"))
     pairs = durable(pairs.where(F.col("term").isNull() | (F.col("contexts") >= min_contexts)))
     entities = pairs.where("term IS NULL").select("entity", F.col("n_et").alias("n_e"))
