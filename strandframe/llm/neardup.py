@@ -4,19 +4,23 @@ A document is the set of its word shingles. Documents with equal sets are one fr
 gets MinHash tokens; a tree starts with all sets in one node, and a node sends each set to a child for each of
 1 / similarity (on average) randomly chosen tokens, by the token's value. Sets of similarity s stay together in a child
 with probability s, so a pair at the threshold keeps one common path on average, while unrelated sets part after a few
-levels. Nodes of at most `leaf` sets are compared exhaustively; larger ones branch again, now on two tokens always. There are
-as many trees as let a pair at the threshold meet with probability `recall`, even where every further level is made.
+levels. The nodes at the end are compared exhaustively, unless they are dense (more than `leaf` sets). There are as many
+trees as let a pair at the threshold meet with probability `recall`.
 
 Comparing uses a 64-token sketch; what may be similar is then confirmed on the full sets:
-- round 1 confirms a spanning forest of the likely pairs of each node of the first trees (in a node that stays large because its
-  sets are alike, each set against the node's least one), which links nearly all of a group of copies without making its pairs;
-- round 2 confirms, in the nodes of all trees, a spanning forest of likely pairs between the components that round 1 left apart;
+- round 1 takes the first trees. Dense nodes, whose sets are alike, are dealt into small random places; as each set is in several
+  nodes, this links nearly all of a group of copies in time linear in the group;
+- round 2 takes all trees, but compares only sets of different components. In a dense node those outside the largest component
+  meet all others in cells of bounded size; dense nodes of one component are left out. Of two components the most agreeing pair
+  is confirmed;
 - the likely pairs of both rounds join sets to clusters, so every likely pair lies inside one. Round 3 takes the clusters that
-  still have several components: all their sets are dealt into blocks, those outside the main component visit every block, and an
-  index of a block's shingles gives the exact overlaps. Only confirmed links leave a block.
-So no link between components is lost, and no group is expanded into pairs.
+  still have several components: their sets meet in cells again, and an index of a cell's shingles gives the exact overlaps.
+So no link between components is lost, and no group is expanded into pairs. What remains quadratic is a group of sets that are
+nearly, but not, similar enough: its pairs must be compared, and are, in cells over all machines.
 
-A row with a null id or no shingles is linked with nothing. Rows that share an id count as one document.
+A row with a null id or no shingles (null, empty or blank text) is linked with nothing; rows that share an id count as one
+document, equal texts as one set. An empty table gives no rows. Of columns of df only the id passes by, so none can clash. A
+text is held whole while its set is made: about 60 bytes of memory for each byte of the longest text of a batch.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Shared, SpanHasher, combine, durable, in_steps, mix64, tidy, utf8, word_spans
+from .common import LOWER, SpanHasher, combine, durable, in_steps, mix64, tidy, utf8, word_spans
 from .components import connected_components
 
 TOKENS = 64
@@ -42,9 +46,9 @@ _ADD = _rng.integers(0, 1 << 63, BRANCH_TOKENS, dtype=np.uint64)
 
 _PAIRS = np.uint64(0x5555555555555555)
 _KEY = np.uint64(0x9FB21C651E98DF25)
-#: The lowest bit of a node tells whether it is of one of the trees of round 1.
-_EARLY = np.uint64(1)
-EARLY_TREES = 2
+#: Trees of round 1, and the sets of a dense node that meet there in one place.
+EARLY_TREES, CONTRACT = 2, 64
+CELLS = "array<struct<place:bigint,side:int>>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +100,17 @@ def _describe(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(tidy(run), "id long, n_shingles long, set_key binary, signature binary")
 
 
-def meeting_probability(similarity: float, levels: int, extra_levels: int, trees: int) -> float:
+def meeting_probability(similarity: float, levels: int, trees: int) -> float:
     """Probability that a pair of this similarity has a common node in one of the trees, after `levels` that branch
-    1 / similarity times and `extra_levels` that branch twice. All trees choose from the same tokens, so it is averaged over
-    the number of tokens on which the pair agrees."""
+    1 / similarity times on average. All trees choose from the same tokens, so it is averaged over the number of tokens on
+    which the pair agrees."""
     two = 1 / similarity - 1
     total = 0.0
     for k in range(BRANCH_TOKENS + 1):
         p = 1.0
-        for more in [1.0] * extra_levels + [two] * levels:
+        for _ in range(levels):
             x = k / BRANCH_TOKENS * p
-            p = (1 - more) * x + more * (1 - (1 - x) ** 2)
+            p = (1 - two) * x + two * (1 - (1 - x) ** 2)
         total += math.comb(BRANCH_TOKENS, k) * similarity**k * (1 - similarity) ** (BRANCH_TOKENS - k) * (1 - p) ** trees
     return 1 - total
 
@@ -120,54 +124,37 @@ def _branch(node: np.ndarray, signature: np.ndarray, two: float) -> tuple[np.nda
     more = (h >> np.uint64(32)).astype(np.float64) < two * 2.0**32
 
     def child(row: np.ndarray, token: np.ndarray) -> np.ndarray:
-        value = mix64((node[row] ^ (token.astype(np.uint64) << np.uint64(20))) * _KEY + signature[row, token])
-        return value & ~_EARLY | node[row] & _EARLY
+        return mix64((node[row] ^ (token.astype(np.uint64) << np.uint64(20))) * _KEY + signature[row, token])
 
     extra = rows[more]
     return np.concatenate([rows, extra]), np.concatenate([child(rows, first), child(extra, second[more])])
 
 
-def _leaf_rows(sets: DataFrame, trees: int, levels: int, two: float, split: list[Shared], only_deepest: bool, among: tuple[np.ndarray, bool] | None = None) -> DataFrame:
-    """node, id and sketch of every set in every node that it ends in. split[i]: sorted nodes that branch again after level
-    `levels` + i. only_deepest: just the nodes that the last of these made, or all if there is none. among: sorted nodes, and whether only these or only others are wanted."""
-    among_given = among is not None and len(among[0]) > 0
-    inside = among is not None and among[1]
-    chosen = Shared(sets.sparkSession, among[0]) if among_given else None
+def _node_rows(sets: DataFrame, first_tree: int, trees: int, levels: int, two: float, compare: bool = True) -> DataFrame:
+    """node and, to compare, id, component and sketch of every set in every node that it ends in."""
+    names = ["node", "id", "component", "s0", "s1"] if compare else ["node"]
+    roots = mix64(np.arange(first_tree + 1, first_tree + trees + 1, dtype=np.uint64) * _KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again = [s.broadcast.value for s in split]
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
+                n = part.num_rows
                 signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, BRANCH_TOKENS)
-                bits = (signature[:, :TOKENS] >> 14).astype(np.uint64)
-                sketch = [np.bitwise_or.reduce(bits[:, h : h + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1) for h in (0, 32)]
-                row = np.tile(np.arange(len(ids)), trees)
-                roots = mix64(np.arange(1, trees + 1, dtype=np.uint64) * _KEY) & ~_EARLY
-                roots[:EARLY_TREES] |= _EARLY
-                node = np.repeat(roots, len(ids))
+                row, node = np.tile(np.arange(n), trees), np.repeat(roots, n)
                 for _ in range(levels):
                     at, node = _branch(node, signature[row], two)
                     row = row[at]
-                done = []
-                for nodes in again:
-                    place = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
-                    large = nodes[place] == node
-                    done.append((row[~large], node[~large]))
-                    row, node = row[large], node[large]
-                    at, node = _branch(node, signature[row], 1.0)
-                    row = row[at]
-                if not only_deepest:
-                    row, node = (np.concatenate([*(d[i] for d in done), x]) for i, x in enumerate((row, node)))
-                if among_given:
-                    nodes = chosen.broadcast.value
-                    hit = nodes[np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)] == node
-                    row, node = row[hit == inside], node[hit == inside]
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(sketch[0][row].view(np.int64)), pa.array(sketch[1][row].view(np.int64))], ["node", "id", "s0", "s1"])
+                columns = {"node": node.view(np.int64)}
+                if compare:
+                    bits = (signature[:, :TOKENS] >> 14).astype(np.uint64)
+                    for name, h in (("s0", 0), ("s1", 32)):
+                        sketch = np.bitwise_or.reduce(bits[:, h : h + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1)
+                        columns[name] = sketch[row].view(np.int64)
+                    columns |= {c: part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "component")}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) for c in names], names)
 
-    return sets.select("id", "signature").mapInArrow(tidy(run), "node long, id long, s0 long, s1 long")
+    return sets.select("id", "component", "signature").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def _agreeing(a0, a1, b0, b1) -> np.ndarray:
@@ -205,7 +192,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> It
 
 
 def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, agreeing tokens) of the pairs inside groups whose sketches agree on `least` tokens or more."""
+    """(row, row, agreeing tokens) of the pairs of different components inside groups whose sketches agree on `least` tokens or
+    more. A visitor (side 2) meets the members (side 1) of its cell only, side 0 meets all."""
     n = len(t["id"])
     a0, a1 = t["s0"].view(np.uint64), t["s1"].view(np.uint64)
     end_of = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
@@ -215,18 +203,21 @@ def _likely_pairs(starts: np.ndarray, t: dict[str, np.ndarray], least: int) -> t
         rows = rows[rows + step < end_of[rows]]
         if not len(rows):
             break
-        agree = _agreeing(a0[rows], a1[rows], a0[rows + step], a1[rows + step])
-        good = (agree >= least) & (t["id"][rows] != t["id"][rows + step])
-        left.append(rows[good]), right.append(rows[good] + step), score.append(agree[good])
+        other = rows + step
+        apart = (t["component"][rows] != t["component"][other]) & ((t["side"][rows] == 0) | (t["side"][rows] != t["side"][other]))
+        a, b = rows[apart], other[apart]
+        agree = _agreeing(a0[a], a1[a], a0[b], a1[b])
+        good = agree >= least
+        left.append(a[good]), right.append(b[good]), score.append(agree[good])
         step += 1
     if not left:
         return (np.zeros(0, np.int64),) * 3
     return np.concatenate(left), np.concatenate(right), np.concatenate(score)
 
 
-def _forest(n_rows: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
+def _forest(n_nodes: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Which of the pairs make a spanning forest of greatest agreement."""
-    parent = list(range(n_rows))
+    parent = list(range(n_nodes))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -242,51 +233,65 @@ def _forest(n_rows: int, left: np.ndarray, right: np.ndarray, score: np.ndarray)
     return used
 
 
-def _compare_leaves(rows: DataFrame, least: int) -> DataFrame:
-    """members: node, id, sketch and other (the partner in the node's spanning forest, or null for one of each tree) of the sets
-    that have a likely partner in their node."""
+def _forest_pairs(placed: DataFrame, least: int) -> DataFrame:
+    """a, b: for components with likely pairs in a common place (place, id, component, s0, s1, side) enough pairs to join
+    them: a spanning forest over the components of each place, and of each two components the most agreeing pair."""
+    names = ["place", "id", "component", "s0", "s1", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, t in _groups(batches, "node", ["node", "id", "s0", "s1"]):
-            left, right, score = _likely_pairs(starts, t, least)
-            if not len(left):
+        for starts, t in _groups(batches, "place", names):
+            mixed = np.minimum.reduceat(t["component"], starts) != np.maximum.reduceat(t["component"], starts)
+            if not mixed.any():
                 continue
-            used = _forest(len(t["id"]), left, right, score)
-            edge_from, edge_to = left[used], right[used]
-            lone = np.setdiff1d(edge_to, edge_from)
-            at = np.concatenate([edge_from, lone])
-            other = pa.array(np.concatenate([t["id"][edge_to], np.zeros(len(lone), np.int64)]), pa.int64(), mask=np.arange(len(at)) >= len(edge_from))
-            yield pa.RecordBatch.from_arrays([*(pa.array(t[c][at], pa.int64()) for c in ("node", "id", "s0", "s1")), other], ["node", "id", "s0", "s1", "other"])
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(run), "node long, id long, s0 long, s1 long, other long")
-
-
-def _forest_pairs(members: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """a, b: likely pairs that join components of one node, as a spanning forest. In a large node the sets of its main component
-    (that of its least set) are dealt into blocks, and the others visit every block."""
-    known = members.select("node", "id", "s0", "s1").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per_node = known.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = known.join(per_node, "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / 512)).cast("int")
-    target = F.when(F.col("component") == F.col("low"), F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    spread = mixed.select("node", "id", "s0", "s1", "component", F.explode(target).alias("block"))
-    placed = spread.select(F.xxhash64("node", "block").alias("place"), "id", "s0", "s1", "component")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, t in _groups(batches, "place", ["place", "id", "s0", "s1", "component"]):
+            sizes = np.diff(np.append(starts, len(t["id"])))
+            t = {c: v[np.repeat(mixed, sizes)] for c, v in t.items()}
+            starts = np.concatenate([[0], np.cumsum(sizes[mixed])[:-1]])
             left, right, score = _likely_pairs(starts, t, least)
-            apart = t["component"][left] != t["component"][right]
-            left, right, score = left[apart], right[apart], score[apart]
             if not len(left):
                 continue
+            place = np.searchsorted(starts, np.arange(len(t["id"])), side="right")
             _, kind = np.unique(t["component"], return_inverse=True)
-            place = np.searchsorted(starts, np.arange(len(kind)), side="right")
             _, kind = np.unique(place * (kind.max() + 1) + kind, return_inverse=True)
             used = _forest(int(kind.max()) + 1, kind[left], kind[right], score)
-            a, b = t["id"][left[used]], t["id"][right[used]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return placed.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "a long, b long").distinct()
+            left, right, score = left[used], right[used], score[used]
+            swap = t["component"][left] > t["component"][right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            columns = [t["component"][left], t["component"][right], score, t["id"][left], t["id"][right]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["low", "high", "score", "a", "b"])
+
+    found = placed.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "low long, high long, score long, a long, b long")
+    best = found.groupBy("low", "high").agg(F.max(F.struct("score", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m"))
+    return best.select(F.least(-F.col("m.a"), -F.col("m.b")).alias("a"), F.greatest(-F.col("m.a"), -F.col("m.b")).alias("b"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df for a join: as a broadcast where it has at most so many rows (of a few numbers each)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _dealt_evenly(rows: DataFrame, dense: DataFrame, size: int) -> DataFrame:
+    """Each node is a place; the sets of a dense one (node, n) are dealt into places of about `size`."""
+    parts = F.ceil(F.col("n") / size).cast("int")
+    place = F.when(F.col("n").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("id"), parts)))
+    return rows.join(dense, "node", "left").select(place.alias("place"), "id", "component", "s0", "s1", F.lit(0).alias("side"))
+
+
+def _dealt_in_cells(rows: DataFrame, dense: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """Each node is a place. In a dense node sets of one component need not meet: those outside its largest component are
+    visitors, dealt into groups; all sets are members, dealt into blocks. Every group of visitors meets every block of
+    members in a cell of about twice `size`; a dense node of a single component has no place."""
+    inside = rows.join(dense, "node", "left_semi").groupBy("node", "component").agg(F.count("*").alias("k"))
+    of_node = inside.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"))
+    known = durable(of_node.select("node", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.k")).alias("m")))
+    blocks, groups = F.ceil(F.col("n") / size).cast("int"), F.ceil(F.col("m") / size).cast("int")
+    block, group = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64(F.lit(1), "id"), groups)
+    cell = lambda b, g, side: F.struct(F.xxhash64("node", b.cast("int"), g.cast("int")).alias("place"), F.lit(side).alias("side"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    as_member = F.transform(up_to(groups), lambda g: cell(block, g, 1))
+    as_visitor = F.when(F.col("component") == F.col("main"), F.array().cast(CELLS)).otherwise(F.transform(up_to(blocks), lambda b: cell(b, group, 2)))
+    cells = F.when(F.col("n").isNull(), F.array(F.struct(F.col("node").alias("place"), F.lit(0).alias("side")))).when(F.col("m") > 0, F.concat(as_member, as_visitor)).otherwise(F.array().cast(CELLS))
+    met = rows.join(_small(known, broadcast_rows), "node", "left").select("id", "component", "s0", "s1", F.explode(cells).alias("c"))
+    return met.select("c.place", "id", "component", "s0", "s1", "c.side")
 
 
 class _Block:
@@ -316,18 +321,21 @@ class _Block:
 
 
 def _block_links(df: DataFrame, text: str, doc_id: str, words: int, clustered: DataFrame, percent: int, block: int) -> DataFrame:
-    """Confirmed links a, b between components of one cluster. clustered: id, cluster, component."""
-    sizes = clustered.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = clustered.join(main.select("cluster", "n", F.col("m.component").alias("main")), "cluster")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    visits = F.when(F.col("component") == F.col("main"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), blocks - 1))
-    home = F.struct(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("visitor"))
-    guests = F.transform(visits, lambda b: F.struct(b.alias("block"), F.lit(1).alias("visitor")))
-    roles = durable(mixed.select("id", "cluster", "component", F.concat(F.array(home), guests).alias("roles")))
+    """Confirmed links a, b between components of one cluster. clustered: id, cluster, component. Blocks of sets and groups of
+    those outside the main component meet in cells, as in a dense node."""
+    sizes = clustered.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = clustered.join(main.select("cluster", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.k")).alias("m")), "cluster")
+    blocks, groups = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("m") / block).cast("int")
+    own_block, own_group = (F.pmod(F.xxhash64(F.lit(i), "id"), n).cast("int") for i, n in enumerate((blocks, groups)))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    home = F.transform(up_to(groups), lambda g: F.struct(own_block.alias("block"), g.alias("group"), F.lit(0).alias("visitor")))
+    guest = F.transform(up_to(blocks), lambda b: F.struct(b.alias("block"), own_group.alias("group"), F.lit(1).alias("visitor")))
+    every = F.when(F.col("component") == F.col("main"), home).otherwise(F.concat(home, guest))
+    roles = durable(mixed.select("id", "cluster", "component", every.alias("roles")))
     sets = _shingle_sets(df, text, doc_id, words, roles.select("id").distinct())
     rows = roles.join(sets, "id").select("id", "cluster", "component", "shingles", F.explode("roles").alias("r"))
-    rows = rows.select(F.xxhash64("cluster", "r.block").alias("place"), "r.visitor", "id", "component", "shingles")
+    rows = rows.select(F.xxhash64("cluster", "r.block", "r.group").alias("place"), "r.visitor", "id", "component", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, _Block()
@@ -377,11 +385,10 @@ def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame
     return joined.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, extra_levels: int = 3, max_split: int = 2_000_000, block: int = 2048) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, block: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id linked, directly or not) and kept (the document is its component's least) of each row.
 
-    max_split bounds the nodes that branch again in one level, as their list is broadcast; the largest go first, and what is left
-    is compared whole, so the bound costs time, not links.
+    broadcast_rows bounds the lists of dense nodes that are broadcast; longer ones meet the nodes by a join.
     """
     described = durable(_describe(df, text, doc_id, words))
     best = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "signature")).alias("m"))
@@ -389,33 +396,29 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     n = max(1, sets.count())
     similarity = percent / 100
     two = 1 / similarity - 1
-    levels = max(1, math.ceil(math.log(max(2.0, n / 2)) / math.log(20)))  # unrelated sets share a token with a probability under 1 in 20
-    trees = next(t for t in itertools.count(1) if meeting_probability(similarity, levels, extra_levels, t) >= recall)
+    # Unrelated sets share a token with a probability under 1 in 20: so many levels leave a few of them to a node.
+    levels = max(1, math.ceil(math.log(max(2.0, 8 * n / leaf)) / math.log(20)))
+    trees = next(t for t in itertools.count(1) if meeting_probability(similarity, levels, t) >= recall)
     # An estimate this far below the threshold is more than four standard errors off: agreeing tokens include 1 in 4 by chance.
     at_threshold = similarity + (1 - similarity) / 4
     least = math.floor(TOKENS * at_threshold - 4.3 * math.sqrt(TOKENS * at_threshold * (1 - at_threshold)))
 
-    split: list[Shared] = []
-    dense: np.ndarray = np.zeros(0, np.uint64)
-    for step in range(extra_levels + 1):
-        rows = _leaf_rows(sets, trees, levels, two, split, only_deepest=True)
-        large = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf).orderBy(F.desc("n"), "node").limit(max_split).select("node").toArrow()
-        nodes = np.sort(large.column("node").to_numpy().view(np.uint64))
-        if not len(nodes) or step == extra_levels:
-            dense = nodes
-            break
-        split.append(Shared(df.sparkSession, nodes))
-    members = _compare_leaves(_leaf_rows(sets, trees, levels, two, split, False, (dense, False)), least)
-    if len(dense):
-        members = members.union(_against_least(_leaf_rows(sets, trees, levels, two, split, False, (dense, True)), least))
-    members = durable(members)
-    pairs = members.where("other IS NOT NULL AND node % 2 <> 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    tried = durable(pairs.where("a <> b").distinct())
-    found = connected_components(_confirm(df, text, doc_id, words, tried, percent))
-    more = durable(_forest_pairs(members, found, least).join(tried, ["a", "b"], "left_anti"))
+    alone = sets.withColumn("component", F.col("id"))
+    counts = _node_rows(alone, 0, trees, levels, two, compare=False).groupBy("node").agg(F.count("*").alias("n"))
+    dense = durable(counts.where(F.col("n") > leaf))
     stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+    early = _dealt_evenly(_node_rows(alone, 0, min(trees, EARLY_TREES), levels, two), _small(dense, broadcast_rows), CONTRACT)
+    tried = durable(_forest_pairs(early, least))
+    found = connected_components(_confirm(df, text, doc_id, words, tried, percent))
+
+    linked = durable(sets.join(found, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component")))
+    rows = _node_rows(linked, 0, trees, levels, two)
+    placed = _dealt_in_cells(rows, dense, leaf, broadcast_rows) if not dense.isEmpty() else rows.select(F.col("node").alias("place"), "id", "component", "s0", "s1", F.lit(0).alias("side"))
+    more = durable(_forest_pairs(placed, least).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = connected_components(stars(found).union(_confirm(df, text, doc_id, words, more, percent)))
+
     clusters = connected_components(stars(found).union(tried).union(more)).withColumnRenamed("component", "cluster")
     clustered = durable(clusters.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     # A pair that failed may keep two sets apart that are linked through others, untried or not.
@@ -426,16 +429,3 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     of_set = sets.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
     out = described.join(of_set, "set_key", "left").select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
-
-
-def _against_least(rows: DataFrame, least: int) -> DataFrame:
-    """Rows of large nodes as members, each with the node's least set as its partner where that is likely."""
-    first = rows.groupBy("node").agg(F.min(F.struct("id", "s0", "s1")).alias("m"))
-
-    def agree(a: str, b: str):
-        x = F.col(a).bitwiseXOR(F.col(b))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_PAIRS))))
-
-    joined = rows.join(first, "node")
-    likely = (TOKENS - agree("s0", "m.s0") - agree("s1", "m.s1") >= least) & (F.col("id") != F.col("m.id"))
-    return joined.select("node", "id", "s0", "s1", F.when(likely, F.col("m.id")).alias("other"))

@@ -48,7 +48,7 @@ def test_large_groups_of_near_copies(spark):
             copy[r.randrange(100)] = r.choice(words)
         texts.append(" ".join(copy))
     texts += [" ".join(r.choice(words) for _ in range(80)) for _ in range(60)]
-    got = {x.doc_id: x for x in neardup.near_duplicates(_rows(spark, texts), words=2, leaf=16, extra_levels=2, block=32).collect()}
+    got = {x.doc_id: x for x in neardup.near_duplicates(_rows(spark, texts), words=2, leaf=16, block=32).collect()}
     for i, (n, component) in brute.near_duplicates(list(enumerate(texts)), 2).items():
         assert (got[i].n_shingles, got[i].component_id) == (n, component)
 
