@@ -77,6 +77,13 @@ class Shared:
         return Shared._built[self.key]
 
 
+def check_keep(keep: tuple[str, ...], outputs: tuple[str, ...]) -> None:
+    """Columns that pass by must not bear the name of an output, nor occur twice."""
+    clash = sorted({c for c in keep if c in outputs or list(keep).count(c) > 1})
+    if clash:
+        raise ValueError(f"columns to keep clash with the result's: {', '.join(clash)}; rename them first")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,21 +2,24 @@
 
 A byte goes when a string of `length` bytes that covers it also starts earlier (in a smaller document, or before in the same
 one). Sorting all suffixes is not needed: in each window of `length` bytes the k-gram of least hash is its anchor, so equal
-windows have equal anchors at equal places, and only suffixes at anchors (about one in 35 bytes) matter.
-
-1. Scan: the anchors of each text, with a hash of the k-gram and one of the whole stretch that its windows cover. Equal
-   stretches of one input batch are settled there (the earliest stays), which keeps a passage found everywhere from
-   flooding one task; the rest is exchanged by k-gram hash.
-2. Equal stretches: all but the earliest are removed. Where a k-gram has different stretches, the earliest of each goes on.
-3. Suffixes: for these anchors the bytes from the anchor on, and those before it, are read from the texts. Sampled splitters
-   range-partition the suffixes by their leading bytes; inside a bucket, suffixes of one leading k-gram are ordered by
-   multikey comparison, and the common lengths of neighbours, to the right and to the left, give each window's first
-   occurrence. Splitters never part equal leading bytes, so no match crosses a boundary unseen; a leading k-gram with more than
-   `hot` suffixes would fill a bucket, so its windows are hashed and met by a grouped minimum instead.
-4. The removed stretches meet their texts, by a broadcast where they are few (checked), else by a join.
-
-Null text counts as empty. Texts under `length` bytes are never touched. Rows that share an id hold one and the same text; a
-null id counts as the smallest.
+windows have equal anchors at equal places, and only suffixes at anchors (about one in 40 bytes) matter.
+
+1. Scan: the anchors of each text, each with the stretch of bytes that its windows cover. Stretches of one input batch that
+   are equal, byte by byte, are settled there (the earliest stays), so a passage found everywhere sends one row a batch.
+2. Company: anchors are exchanged by the hash of their k-gram; those alone with it cannot repeat and are dropped. The hash
+   only saves work: k-grams that share one by accident part in step 4.
+3. Suffixes: for the anchors left, the bytes from the anchor on and those before it are read from the texts.
+4. Order: sampled splitters range-partition the suffixes by their leading bytes and never part equal ones, so no match
+   crosses a boundary unseen. In a bucket a multikey sort orders the suffixes to the right and the bytes before them to the
+   left; the common lengths of neighbours in the two orders tell which suffixes share a window, and which is the earliest.
+   A lead of more than `hot` suffixes would fill a bucket, so it is split by its next bytes: suffixes that share a window
+   share either the next bytes to the right or those to the left, and each half is split again until it fits or the
+   lead is a whole window.
+5. The removed ranges meet their texts. Lists are broadcast up to `broadcast_bytes`, else joined.
+
+Null text counts as empty. Texts under `length` bytes are never touched. Rows that share an id hold one and the same text;
+a row with a null id has no place in the order: it keeps all its bytes and takes none from others. An empty table gives no rows. Columns of df pass by only when named in `keep`; a name that is
+also an output raises, others cannot clash. A text is scanned whole: about 70 bytes of memory for each byte of the longest.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import SpanHasher, durable, in_steps, mix64, tidy, utf8
+from .common import SpanHasher, check_keep, durable, in_steps, mix64, tidy, utf8
 
 K = 32
+#: Suffixes that one step of a bucket takes, about.
+BUCKET_STEP = 50_000
 _PLACE_BITS = 28
-_NO_ID = -(1 << 63)
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -47,16 +52,17 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: text (index), at, first, last (window starts), all from the start of the text, and the
-    hashes of the anchor's k-gram and of the stretch from `first` to the end of window `last`."""
-    names = ("text", "at", "first", "last", "gram", "stretch")
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, bits: int = 64) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: text (index), at (of the anchor in all data), before and after (bytes of the stretch that
+    the windows cover on either side of it), and hashes of the anchor's k-gram and of the stretch."""
+    names = ("text", "at", "before", "after", "gram", "stretch")
     n = len(data) - length + 1
     if n <= 0:
         return {c: np.zeros(0, np.int64) for c in names}
     hasher = SpanHasher(data)
     begins = np.arange(len(data) - k + 1)
-    grams = hasher.hash(begins, begins + k)
+    few = np.uint64((1 << bits) - 1)
+    grams = hasher.hash(begins, begins + k) & few
     keys = (mix64(grams) >> np.uint64(_PLACE_BITS)) << np.uint64(_PLACE_BITS)
     keys |= begins.astype(np.uint64) & np.uint64((1 << _PLACE_BITS) - 1)
     chosen = (_slide(keys, length - k + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
@@ -69,13 +75,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[
     first = np.flatnonzero(change & real)
     stop = np.ones(n, bool)
     stop[:-1] = (chosen[1:] != chosen[:-1]) | ~real[1:]
-    last = np.flatnonzero(stop & real)
+    end = np.flatnonzero(stop & real) + length
     at = chosen[first]
     at += ((first - at) >> _PLACE_BITS << _PLACE_BITS) if len(data) >> _PLACE_BITS else 0
-    text = np.searchsorted(offsets, first, side="right") - 1
-    base = offsets[text]
-    stretch = mix64(hasher.hash(first, last + length) + (at - first).astype(np.uint64))
-    return dict(zip(names, (text, at - base, first - base, last - base, grams[at], stretch), strict=True))
+    stretch = mix64(hasher.hash(first, end) + (at - first).astype(np.uint64)) & few
+    return dict(zip(names, (np.searchsorted(offsets, first, side="right") - 1, at, at - first, end - at, grams[at].view(np.int64), stretch.view(np.int64)), strict=True))
 
 
 def _union(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,119 +97,113 @@ def _union(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     return start[begin], np.maximum.reduceat(end, begin), owner[begin]
 
 
-_SCAN = "gram long, stretch long, id long, at int, first int, last int, settled boolean"
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Whether data[a : a + size] is data[b : b + size], for each entry."""
+    same = np.ones(len(a), bool)
+    steps = np.arange(width)
+    for start in range(0, len(a), 50_000):
+        own = slice(start, start + 50_000)
+        inside = steps < sizes[own, None]
+        left, right = (np.take(data, x[own, None] + steps, mode="clip") for x in (a, b))
+        same[own] = ((left == right) | ~inside).all(axis=1)
+    return same
 
 
-def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, batch_rows: int = 1 << 20) -> DataFrame:
-    """Anchor runs, and (settled) ranges first to last + length that an earlier stretch of the same batch covers."""
-    names = ("gram", "stretch", "id", "at", "first", "last")
+#: code is 256 * before + after of an anchor; a range settled in its batch has the negative of its size there, and its start in at.
+_MARKS = "gram long, id long, at int, code int"
 
-    def settle(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+
+def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, bits: int, batch_rows: int = 1 << 20) -> DataFrame:
+    """Anchors, and ranges that an earlier equal stretch of the same batch covers."""
+    names = ("gram", "id", "at", "code")
+
+    def settle(held: list[tuple[np.ndarray, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+        data = np.concatenate([d for d, _ in held])
+        base = np.concatenate([[0], np.cumsum([len(d) for d, _ in held])])
+        t = {c: np.concatenate([x[c] for _, x in held]) for c in held[0][1]}
+        place = t["at"] + np.repeat(base[:-1], [len(x["at"]) for _, x in held]) - t["before"]
+        t["at"] = t["at"] - t.pop("start")
         order = np.lexsort((t["at"], t["id"], t["stretch"], t["gram"]))
-        t = {c: v[order] for c, v in t.items()}
+        t, place = {c: v[order] for c, v in t.items()}, place[order]
         new = np.ones(len(order), bool)
         new[1:] = (t["gram"][1:] != t["gram"][:-1]) | (t["stretch"][1:] != t["stretch"][:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        later = ~((t["id"] == t["id"][head]) & (t["at"] == t["at"][head]))
-        start, end, owner = _union(t["first"][later], t["last"][later] + length, t["id"][later])
-        empty = np.zeros(len(start), np.int64)
-        done = {"gram": mix64(owner.view(np.uint64)).view(np.int64), "stretch": empty, "id": owner, "at": empty, "first": start, "last": end - length}
-        stay = new
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        columns = [pa.array(np.concatenate([t[c][stay], done[c]]), kind) for c, kind in zip(names, types, strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(columns[0])) >= stay.sum())], [*names, "settled"])
+        later = np.flatnonzero(~((t["id"] == t["id"][head]) & (t["at"] == t["at"][head])))
+        first = head[later]
+        sizes = t["before"] + t["after"]
+        alike = (t["before"][later] == t["before"][first]) & (sizes[later] == sizes[first])
+        later, first = later[alike], first[alike]
+        later = later[_equal_bytes(data, place[later], place[first], sizes[later], 2 * length)]
+        start, end, owner = _union((t["at"] - t["before"])[later], (t["at"] + t["after"])[later], t["id"][later])
+        stay = np.ones(len(order), bool)
+        stay[later] = False
+        code = 256 * t["before"] + t["after"]
+        columns = [np.concatenate([t["gram"][stay], mix64(owner.view(np.uint64)).view(np.int64)]), *(np.concatenate([x[stay], y]) for x, y in ((t["id"], owner), (t["at"], start), (code, start - end)))]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
+        held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
         for part in in_steps(batches, "__text"):
-            t = anchors(*utf8(part.column("__text")), length, k)
-            ids = pc.fill_null(part.column("__id"), _NO_ID).to_numpy(zero_copy_only=False)
-            t = {"gram": t["gram"].view(np.int64), "stretch": t["stretch"].view(np.int64), "id": ids[t["text"]], "at": t["at"], "first": t["first"], "last": t["last"]}
-            held.append(t)
-            if sum(len(x["at"]) for x in held) >= batch_rows:
-                yield settle({c: np.concatenate([x[c] for x in held]) for c in names})
+            data, offsets = utf8(part.column("__text"))
+            t = anchors(data, offsets, length, k, bits)
+            if not len(t["at"]):
+                continue
+            text_of = t.pop("text")
+            ids = part.column("__id").to_numpy(zero_copy_only=False)
+            held.append((data, t | {"id": ids[text_of], "start": offsets[text_of]}))
+            if sum(len(x["at"]) for _, x in held) >= batch_rows:
+                yield settle(held)
                 held = []
-        if held and any(len(x["at"]) for x in held):
-            yield settle({c: np.concatenate([x[c] for x in held]) for c in names})
-
-    return df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(tidy(run), _SCAN)
+        if held:
+            yield settle(held)
 
+    placed = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    return placed.mapInArrow(tidy(run), _MARKS)
 
-def _equal_stretches(scanned: DataFrame, length: int) -> DataFrame:
-    """id, start, end: removed ranges (end over 0) and anchors whose bytes must be compared (start is the anchor, end -1)."""
-    names = ["gram", "stretch", "id", "at", "first", "last"]
 
-    def emit(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "start", "end"])
+def _suffixes(df: DataFrame, text: str, doc_id: str, marks: DataFrame, length: int, broadcast_bytes: int) -> DataFrame:
+    """id, at, right (bytes of the stretch from the anchor on) and left (those before it, nearest first) of the marked anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # (gram, stretch, id, at) of the latest stretch's earliest occurrence
-        waiting = None  # (gram, id, at, known to have company) of the latest stretch
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            settled = batch.column("settled").to_numpy(zero_copy_only=False)
-            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            if settled.any():
-                yield emit(t["id"][settled], t["first"][settled], t["last"][settled] + length)
-                t = {c: v[~settled] for c, v in t.items()}
-            n = len(t["id"])
-            if not n:
-                continue
-            new = np.ones(n, bool)
-            new[1:] = (t["gram"][1:] != t["gram"][:-1]) | (t["stretch"][1:] != t["stretch"][:-1])
-            new[0] = head is None or (t["gram"][0], t["stretch"][0]) != head[:2]
-            place = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            first_id, first_at = t["id"][place], t["at"][place]
-            if not new[0]:
-                first_id[place < 0], first_at[place < 0] = head[2], head[3]
-            later = (t["id"] != first_id) | (t["at"] != first_at)
-            yield emit(t["id"][later], t["first"][later], t["last"][later] + length)
-            head = (t["gram"][-1], t["stretch"][-1], first_id[-1], first_at[-1])
-            fresh = np.flatnonzero(new)
-            if not len(fresh):
-                continue
-            grams, ids, at = t["gram"][fresh], t["id"][fresh], t["at"][fresh]
-            company = np.zeros(len(fresh), bool)
-            if waiting is not None:
-                grams, ids, at = np.append(waiting[0], grams), np.append(waiting[1], ids), np.append(waiting[2], at)
-                company = np.append(waiting[3], company)
-            same = grams[1:] == grams[:-1]
-            company[1:] |= same
-            company[:-1] |= same
-            out = company[:-1]
-            yield emit(ids[:-1][out], at[:-1][out], np.full(out.sum(), -1))
-            waiting = (grams[-1], ids[-1], at[-1], company[-1])
-        if waiting is not None and waiting[3]:
-            yield emit(np.array([waiting[1]]), np.array([waiting[2]]), np.array([-1]))
-
-    ordered = scanned.repartition("gram").sortWithinPartitions("gram", "stretch", "id", "at")
-    return ordered.mapInArrow(tidy(run), "id long, start int, end int")
-
-
-def _suffixes(df: DataFrame, text: str, doc_id: str, wanted: DataFrame, length: int, k: int, broadcast_rows: int) -> DataFrame:
-    """lead (first k bytes), id, at, right (bytes from the anchor on, at most `length`) and left (bytes before it, nearest first)."""
-    places = wanted.groupBy("id").agg(F.array_sort(F.collect_set("start")).alias("places"))
-    joined = _meet(df, text, doc_id, places, broadcast_rows, "inner")
+            packed = [np.unique(x.values.to_numpy()).tobytes() for x in batch.column("places")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = F.shiftleft(F.col("at").cast("long"), 16).bitwiseOR(F.col("code").cast("long"))
+    places = durable(marks.groupBy("id").agg(F.collect_list(place).alias("places")).mapInArrow(tidy(pack), "id long, packed binary"))
+    joined = _meet(df, text, doc_id, (), places, broadcast_bytes, "inner")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_steps(batches, "__text"):
-            ids, leads, at, right, left = [], [], [], [], []
-            for i, whole, places in zip(part.column("__id").to_pylist(), part.column("__text").to_pylist(), part.column("places").to_pylist(), strict=True):
-                whole = whole.encode()
-                for a in places:
-                    tail = whole[a : a + length]
-                    ids.append(i), at.append(a), right.append(tail), leads.append(tail[:k])
-                    left.append(whole[max(0, a - length + k) : a][::-1])
-            yield pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], ["lead", "id", "at", "right", "left"])
+            data, offsets = utf8(part.column("__text"))
+            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("packed")]
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            own = np.concatenate(lists)
+            at, before, after = own >> 16, own >> 8 & 255, own & 255
+            fits = at + after <= np.diff(offsets)[owner]  # rows that share an id, but not the text, may be shorter
+            owner, at, before, after = owner[fits], at[fits], before[fits], after[fits]
+            begin = offsets[owner] + at
+            ids = part.column("__id").take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), _slices(data, begin, after, 1), _slices(data, begin - 1, before, -1)], ["id", "at", "right", "left"])
+
+    return joined.select("__id", "__text", "packed").mapInArrow(tidy(cut), "id long, at int, right binary, left binary")
+
 
-    return joined.select("__id", "__text", "places").mapInArrow(tidy(run), "lead binary, id long, at int, right binary, left binary")
+def _slices(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, step: int) -> pa.Array:
+    """Binary values of `sizes` bytes from `begin` on, forwards or backwards."""
+    ends = np.cumsum(sizes)
+    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    taken = data[np.repeat(begin, sizes) + step * inside]
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(taken)]).cast(pa.binary())
 
 
-def _meet(df: DataFrame, text: str, doc_id: str, per_document: DataFrame, broadcast_rows: int, how: str) -> DataFrame:
-    """Texts with what per_document (id, ...) has for them. A broadcast only up to broadcast_rows rows."""
-    texts = df.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))).withColumn("__text", F.col(text))
-    small = per_document.limit(broadcast_rows + 1).count() <= broadcast_rows
-    other = per_document.withColumnRenamed("id", "__id")
-    return texts.join(F.broadcast(other) if small else other, "__id", how)
+def _meet(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...], per_document: DataFrame, broadcast_bytes: int, how: str) -> DataFrame:
+    """__id, __text, the columns of keep, and packed of per_document (id, packed). Broadcast only up to broadcast_bytes."""
+    texts = df.select(*[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)], F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    size = per_document.agg(F.coalesce(F.sum(F.octet_length("packed") + 24), F.lit(0)).alias("n")).first().n
+    other = per_document.select(F.col("id").alias("__id"), "packed")
+    return texts.join(F.broadcast(other) if size <= broadcast_bytes else other, "__id", how)
 
 
 def _matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,75 +218,106 @@ def _matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _common(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the common starts of rows."""
     differ = a != b
-    first = np.where(differ.any(axis=-1), differ.argmax(axis=-1), a.shape[-1])
-    return np.minimum(first, np.minimum(na, nb))
+    return np.where(differ.any(axis=-1), differ.argmax(axis=-1), a.shape[-1])
 
 
-def _classes(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common length with the one before) after a multikey sort, eight bytes at a time."""
+def multikey_order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by group and then bytes, common bytes with the row before, -1 at the first of a group). A multikey quicksort
+    whose characters are eight bytes: rows that are equal so far are parted by their next character, others stay."""
     width = -(-rows.shape[1] // 8) * 8
     padded = np.zeros((len(rows), width), np.uint8)
     padded[:, : rows.shape[1]] = rows
-    order = np.lexsort(padded.view(">u8").astype(np.uint64).T[::-1])
-    ranked, size = rows[order], sizes[order]
-    return order, np.append(0, _common(ranked[1:], ranked[:-1], size[1:], size[:-1]))
-
-
-def _small_group(right, left, nr, nl, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes before, bytes from the anchor) that an earlier suffix repeats, -1 for none; rows in order of occurrence."""
+    words = padded.view(">u8").astype(np.uint64)
+    order = np.argsort(group, kind="stable")
+    run = group[order]
+    open_places = np.arange(len(order))
+    for character in range(words.shape[1]):
+        first = np.ones(len(order), bool)
+        first[1:] = run[1:] != run[:-1]
+        alone = first & np.append(first[1:], True)
+        open_places = np.flatnonzero(~alone)
+        if not len(open_places):
+            break
+        own = words[order[open_places], character]
+        again = np.lexsort((own, run[open_places]))
+        order[open_places] = order[open_places][again]
+        own, before = own[again], run[open_places]
+        part = np.zeros(len(order), bool)
+        part[open_places[1:]] = (own[1:] != own[:-1]) & (before[1:] == before[:-1])
+        run = np.cumsum(first | part)
+    ranked, of = rows[order], group[order]
+    common = np.full(len(order), -1)
+    common[1:] = np.where(of[1:] == of[:-1], _common(ranked[1:], ranked[:-1]), -1)
+    return order, common
+
+
+def shared_windows(group, right, left, nr, nl, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes before the anchor, bytes from it on) that windows shared with an earlier suffix of the group cover, -1 for none; rows
+    in order of group and occurrence. right and left are padded with zeros, nr and nl their sizes."""
     m = len(nr)
-    i, j = np.tril_indices(m, -1)
-    r, x = _common(right[i], right[j], nr[i], nr[j]), _common(left[i], left[j], nl[i], nl[j])
-    good = r + x >= length
     back, ahead = np.full(m, -1), np.full(m, -1)
-    np.maximum.at(back, i[good], x[good])
-    np.maximum.at(ahead, i[good], r[good])
-    return back, ahead
-
-
-def _large_group(right, left, nr, nl, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same through suffix classes: for each place of the anchor in a window, suffixes are alike when both sides are."""
-    m = len(nr)
-    back, ahead = np.full(m, -1), np.full(m, -1)
-    (ro, rc), (lo, lc) = _classes(right, nr), _classes(left, nl)
+    if m == 0:
+        return back, ahead
+    sizes = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), m))
+    of_size = np.repeat(sizes, sizes)
+    two = np.flatnonzero((of_size == 2) & np.append(False, group[1:] == group[:-1]))
+    r, x = np.minimum(_common(right[two], right[two - 1]), np.minimum(nr[two], nr[two - 1])), np.minimum(_common(left[two], left[two - 1]), np.minimum(nl[two], nl[two - 1]))
+    good = r + x >= length
+    back[two[good]], ahead[two[good]] = x[good], r[good]
+    many = np.flatnonzero(of_size > 2)
+    if not len(many):
+        return back, ahead
+    group, right, left, nr, nl = group[many], right[many], left[many], nr[many], nl[many]
+    (ro, rc), (lo, lc) = multikey_order(group, right), multikey_order(group, left)
+    m = len(many)
     of_right, of_left = np.empty(m, np.int64), np.empty(m, np.int64)
-    for x in range(left.shape[1] + 1):
-        of_right[ro] = np.cumsum(rc < length - x)
-        of_left[lo] = np.cumsum(lc < x)
-        rows = np.flatnonzero((nl >= x) & (nr >= length - x))
+    # Stretches alike on both sides, whole: all but the earliest are settled, and need not be met again.
+    of_right[ro], of_left[lo] = np.cumsum(rc < right.shape[1]), np.cumsum(lc < left.shape[1])
+    _, first, same = np.unique(np.stack([of_right, of_left, nr, nl], axis=1), axis=0, return_index=True, return_inverse=True)
+    copy = first[same.ravel()] != np.arange(m)
+    own_back, own_ahead = np.where(copy, nl, -1), np.where(copy, nr, -1)
+    for x in range(int(nl.max()) + 1):
+        rows = np.flatnonzero((nl >= x) & (nr >= length - x) & ~copy)
         if len(rows) < 2:
             continue
-        _, first, group = np.unique(of_right[rows] * (m + 1) + of_left[rows], return_index=True, return_inverse=True)
-        again = rows[first[group] != np.arange(len(rows))]
-        back[again] = np.maximum(back[again], x)
-        ahead[again] = np.maximum(ahead[again], length - x)
+        of_right[ro], of_left[lo] = np.cumsum(rc < length - x), np.cumsum(lc < x)
+        _, first, same = np.unique(of_right[rows] * (m + 1) + of_left[rows], return_index=True, return_inverse=True)
+        again = rows[first[same] != np.arange(len(rows))]
+        own_back[again] = np.maximum(own_back[again], x)
+        own_ahead[again] = np.maximum(own_ahead[again], length - x)
+    back[many], ahead[many] = own_back, own_ahead
     return back, ahead
 
 
 def _bucket_matches(suffixes: DataFrame, length: int, k: int) -> DataFrame:
-    """Removed ranges from the suffixes of whole buckets."""
+    """Removed ranges from suffixes with their leads, in range-partitioned buckets of whole leads."""
     names = ["lead", "id", "at", "right", "left"]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables of whole groups of equal leads."""
+        """Tables of whole groups of equal leads, of about BUCKET_STEP rows."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             leads = batch.column("lead")
-            last = leads[-1].as_py()
-            if held and held[-1].column("lead")[-1].as_py() == last:
-                held.append(batch)
-                continue
-            stop = batch.num_rows
+            stop, last = batch.num_rows, leads[-1].as_py()
             while stop and leads[stop - 1].as_py() == last:
                 stop -= 1
-            whole = [*held, batch.slice(0, stop)]
-            yield pa.Table.from_batches(whole)
-            held = [batch.slice(stop)]
+            if stop == 0 and held and held[-1].column("lead")[-1].as_py() != last:
+                # the batch begins a group: what is held is whole
+                if sum(b.num_rows for b in held) >= BUCKET_STEP:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, stop))
+            if stop and sum(b.num_rows for b in held) >= BUCKET_STEP:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(stop))
         if held:
             yield pa.Table.from_batches(held)
 
@@ -300,69 +329,68 @@ def _bucket_matches(suffixes: DataFrame, length: int, k: int) -> DataFrame:
             column = {c: table.column(c).combine_chunks() for c in names}
             lead = column["lead"].dictionary_encode()
             lead = (lead.chunk(0) if isinstance(lead, pa.ChunkedArray) else lead).indices.to_numpy()
-            right, nr = _matrix(column["right"], length)
-            left, nl = _matrix(column["left"], length - k)
             ids, at = column["id"].to_numpy(), column["at"].to_numpy()
             order = np.lexsort((at, ids, lead))
             again = (lead[order][1:] == lead[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (at[order][1:] == at[order][:-1])
             order = order[np.append(True, ~again)]  # repeated rows give one place twice
-            lead, right, left, nr, nl, ids, at = (v[order] for v in (lead, right, left, nr, nl, ids, at))
-            cuts = np.append(np.concatenate([[0], np.flatnonzero(lead[1:] != lead[:-1]) + 1]), len(lead))
-            back, ahead = np.full(len(lead), -1), np.full(len(lead), -1)
-            sizes = np.diff(cuts)
-            two = cuts[:-1][sizes == 2]
-            r, x = _common(right[two], right[two + 1], nr[two], nr[two + 1]), _common(left[two], left[two + 1], nl[two], nl[two + 1])
-            good = r + x >= length
-            back[two[good] + 1], ahead[two[good] + 1] = x[good], r[good]
-            for g in np.flatnonzero(sizes > 2):
-                own = slice(cuts[g], cuts[g + 1])
-                match = _small_group if sizes[g] <= 48 else _large_group
-                back[own], ahead[own] = match(right[own], left[own], nr[own], nl[own], length)
+            alone = np.bincount(lead[order])[lead[order]] < 2
+            order = order[~alone]
+            (right, nr), (left, nl) = _matrix(column["right"].take(pa.array(order)), length), _matrix(column["left"].take(pa.array(order)), length - k)
+            ids, at = ids[order], at[order]
+            back, ahead = shared_windows(lead[order], right, left, nr, nl, length)
             hit = back >= 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array((at - back)[hit], pa.int32()), pa.array((at + ahead)[hit], pa.int32())], ["id", "start", "end"])
 
-    return suffixes.repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(tidy(run), "id long, start int, end int")
-
-
-def _hashed_matches(suffixes: DataFrame, length: int) -> DataFrame:
-    """Removed ranges of suffixes whose leading bytes are too frequent for one bucket: their windows meet by hash, earliest first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                keys, ids, at = [], [], []
-                columns = [part.column(c).to_pylist() for c in ("id", "at", "right", "left")]
-                for i, a, right, left in zip(*columns, strict=True):
-                    whole = np.frombuffer(left[::-1] + right, np.uint8)
-                    n = len(whole) - length + 1
-                    if n <= 0:
-                        continue
-                    begins = np.arange(n)
-                    keys.append(SpanHasher(whole).hash(begins, begins + length))
-                    ids.append(np.full(n, i)), at.append(a - len(left) + begins)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(at), pa.int32())], ["key", "id", "at"])
-
-    windows = suffixes.mapInArrow(tidy(run), "key long, id long, at int").distinct()
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "at")).alias("m"))
-    again = windows.join(first, "key").where((F.col("id") != F.col("m.id")) | (F.col("at") != F.col("m.at")))
-    return again.select("id", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-
-
-def repeated_ranges(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, k: int = K, hot: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """id and ranges (packed starts and ends in bytes, maximal runs) of all documents with something to remove."""
-    marked = durable(_equal_stretches(_scan(df, text, doc_id, length, k), length))
-    wanted = marked.where("end < 0").select("id", "start")
-    suffixes = durable(_suffixes(df, text, doc_id, wanted, length, k, broadcast_rows))
-    frequent = durable(suffixes.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("lead"))
-    found = marked.where("end >= 0")
-    if frequent.isEmpty():
-        found = found.union(_bucket_matches(suffixes, length, k))
-    else:
-        found = found.union(_bucket_matches(suffixes.join(frequent, "lead", "left_anti"), length, k))
-        found = found.union(_hashed_matches(suffixes.join(frequent, "lead", "left_semi"), length))
-    return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).mapInArrow(tidy(_merged), "id long, ranges binary")
+    return suffixes.select(*names).repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(tidy(run), "id long, start int, end int")
+
+
+def _lead(a, b):
+    """The leading bytes of a suffix: a before the anchor, nearest first, and b from it on; a tells where one ends."""
+    return F.concat(F.encode(F.lpad(a.cast("string"), 3, "0"), "UTF-8"), F.substring("left", F.lit(1), a), F.substring("right", F.lit(1), b))
+
+
+def _split_hot(suffixes: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(suffixes with leads of at most `hot` suffixes each, removed ranges of leads that are whole windows). A lead of a bytes
+    before the anchor and b from it on leaves s = length - a - b bytes open: of suffixes that share a window, those with at most
+    the a + s - s/2 nearest bytes of it before the anchor share the next s/2 to the right, the others the next to the left."""
+    spark = suffixes.sparkSession
+    fits = spark.createDataFrame([], "lead binary, id long, at int, right binary, left binary")
+    gone = spark.createDataFrame([], "id long, start int, end int")
+    level = durable(suffixes)
+    while True:
+        crowded = level.groupBy("lead").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("m")).where(F.col("n") > hot)
+        if crowded.isEmpty():
+            return fits.union(level.select("lead", "id", "at", "right", "left")), gone
+        crowded = durable(crowded)
+        fits = fits.union(level.join(crowded, "lead", "left_anti").select("lead", "id", "at", "right", "left"))
+        large = level.join(crowded.select("lead", "m"), "lead")
+        whole = large.where(F.col("a") + F.col("b") >= length).where((F.col("id") != F.col("m.id")) | (F.col("at") != F.col("m.at")))
+        gone = gone.union(whole.select("id", (F.col("at") - F.col("a")).cast("int"), (F.col("at") + F.col("b")).cast("int")))
+        open_ = F.lit(length) - F.col("a") - F.col("b")
+        step = F.ceil(open_ / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), (F.col("b") + step).alias("b")), F.struct((F.col("a") + open_ - step + 1).alias("a"), F.col("b").alias("b")))
+        halves = F.filter(halves, lambda h: (h["a"] <= F.octet_length("left")) & (h["b"] <= F.octet_length("right")))
+        next_level = large.where(F.col("a") + F.col("b") < length).select("id", "at", "right", "left", F.explode(halves).alias("h"))
+        next_level = next_level.select("id", "at", "right", "left", "h.a", "h.b")
+        level = durable(next_level.withColumn("lead", _lead(F.col("a"), F.col("b"))))
+
+
+def repeated_ranges(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, k: int = K, hot: int = 20_000, broadcast_bytes: int = 64 << 20, bits: int = 64) -> DataFrame:
+    """id and packed ranges (starts and ends in bytes, maximal runs) of all documents with something to remove. bits: of the hashes that
+    bring k-grams and stretches together; fewer only make more work."""
+    if not k < length <= 255:
+        raise ValueError("length must be over k and at most 255")
+    company = F.count("*").over(Window.partitionBy("gram"))
+    marked = durable(_scan(df, text, doc_id, length, k, bits).withColumn("n", company).where("n > 1 OR code < 0"))
+    found = marked.where("code < 0").select("id", F.col("at").alias("start"), (F.col("at") - F.col("code")).alias("end"))
+    leading = lambda suffixes: suffixes.withColumns({"a": F.lit(0), "b": F.lit(k)}).withColumn("lead", _lead(F.col("a"), F.col("b")))
+    few = marked.where((F.col("code") >= 0) & (F.col("n") <= hot))
+    found = found.union(_bucket_matches(leading(_suffixes(df, text, doc_id, few, length, broadcast_bytes)), length, k))
+    many = marked.where((F.col("code") >= 0) & (F.col("n") > hot))
+    if not many.isEmpty():
+        fits, gone = _split_hot(leading(_suffixes(df, text, doc_id, many, length, broadcast_bytes)), length, hot)
+        found = found.union(_bucket_matches(fits, length, k)).union(gone)
+    return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).mapInArrow(tidy(_merged), "id long, packed binary")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,22 +402,25 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, end, owner = _union(flat.field("start").to_numpy().astype(np.int64), flat.field("end").to_numpy().astype(np.int64), owner)
         packed = np.stack([start, end], axis=1).astype("<i4")
         cuts = np.searchsorted(owner, np.arange(len(lists) + 1))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["id", "ranges"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["id", "packed"])
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, keep: tuple[str, ...] = ("doc_id",), broadcast_rows: int = 200_000, hot: int = 20_000) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, keep: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = 64 << 20, hot: int = 20_000, bits: int = 64) -> DataFrame:
     """The columns of `keep`, n_bytes, spans (maximal removed runs: start, end in bytes) and kept_bytes (what is left, as binary:
     a run may begin or end inside a character)."""
-    ranges = durable(repeated_ranges(df, text, doc_id, length, hot=hot, broadcast_rows=broadcast_rows))
-    joined = _meet(df, text, doc_id, ranges, broadcast_rows, "left").select(*keep, "__text", "ranges")
+    outputs = ("n_bytes", "spans", "kept_bytes")
+    check_keep(keep, outputs)
+    ranges = durable(repeated_ranges(df, text, doc_id, length, hot=hot, broadcast_bytes=broadcast_bytes, bits=bits))
+    joined = _meet(df, text, doc_id, keep, ranges, broadcast_bytes, "left").drop("__id")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*(f for f in joined.schema if f.name not in ("__text", "ranges")), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept_bytes", T.BinaryType())])
+    kinds = df.select(*keep).schema
+    schema = T.StructType([*kinds, T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept_bytes", T.BinaryType())])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_steps(batches, "__text", 8 << 20):
             sizes, spans, left = [], [], []
-            for whole, found in zip(part.column("__text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
+            for whole, found in zip(part.column("__text").to_pylist(), part.column("packed").to_pylist(), strict=True):
                 whole = (whole or "").encode()
                 runs = np.frombuffer(found or b"", "<i4").reshape(-1, 2).tolist()
                 at, pieces = 0, []
@@ -397,6 +428,6 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                     pieces.append(whole[at:start])
                     at = end
                 sizes.append(len(whole)), left.append(b"".join([*pieces, whole[at:]])), spans.append([{"start": a, "end": min(b, len(whole))} for a, b in runs if a < len(whole)])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(left, pa.binary())], [*keep, "n_bytes", "spans", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([*(part.column(f"__keep_{i}") for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(left, pa.binary())], [*keep, *outputs])
 
     return joined.mapInArrow(tidy(run), schema)

@@ -53,19 +53,52 @@ def test_large_groups_of_near_copies(spark):
         assert (got[i].n_shingles, got[i].component_id) == (n, component)
 
 
-@pytest.mark.parametrize(("hot", "broadcast_rows"), [(20_000, 200_000), (3, 1), (60, 1)])
-def test_frequent_passages(spark, hot, broadcast_rows):
-    r = random.Random(hot)
-    noise = lambda n: "".join(r.choice("abcdef gh") for _ in range(n))
-    passage = noise(130)
-    texts = [noise(r.randrange(200)) + passage[r.randrange(25) :] + noise(r.randrange(150)) for _ in range(80)] + ["ab" * 400, "ab" * 401, passage * 3, passage[:99]]
-    got = substrings.remove_repeats(_rows(spark, texts), hot=hot, broadcast_rows=broadcast_rows).collect()
+def _removed(spark, texts, **options):
+    got = substrings.remove_repeats(_rows(spark, texts), **options).collect()
     want = brute.repeats(list(enumerate(texts)))
+    assert len(got) == len(texts)
     for x in got:
         spans = [(s.start, s.end) for s in x.spans]
         assert (x.n_bytes, sum(b - a for a, b in spans), len(spans), brute.sha(bytes(x.kept_bytes))) == want[x.doc_id], x.doc_id
 
 
+@pytest.mark.parametrize(("hot", "broadcast_bytes", "bits"), [(20_000, 64 << 20, 64), (3, 0, 64), (60, 0, 64), (20_000, 0, 8), (5, 64 << 20, 8), (1, 0, 1)])
+def test_frequent_passages(spark, hot, broadcast_bytes, bits):
+    """Also with leads that are split down to whole windows, and with hashes of 8 bits or 1: they only choose what is compared."""
+    r = random.Random(hot)
+    noise = lambda n: "".join(r.choice("abcdef gh") for _ in range(n))
+    passage = noise(130)
+    texts = [noise(r.randrange(200)) + passage[r.randrange(25) :] + noise(r.randrange(150)) for _ in range(80)] + ["ab" * 400, "ab" * 401, passage * 3, passage[:99]]
+    texts += ["\0" * 150, "x" + "\0" * 220 + "y", passage[:60] + "\0" * 60, passage[:60] + "\0" * 59]
+    _removed(spark, texts, hot=hot, broadcast_bytes=broadcast_bytes, bits=bits)
+
+
+@pytest.mark.parametrize("step", [1, 7, 50_000])
+def test_buckets_in_steps_of_whole_leads(spark, monkeypatch, step):
+    monkeypatch.setattr(substrings, "BUCKET_STEP", step)
+    r = random.Random(step)
+    passages = ["".join(r.choice("abc ") for _ in range(110)) for _ in range(6)]
+    _removed(spark, ["".join(r.choice(passages)[r.randrange(9) :] + r.choice(["", "-", "=="]) for _ in range(4)) for _ in range(50)])
+
+
+def test_multikey_order_is_that_of_bytes():
+    g = np.random.Generator(np.random.PCG64(2))
+    rows = g.integers(0, 2, (400, 19), dtype=np.uint8)
+    group = g.integers(0, 3, 400)
+    order, common = substrings.multikey_order(group, rows)
+    keys = [(int(group[i]), rows[i].tobytes()) for i in order]
+    assert keys == sorted(keys) and sorted(order) == list(range(400))
+    for (a, x), (b, y), c in zip(keys, keys[1:], common[1:]):
+        assert c == (-1 if a != b else next((i for i in range(19) if x[i] != y[i]), 19))
+
+
+def test_rows_without_an_id_are_left_alone(spark):
+    text = "some passage that is long enough to count " * 5
+    rows = spark.createDataFrame([(None, text), (None, text + "x"), (4, text), (5, text)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, bytes(x.kept_bytes).decode() == t) for x in substrings.remove_repeats(rows, keep=("doc_id", "text")).collect() for t in [x.text])
+    assert [a for a, _ in got] == [0, 0, 4, 5] and [b for _, b in got] == [True, True, False, False]
+
+
 def test_terms_beyond_a_broadcast_are_joined(spark):
     texts = [f"contact boss{i % 2}@corp.example codeword{'alpha' if i % 2 else 'bravo'} with note number {i} {'x' * i}" for i in range(12)] + ["nothing here"] * 30
     few = {x.doc_id: (x.spans, x.sanitized) for x in pii.sanitize(_rows(spark, texts)).collect()}
