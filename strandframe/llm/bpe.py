@@ -4,14 +4,15 @@ A pre-token is first looked up whole by a minimal perfect hash of the vocabulary
 form a linked list and a heap holds the ranks of neighbouring pairs; the lowest rank merges first, the leftmost
 among equals. Nothing is shuffled: each text is encoded where it is read.
 
-Null text counts as empty: zero ids, zero bytes. Texts of any length are encoded whole. Extra columns pass by only
-when named in `keep`.
+Null text counts as empty: zero ids, zero bytes. Texts of any length are encoded whole; an empty table gives no rows. Columns
+pass by only when named in `keep`; a name that is also the output raises.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, tidy
+from .common import Shared, check_keep, tidy
 
 #: Most pre-tokens whose ids one worker remembers, and the longest of them in characters.
 MEMO_ENTRIES, MEMO_CHARS = 450_000, 64
@@ -82,10 +83,25 @@ def _slot(h: int, move: int, n: int) -> int:
     return (x ^ (x >> 32)) % n
 
 
+_read: dict[tuple[str, float], dict[bytes, int]] = {}
+_built: dict[tuple[int, str], tuple[dict[bytes, int], Vocabulary]] = {}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a local file with a base64 token and its id in each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    """Ranks of a local file with a base64 token and its id in each line; read once by each process."""
+    key = (path, os.path.getmtime(path))
+    if key not in _read:
+        with open(path, "rb") as lines:
+            _read[key] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return _read[key]
+
+
+def vocabulary_of(ranks: dict[bytes, int], pattern: str) -> Vocabulary:
+    """The hashed vocabulary; built once for the same ranks object."""
+    key = (id(ranks), pattern)
+    if key not in _built or _built[key][0] is not ranks:
+        _built[key] = (ranks, Vocabulary.build(ranks, pattern))
+    return _built[key][1]
 
 
 class Encoder:
@@ -145,7 +161,8 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     The vocabulary is sent to all executors; its size is fixed by the tokenizer and does not grow with the data.
     `unpack_ids` makes an array of `out`. Null and empty text give an empty value; repeated rows stay repeated.
     """
-    shared = Shared(df.sparkSession, Vocabulary.build(ranks, pattern))
+    check_keep(keep, (out,))
+    shared = Shared(df.sparkSession, vocabulary_of(ranks, pattern))
     source = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField(out, T.BinaryType(), False)])
 
@@ -163,6 +180,7 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
 
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded") -> DataFrame:
     """The columns of `keep` and `out`: the bytes that packed ids stand for. Null ids give empty bytes; an unknown id raises."""
+    check_keep(keep, (out,))
     shared = Shared(df.sparkSession, {i: token for token, i in ranks.items()})
     source = df.select(*keep, F.col(ids).alias("__ids"))
     schema = T.StructType([*(f for f in source.schema if f.name != "__ids"), T.StructField(out, T.BinaryType(), False)])

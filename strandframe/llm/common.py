@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at a time (a longer text is taken whole, alone).
@@ -22,12 +23,16 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own setting, or a temporary one where none is set."""
+    """The shared folder for cut lineage: the cluster's own setting, or a temporary one where none is set and all runs in one
+    local process. On a cluster a folder of one machine would be of no use to the others, so a missing setting raises."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandframe-checkpoints-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = folder or tempfile.mkdtemp(prefix="strandframe-checkpoints-")
     context.setCheckpointDir(folder)
     return folder
 
@@ -84,6 +89,12 @@ def check_keep(keep: tuple[str, ...], outputs: tuple[str, ...]) -> None:
         raise ValueError(f"columns to keep clash with the result's: {', '.join(clash)}; rename them first")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate files, wherever Spark can write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,6 +161,43 @@ class SpanHasher:
         return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, stop) of runs of ascending spans that cover about STEP_BYTES; a span that is longer stands alone."""
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP_BYTES, side="right")))
+        yield at, stop
+        at = stop
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of ascending spans, of data[...] as table translates it; a piece at a time, so memory stays that of a piece.
+    A span of more than STEP_BYTES is hashed by itself, in place."""
+    out = np.empty(len(starts), np.uint64)
+    for i, j in pieces(starts, ends):
+        begin, end = int(starts[i]), int(ends[j - 1])
+        part = data[begin:end] if table is None else table[data[begin:end]]
+        if end - begin > STEP_BYTES:
+            out[i] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(part))
+        else:
+            out[i:j] = SpanHasher(part).hash(starts[i:j] - begin, ends[i:j] - begin)
+    return out
+
+
+def span_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How many bytes of each of ascending spans have table[byte], a piece at a time."""
+    out = np.zeros(len(starts), np.int64)
+    for i, j in pieces(starts, ends):
+        begin = int(starts[i])
+        sums = np.zeros(int(ends[j - 1]) - begin + 1, np.int64)
+        np.cumsum(table[data[begin : int(ends[j - 1])]], out=sums[1:])
+        out[i:j] = sums[ends[i:j] - begin] - sums[starts[i:j] - begin]
+    return out
+
+
+#: Bytes that begin a character.
+BEGINS = np.arange(256) & 0xC0 != 0x80
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -64,7 +64,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, local_edges: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = 1_000_000) -> DataFrame:
     """id and component (the least id it is connected to) of every id that occurs in an edge. Nulls and loops are left out."""
     now = durable(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"))
     groups = -(-now.count() // local_edges)
@@ -72,11 +72,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         now = durable(now.coalesce(groups).mapInArrow(tidy(_contract), "u long, v long"))
     if groups > 1:
         mark = None
-        for _ in range(max_rounds):
+        while True:  # every round but the last joins vertices, so it ends; rounds grow with the logarithm of the longest path
             now = durable(_small_star(_large_star(now)))
             mark, before = _mark(now), mark
             if mark == before:
                 break
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

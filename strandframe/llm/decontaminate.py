@@ -2,11 +2,14 @@
 
 Texts are lower-cased (A-Z) and read as words of digits, ASCII letters and anything beyond ASCII. An item of at least
 `window` words gives all its runs of that many words, a shorter one itself. The automaton runs over word numbers, so a
-match ends at a word index, which maps to the original text's offsets. Documents are scanned once, where they are
-read, by every automaton: the benchmark is split into automata of at most `max_words` pattern words, so none outgrows a worker.
+match ends at a word index, which maps to the original text's offsets. Documents are scanned once, where they are read. A
+benchmark of more than `max_words` words would make an automaton that outgrows a worker: its items are dealt into parts, and
+each part's automaton passes over the texts in turn, adding to what the parts before have found.
 
 Null and empty texts have no words and are never contaminated; items without words never occur; repeated items with one
-id count once. An empty benchmark finds nothing.
+id count once. An empty benchmark finds nothing, an empty table gives no rows. Repeated rows each get their own result. Columns
+pass by only when named in `keep`; a name that is also an output raises. A text is held whole as a list of its words (about 100
+bytes of memory for each word of the longest).
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, tidy
+from .common import Shared, check_keep, durable, tidy
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -32,45 +36,40 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def _word_spans(text: str) -> list[tuple[int, int]]:
-    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-    return [m.span() for m in _WORD.finditer(lowered)]
+    return [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
 
 
-class Automata:
-    """Automata of the benchmark's windows; `items[i]` are the ids of the items that have window i."""
+class Automaton:
+    """The automaton of some items' windows; `items[i]` are the ids of the items that have window i."""
 
-    def __init__(self, table: tuple[list, int, int]):
-        items, window, max_words = table
+    def __init__(self, table: tuple[list, int]):
+        items, window = table
         windows: dict[tuple[bytes, ...], set] = {}
         for item, text in items:
             words = tuple(normal_words(text))
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 windows.setdefault(words[i : i + window], set()).add(item)
         self.numbers: dict[bytes, int] = {}
-        self.automata, self.sizes, self.items = [], [], []
-        room = 0
+        self.sizes, self.items = [], []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for words, owners in windows.items():
-            if room < len(words):
-                self.automata.append(ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE))
-                room = max(max_words, len(words))
-            room -= len(words)
-            self.automata[-1].add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), len(self.items))
+            self.automaton.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), len(self.items))
             self.sizes.append(len(words))
             self.items.append(owners)
-        for a in self.automata:
-            a.make_automaton()
+        self.automaton.make_automaton()
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(first word, end, window) of each occurrence of a window."""
+        if not words or not self.items:
+            return []
         number = self.numbers.get
-        row = tuple([number(w, 0) for w in words])
-        return [(end + 1 - self.sizes[i], end + 1, i) for a in self.automata for end, i in a.iter(row)] if row else []
+        return [(end + 1 - self.sizes[i], end + 1, i) for end, i in self.automaton.iter(tuple([number(w, 0) for w in words]))]
 
 
-def _ranges(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def _ranges(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of the occurrences as maximal runs of words."""
     out: list[list[int]] = []
-    for start, end, _ in sorted(found):
+    for start, end in sorted(found):
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -78,36 +77,51 @@ def _ranges(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 13, max_items: int = 1_000_000, max_words: int = 2_000_000) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 13, max_words: int = 150_000) -> DataFrame:
     """The columns of `keep`, n_words, n_hit (words inside an occurrence), items (sorted distinct ids as strings) and spans
-    (start, end in characters of the original text). The benchmark is a curated list: more than max_items items raise."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} items")
-    shared = Shared(df.sparkSession, (sorted((r.i, r.t) for r in rows), window, max_words))
-    source = df.select(*keep, F.col(text).alias("__text"))
+    (start, end in characters of the original text)."""
+    check_keep(keep, ("n_words", "n_hit", "items", "spans"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    n_words = items.agg(F.sum(F.size(F.split("t", r"\s+"))).alias("n")).first().n or 0
+    parts = max(1, -(-n_words // max_words))
+    source = df.select(*[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), F.lit(b"").alias("__runs"), F.array().cast("array<string>").alias("__items"))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).collect()  # at most about max_words words
+        shared = Shared(df.sparkSession, (sorted((r.i, r.t) for r in own), window))
+        if part < parts - 1:
+            source = durable(_pass(source, shared, keep, df.select(*keep).schema, False))
+    return _pass(source, shared, keep, df.select(*keep).schema, True)
+
+
+def _pass(source: DataFrame, shared: Shared, keep: tuple[str, ...], kinds: T.StructType, last: bool) -> DataFrame:
+    """What one automaton finds, added to __runs (packed word ranges) and __items; the last pass makes the result."""
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", spans)])
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", spans)]) if last else source.schema
+    span_type, columns = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = shared.once(Automata)
+        automaton = shared.once(Automaton)
         for batch in batches:
-            n_words, n_hit, items, places = [], [], [], []
-            for value in batch.column("__text"):
+            n_words, n_hit, items, places, packed = [], [], [], [], []
+            for value, runs, known in zip(batch.column("__text"), batch.column("__runs"), batch.column("__items"), strict=True):
                 t = value.as_py()
                 words = normal_words(t)
                 n_words.append(len(words))
-                found = automata.matches(words)
-                if not found:
-                    n_hit.append(0), items.append([]), places.append([])
-                    continue
-                runs, at = _ranges(found), _word_spans(t)
+                found = automaton.matches(words)
+                runs = np.frombuffer(runs.as_py(), np.int64).reshape(-1, 2).tolist()
+                if found:
+                    runs = _ranges([(a, b) for a, b, _ in found] + [(a, b) for a, b in runs])
+                items.append(sorted({*known.as_py(), *(x for i in {i for *_, i in found} for x in automaton.items[i])}))
                 n_hit.append(sum(b - a for a, b in runs))
-                items.append(sorted(set().union(*(automata.items[i] for i in {i for *_, i in found}))))
-                places.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs])
-            new = [pa.array(np.array(n_words, np.int64)), pa.array(np.array(n_hit, np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(places, span_type)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "n_words", "n_hit", "items", "spans"])
+                packed.append(np.array(runs, np.int64).tobytes())
+                at = _word_spans(t) if last and runs else []
+                places.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs] if last else [])
+            passing = [batch.column(f"__keep_{i}") for i in range(len(keep))]
+            if last:
+                new = [pa.array(np.array(n_words, np.int64)), pa.array(np.array(n_hit, np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(places, span_type)]
+                yield pa.RecordBatch.from_arrays([*passing, *new], [*keep, "n_words", "n_hit", "items", "spans"])
+            else:
+                yield pa.RecordBatch.from_arrays([*passing, batch.column("__text"), pa.array(packed, pa.binary()), pa.array(items, pa.list_(pa.string()))], columns)
 
     return source.mapInArrow(tidy(run), schema)
 

@@ -4,8 +4,13 @@ Training counts n-grams of every labelled row where it is read; only sums by (la
 matrix of log-probabilities (languages x buckets) has a size that the parameters fix and is broadcast. Scoring
 gathers matrix rows for the n-grams of a batch and sums them by text.
 
-A text that is null or has no letter gets `und` and score 0. Empty training data gives `und` for all. Ties go to the
-language that sorts first. Repeated rows each get their own result.
+The posterior of a text of some words is near 1 for the best of the learnt languages, also where the text is in none of
+them. `fit` tells that apart: it is the mean log-probability of the text's n-grams of letters less what texts of that language
+have on average, so near 0 for them, whatever the length, and far below for other languages.
+
+A text that is null or has no letter gets `und`, score 0 and no fit. Empty training data gives `und` for all. Ties go to the
+language that sorts first. Repeated rows each get their own result, an empty table none. Columns pass by only when named in
+`keep`; a name that is also an output raises. N-grams of a very long text are counted a piece at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, in_steps, tidy
+from .common import STEP_BYTES, Shared, check_keep, in_steps, tidy
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
@@ -34,28 +39,32 @@ class LanguageModel:
     #: One row for each bucket, one column for each language.
     log_probability: np.ndarray
     log_prior: np.ndarray
+    #: Mean log-probability of an n-gram of each language's training texts.
+    usual: np.ndarray
 
 
-def _ngrams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of the text) of all n-grams. Texts are lower-cased and set apart by a blank."""
-    joined = " " + " ".join(x.lower() for x in texts) + " "
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(x.lower()) for x in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)  # the blank before each text is its own
-    found, owners = [], []
+def _ngrams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, index of the text, whether of letters and blanks alone) of all n-grams, a piece at a time. Texts are lower-cased and set apart by a blank."""
+    lowered = [x.lower() for x in texts]
+    points = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(x) + 1 for x in lowered])  # the blank before each text is its own
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
-    for n in orders:
-        if len(owner) < n:
-            continue
-        h = np.full(len(owner) - n + 1, n, np.uint64)
-        for j in range(n):
-            h = (h + points[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        same = owner[: len(h)] == owner[n - 1 :]
-        found.append((h >> shift)[same].astype(np.int64))
-        owners.append(owner[: len(h)][same])
-    return (np.concatenate(found), np.concatenate(owners)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, STEP_BYTES):
+        piece = points[begin : begin + STEP_BYTES + max(orders) - 1].astype(np.uint64)
+        letter = (piece == 32) | (piece >= 97) & (piece <= 122) | (piece >= 0xC0)
+        owner = np.searchsorted(ends, np.arange(begin, min(begin + len(piece), int(ends[-1]))), side="right")
+        for n in orders:
+            size = min(STEP_BYTES, len(owner) - n + 1)
+            if size <= 0:
+                continue
+            h = np.full(size, n, np.uint64)
+            for j in range(n):
+                h = (h + piece[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            same = owner[:size] == owner[n - 1 : n - 1 + size]
+            plain = np.logical_and.reduce([letter[j : j + size] for j in range(n)])
+            yield (h >> shift)[same].astype(np.int64), owner[:size][same], plain[same]
 
 
 def train_language_model(df: DataFrame, text: str = "text", label: str = "lang", orders: tuple[int, ...] = (2, 3), buckets: int = 1 << 16, smoothing: float = 0.5, max_languages: int = 256) -> LanguageModel:
@@ -71,8 +80,9 @@ def train_language_model(df: DataFrame, text: str = "text", label: str = "lang",
             labels, texts = part.column("__label").to_pylist(), part.column("__text").to_pylist()
             for one in dict.fromkeys(labels):
                 own = [x for x, y in zip(texts, labels, strict=True) if y == one]
-                bucket, _ = _ngrams(own, orders, buckets)
-                totals[one] = totals.get(one, 0) + np.bincount(bucket, minlength=buckets)
+                for bucket, *_ in _ngrams(own, orders, buckets):
+                    totals[one] = totals.get(one, 0) + np.bincount(bucket, minlength=buckets)
+                totals.setdefault(one, np.zeros(buckets, np.int64))
                 rows[one] = rows.get(one, 0) + len(own)
         for one, total in totals.items():
             used = np.flatnonzero(total)
@@ -80,51 +90,65 @@ def train_language_model(df: DataFrame, text: str = "text", label: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["label", "bucket", "n"])
 
     sums = source.mapInArrow(tidy(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    table = sums.toArrow()  # at most max_languages x (buckets + 1) rows, whatever the input
-    labels = table.column("label").to_pylist()
-    languages = sorted(set(labels))
+    # One row for each language, with at most buckets + 1 pairs, whatever the input.
+    table = sums.groupBy("label").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("label").limit(max_languages + 1).toArrow()
+    languages = table.column("label").to_pylist()
     if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} labels; max_languages is {max_languages}")
+        raise ValueError(f"more than {max_languages} labels: the matrix would be too large to send to every machine")
     if not languages:
-        return LanguageModel([], orders, buckets, np.zeros((buckets, 0), np.float32), np.zeros(0))
-    index = {x: i for i, x in enumerate(languages)}
-    column = np.array([index[x] for x in labels])
-    bucket, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
+        return LanguageModel([], orders, buckets, np.zeros((buckets, 0), np.float32), np.zeros(0), np.zeros(0))
     counts, prior = np.zeros((buckets, len(languages))), np.zeros(len(languages))
-    prior[column[bucket < 0]] = n[bucket < 0]
-    counts[bucket[bucket >= 0], column[bucket >= 0]] = n[bucket >= 0]
+    for i, (bucket, n) in enumerate(zip(table.column("bucket"), table.column("n"), strict=True)):
+        bucket, n = bucket.values.to_numpy(), n.values.to_numpy()
+        prior[i] = n[bucket < 0].sum()
+        counts[bucket[bucket >= 0], i] = n[bucket >= 0]
     smooth = counts + smoothing
-    return LanguageModel(languages, orders, buckets, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()))
-
-
-def _posterior(texts: list[str], model: LanguageModel) -> np.ndarray:
-    bucket, owner = _ngrams(texts, model.orders, model.buckets)
-    total = np.tile(model.log_prior, (len(texts), 1))
-    for j in range(len(model.languages)):
-        total[:, j] += np.bincount(owner, weights=model.log_probability[:, j][bucket], minlength=len(texts))
+    log_probability = np.log(smooth / smooth.sum(axis=0))
+    usual = (counts * log_probability).sum(axis=0) / np.maximum(counts.sum(axis=0), 1)
+    return LanguageModel(languages, orders, buckets, log_probability.astype(np.float32), np.log(prior / prior.sum()), usual)
+
+
+def _posterior(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each language, one row for each text; fit to the likeliest one)."""
+    n = len(texts)
+    total = np.zeros((n, len(model.languages)))
+    found = lambda: _ngrams(texts, model.orders, model.buckets)
+    pieces = list(found()) if sum(map(len, texts)) <= 4 * STEP_BYTES else None  # a very long text is read twice instead
+    for bucket, owner, _ in pieces if pieces is not None else found():
+        for j in range(len(model.languages)):
+            total[:, j] += np.bincount(owner, weights=model.log_probability[:, j][bucket], minlength=n)
+    total += model.log_prior
     total -= total.max(axis=1, keepdims=True)
     p = np.exp(total)
-    return p / p.sum(axis=1, keepdims=True)
+    best, size, mean = p.argmax(axis=1), np.zeros(n), np.zeros(n)
+    for bucket, owner, plain in pieces if pieces is not None else found():
+        bucket, owner = bucket[plain], owner[plain]
+        size += np.bincount(owner, minlength=n)
+        mean += np.bincount(owner, weights=model.log_probability[bucket, best[owner]], minlength=n)
+    return p / p.sum(axis=1, keepdims=True), mean / np.maximum(size, 1) - model.usual[best]
 
 
-def identify_language(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """The columns of `keep`, the likeliest language and its posterior probability."""
+def identify_language(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), label_out: str = "lang_pred", score_out: str = "score", fit_out: str = "fit") -> DataFrame:
+    """The columns of `keep`, the likeliest language, its posterior probability and how well the text fits it."""
+    check_keep(keep, (label_out, score_out, fit_out))
     shared = Shared(df.sparkSession, model)
     source = df.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField(label_out, T.StringType(), False), T.StructField(score_out, T.DoubleType(), False)])
+    schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField(label_out, T.StringType(), False), T.StructField(score_out, T.DoubleType(), False), T.StructField(fit_out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.once()
         for part in in_steps(batches, "__text"):
             texts = [x or "" for x in part.column("__text").to_pylist()]
             if m.languages:
-                p = _posterior(texts, m)
+                p, fit = _posterior(texts, m)
                 best = p.argmax(axis=1)
                 known = [_LETTER(x) is not None for x in texts]
                 labels = [m.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
-                scores = np.where(known, p.max(axis=1), 0.0)
+                scores, fits = np.where(known, p.max(axis=1), 0.0), fit
             else:
-                labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, label_out, score_out])
+                known = [False] * len(texts)
+                labels, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            columns = [pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64(), mask=~np.array(known, bool))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, label_out, score_out, fit_out])
 
     return source.mapInArrow(tidy(run), schema)

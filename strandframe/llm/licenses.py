@@ -10,7 +10,8 @@ sentence by itself counts too. Besides the one-line sentences below, the full se
 
 Null and empty texts have no sentences and no licence. Unknown sentences between known ones do not break a rule: a rule
 asks for its identifiers in order. Where several rules match, all are reported, in the order of the rules; `license` is
-the first. Repeated rows each get their own result; extra columns pass by only when named in `keep`.
+the first. Repeated rows each get their own result, an empty table none. Columns pass by only when named in `keep`; a name that
+is also an output raises. A very long text is handled whole by one expression, in memory of some times its size.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import check_keep
 from .license_texts import TEXT_RULES, notices, text_sentences
 
 #: Normalised sentence -> identifier. Several wordings can share one.
@@ -80,6 +82,7 @@ def _words(sentence: str) -> str:
 def recognize_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: dict[str, str] = ALL_SENTENCES, rules: list[tuple[str, list[str], str]] = ALL_RULES, names: dict[str, str] = NOTICE_NAMES) -> DataFrame:
     """The columns of `keep`, sentence_ids (known identifiers in order), licenses (distinct, in the order of the rules),
     license and license_class (of the first rule that matches, else null). names: what may follow the words of a notice."""
+    check_keep(keep, ("sentence_ids", "licenses", "license", "license_class"))
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     # In lower case text, S stands for the end of a sentence and N for that of a line.

@@ -20,7 +20,7 @@ nearly, but not, similar enough: its pairs must be compared, and are, in cells o
 
 A row with a null id or no shingles (null, empty or blank text) is linked with nothing; rows that share an id count as one
 document, equal texts as one set. An empty table gives no rows. Of columns of df only the id passes by, so none can clash. A
-text is held whole while its set is made: about 60 bytes of memory for each byte of the longest text of a batch.
+very long text is hashed a piece at a time; its words and shingles are held whole (about 20 bytes of memory for each byte).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHasher, combine, durable, in_steps, mix64, tidy, utf8, word_spans
+from .common import LOWER, combine, durable, in_steps, mix64, span_hashes, tidy, utf8, word_spans
 from .components import connected_components
 
 TOKENS = 64
@@ -55,7 +55,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     """(sorted distinct shingle hashes of all texts, offsets of each text). A text of fewer words is one shingle."""
     starts, ends, owner = word_spans(data, offsets)
     n = len(offsets) - 1
-    hashes = SpanHasher(LOWER[data]).hash(starts, ends)
+    hashes = span_hashes(data, starts, ends, LOWER)
     first = np.searchsorted(owner, np.arange(n + 1))
     rolled = combine(hashes, words)
     sets = []
@@ -385,7 +385,7 @@ def _confirm(df: DataFrame, text: str, doc_id: str, words: int, pairs: DataFrame
     return joined.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, block: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, recall: float = 0.99999, leaf: int = 256, block: int = 512, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id linked, directly or not) and kept (the document is its component's least) of each row.
 
     broadcast_rows bounds the lists of dense nodes that are broadcast; longer ones meet the nodes by a join.

@@ -4,19 +4,24 @@ Protected entities are e-mail addresses, IP addresses, card and phone numbers, f
 term reveals an entity is estimated from the corpus: with n(e), n(t) documents that hold the entity and the term, n(e, t)
 that hold the term near the entity, and N documents in all, the pointwise mutual information log2(N n(e, t) / (n(e) n(t)))
 relative to the entity's information log2(N / n(e)) is 1 where the term occurs with that entity alone and 0 where they are
-independent. Terms at or above `remove_at` are removed wherever they occur, those at or above `generalize_at` are
-generalised. A pair needs `min_contexts` different surroundings, so that copies of one passage are no evidence.
+independent. Copies of one passage are no evidence, so different surroundings are counted: a pair with fewer than
+`min_contexts` is shrunk by as many imagined documents that hold the term away from the entity for each one missing, and
+counts only if no real document does so. Terms at or above `remove_at` are removed wherever they occur; those at or above
+`generalize_at` are generalised to the kind of entity that they reveal most, such as [EMAIL TERM].
 
 Only words near entities are shuffled, with counts added up before the exchange; texts are not. Chosen terms are broadcast
 where they number at most `max_broadcast_terms`; beyond that they meet the texts by a join.
 
-Null and empty texts have no spans. Spans are in characters (code points), end exclusive. Repeated rows each get their own
-result and count as rows in the statistics. Extra columns pass by only when named in `keep`.
+Null and empty texts have no spans, an empty table no rows. Spans are in characters (code points), end exclusive. Repeated
+rows each get their own result and count as rows in the statistics. Where a term reveals several entities alike, the kind
+listed first names it. Columns pass by only when named in `keep`; a name that is also an output raises. Work is linear in the
+length of a text, which is held whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, durable, tidy
+from .common import Shared, check_keep, durable, tidy
 
 #: Kinds in the order in which spans are listed; the last two come from the corpus statistics.
 KINDS = ("email", "ip", "card", "phone", "disclosing", "revealing")
@@ -88,16 +93,29 @@ def _entity(text: str, span: Span) -> int:
     return xxhash.xxh3_64_intdigest(f"{KINDS[span[0]]}:{value}") - (1 << 63)
 
 
-def _surroundings(text: str, span: Span, spans: list[Span], reach: int) -> tuple[int, set[str]]:
-    """(number of the surroundings, terms in them): the same line up to `reach` characters on either side, entities left out."""
+def _joined(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the disjoint ranges that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start), ends.append(end)
+    return starts, ends
+
+
+def _surroundings(text: str, span: Span, starts: list[int], ends: list[int], reach: int) -> tuple[int, set[str]]:
+    """(number of the surroundings, terms in them): the same line up to `reach` characters on either side, without the ranges
+    of entities (starts, ends)."""
     low = max(text.rfind("\n", max(0, span[1] - reach), span[1]) + 1, span[1] - reach, 0)
     high = text.find("\n", span[2], span[2] + reach)
     high = min(len(text), span[2] + reach) if high < 0 else high
-    pieces, at = [], low
-    for _, start, end in sorted(spans, key=lambda s: s[1:]):
-        if end > at and start < high:
-            pieces.append(text[at : max(at, start)])
-            at = max(at, end)
+    pieces, at, i = [], low, bisect_right(ends, low)
+    while i < len(starts) and starts[i] < high:
+        pieces.append(text[at : max(at, starts[i])])
+        at = ends[i]
+        i += 1
     pieces.append(text[at : max(at, high)])
     around = " ".join(pieces)
     inner = around
@@ -109,29 +127,30 @@ def _surroundings(text: str, span: Span, spans: list[Span], reach: int) -> tuple
 
 
 def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
-    """entity, term, context, first: once for each document, entity, term near it and surroundings; first is 1 for one of these of
-    each document, entity and term, else 0. A null term stands for the entity itself."""
+    """entity, kind, term, context, first: once for each document, entity, term near it and surroundings; first is 1 for one of these
+    of each document, entity and term, else 0. A null term stands for the entity itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entities, terms, contexts, firsts = [], [], [], []
+            entities, kinds, terms, contexts, firsts = [], [], [], [], []
             for value in batch.column(0):
                 t = value.as_py()
                 spans = base_spans(t)
+                starts, ends = _joined(spans)
                 seen: set[tuple[int, str | None]] = set()
                 met: set[tuple[int, int]] = set()
                 for span in spans:
                     entity = _entity(t, span)
-                    context, near = _surroundings(t, span, spans, reach)
+                    context, near = _surroundings(t, span, starts, ends, reach)
                     if (entity, context) in met:
                         continue
                     met.add((entity, context))
                     for term in (None, *near):
-                        entities.append(entity), terms.append(term), contexts.append(context), firsts.append(int((entity, term) not in seen))
+                        entities.append(entity), kinds.append(span[0]), terms.append(term), contexts.append(context), firsts.append(int((entity, term) not in seen))
                         seen.add((entity, term))
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], ["entity", "term", "context", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], ["entity", "kind", "term", "context", "first"])
 
-    return df.select(text).mapInArrow(tidy(run), "entity long, term string, context long, first long")
+    return df.select(text).mapInArrow(tidy(run), "entity long, kind int, term string, context long, first long")
 
 
 def _terms_of(text: str) -> set[str]:
@@ -166,37 +185,53 @@ def _document_counts(df: DataFrame, terms: DataFrame, text: str, broadcast: bool
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", reach: int = 80, min_contexts: int = 3, generalize_at: float = 0.8, remove_at: float = 0.95, max_broadcast_terms: int = 1_000_000) -> DataFrame:
-    """term, disclosure (the greatest over entities, 0 to 1) and action (`remove` or `generalize`), of the whole corpus."""
-    pairs = _co_occurrences(df, text, reach).groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts"))
-    pairs = durable(pairs.where(F.col("term").isNull() | (F.col("contexts") >= min_contexts)))
+    """term, disclosure (the greatest over entities, 0 to 1), kind (of the entity that it reveals most) and action (`remove` or
+    `generalize`), of the whole corpus."""
+    pairs = _co_occurrences(df, text, reach).groupBy("entity", "kind", "term", "context").agg(F.sum("first").alias("n"))
+    pairs = durable(pairs.groupBy("entity", "kind", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts")))
     entities = pairs.where("term IS NULL").select("entity", F.col("n_et").alias("n_e"))
     candidates = pairs.where("term IS NOT NULL")
     terms = candidates.select("term").distinct()
     broadcast = terms.count() <= max_broadcast_terms
     total = df.count()
     counted = candidates.join(entities, "entity").join(_document_counts(df, terms, text, broadcast), "term")
+    missing = F.greatest(F.lit(0), F.lit(min_contexts) - F.col("contexts"))
     log2 = lambda c: F.log2(c.cast("double"))
     information = F.lit(float(total)).cast("double")
     ratio = F.try_divide(
-        log2(information * F.col("n_et") / (F.col("n_e") * F.col("n_t"))),
+        log2(information * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + missing))),
         log2(information / F.col("n_e")),
     )
-    strongest = counted.withColumn("r", F.least(F.lit(1.0), ratio)).groupBy("term").agg(F.max("r").alias("disclosure")).where(F.col("disclosure") >= generalize_at)
-    return durable(strongest.withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalize")))
+    counted = counted.where((missing == 0) | (F.col("n_t") == F.col("n_et"))).withColumn("r", F.least(F.lit(1.0), ratio))
+    strongest = counted.groupBy("term").agg(F.max(F.struct("r", (-F.col("kind")).alias("k"))).alias("m")).where(F.col("m.r") >= generalize_at)
+    kind = F.array(*[F.lit(k) for k in BASE_KINDS])[(-F.col("m.k")).cast("int")]
+    action = F.when(F.col("m.r") >= remove_at, "remove").otherwise("generalize")
+    return durable(strongest.select("term", F.col("m.r").alias("disclosure"), kind.alias("kind"), action.alias("action")))
+
+
+#: What each kind of a chosen term (4: removed, 5 and more: generalised, by the entity's kind) is replaced by.
+_REPLACED = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[EMAIL TERM]", "[IP TERM]", "[CARD TERM]", "[PHONE TERM]"]
 
 
 def _apply(text: str, chosen: dict[str, int]) -> list[Span]:
+    """Base spans, then those of chosen terms outside them."""
     spans = base_spans(text)
     if chosen:
-        kinds = [(kind, m.start(), m.end()) for m in _TERM.finditer(text) if (kind := chosen.get(m[0].lower()))]
-        taken = sorted(s[1:] for s in spans)
-        spans += sorted(s for s in kinds if not any(a < s[2] and s[1] < b for a, b in taken))
+        starts, ends = _joined(spans)
+        own = []
+        for m in _TERM.finditer(text):
+            kind = chosen.get(m[0].lower())
+            if kind:
+                i = bisect_right(ends, m.start())
+                if i == len(starts) or starts[i] >= m.end():
+                    own.append((kind, *m.span()))
+        spans += sorted(own, key=lambda s: (min(s[0], 5), s[1]))
     return spans
 
 
 def redact(text: str, spans: list[Span]) -> str:
-    """Entities become their kind in brackets, revealing terms [TERM]; disclosing terms go. Overlapping spans become one, of the kind listed first."""
+    """Entities become their kind in brackets, revealing terms what they reveal; disclosing terms go. Overlapping spans become
+    one, of the kind listed first."""
     pieces, at = [], 0
     merged: list[list[int]] = []
     for kind, start, end in sorted(spans, key=lambda s: (s[1], s[0])):
@@ -206,7 +241,7 @@ def redact(text: str, spans: list[Span]) -> str:
             merged.append([kind, start, end])
     for kind, start, end in merged:
         pieces.append(text[at:start])
-        pieces.append("" if kind == 4 else "[TERM]" if kind == 5 else f"[{KINDS[kind].upper()}]")
+        pieces.append(_REPLACED[kind])
         at = end
     pieces.append(text[at:])
     return "".join(pieces)
@@ -215,6 +250,7 @@ def redact(text: str, spans: list[Span]) -> str:
 def sanitize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), terms: DataFrame | None = None, max_broadcast_terms: int = 1_000_000) -> DataFrame:
     """The columns of `keep`, spans (kind, start, end; by kind, then start) and sanitized (the text with the spans replaced;
     null stays null). `terms` is the result of disclosing_terms, by default that of df itself."""
+    check_keep(keep, ("spans", "sanitized"))
     terms = disclosing_terms(df, text, max_broadcast_terms=max_broadcast_terms) if terms is None else terms
     few = terms.limit(max_broadcast_terms + 1).count() <= max_broadcast_terms
     source = df.select(*keep, F.col(text).alias("__text"))
@@ -223,7 +259,7 @@ def sanitize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     schema = T.StructType([*fields, T.StructField("spans", span, False), T.StructField("sanitized", T.StringType())])
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     if few:
-        shared = Shared(df.sparkSession, {r.term: 4 if r.action == "remove" else 5 for r in terms.toLocalIterator()})
+        shared = Shared(df.sparkSession, {r.term: 4 if r.action == "remove" else 5 + BASE_KINDS.index(r.kind) for r in terms.toLocalIterator()})
     else:
         source = _with_terms(source, terms)
 
@@ -233,7 +269,7 @@ def sanitize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             every = [shared.once()] * len(texts) if few else [dict(x or ()) for x in batch.column("__terms").to_pylist()]
             spans = [_apply(t, own) if t else [] for t, own in zip(texts, every, strict=True)]
             new = [redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in spans]
+            rows = [[{"kind": KINDS[min(k, 5)], "start": a, "end": b} for k, a, b in s] for s in spans]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, span_type), pa.array(new, pa.string())], [*keep, "spans", "sanitized"])
 
     return source.mapInArrow(tidy(run), schema)
@@ -250,5 +286,5 @@ def _with_terms(source: DataFrame, terms: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(own), pa.int64()), pa.array(own, pa.string())], ["__row", "term"])
 
     held = staged.select("__row", "__text").mapInArrow(tidy(words), "__row long, term string").join(terms, "term")
-    pair = F.struct("term", F.when(F.col("action") == "remove", 4).otherwise(5).alias("kind"))
+    pair = F.struct("term", F.when(F.col("action") == "remove", 4).otherwise(F.array_position(F.array(*[F.lit(k) for k in BASE_KINDS]), F.col("kind")) + 4).cast("int").alias("kind"))
     return staged.join(held.groupBy("__row").agg(F.map_from_entries(F.collect_list(pair)).alias("__terms")), "__row", "left")

@@ -4,8 +4,10 @@ Rolling hashes of several n-gram lengths are computed for many texts at once in
 characters inside its repeated n-grams of any length, or its repeated lines, exceed that length's share.
 Everything happens where the text is read; no shuffle.
 
-Null, empty and blank texts have zero counts and fail the base rule. Repeated rows each get their own result.
-Extra columns pass by only when named in `keep`.
+Null, empty and blank texts have zero counts and fail the base rule. Repeated rows each get their own result, an empty table
+none. A share equal to its limit passes. Extra columns pass by only when named in `keep`; a name that is also an output raises.
+Bytes of a very long text are hashed a piece at a time; its words and lines are held whole (about 20 bytes of memory for each
+byte of text).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, combine, in_steps, line_spans, mix64, tidy, utf8, word_spans
+from .common import BEGINS, check_keep, combine, in_steps, line_spans, mix64, span_counts, span_hashes, tidy, utf8, word_spans
 
 
 @dataclass(frozen=True)
@@ -56,23 +58,20 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], bas
     """Counts of each text; `ngram_<n>` and `dup_lines` are numbers of characters in words."""
     n = len(offsets) - 1
     starts, ends, owner = word_spans(data, offsets)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = points[ends] - points[starts]
+    chars = span_counts(data, starts, ends, BEGINS)
     per_text = lambda weights: np.bincount(owner, weights=weights, minlength=n).astype(np.int64)
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-    out = {"n_words": np.bincount(owner, minlength=n).astype(np.int64), "word_chars": per_text(chars), "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]]}
-    hasher = SpanHasher(data)
-    words = hasher.hash(starts, ends)
+    out = {"n_words": np.bincount(owner, minlength=n).astype(np.int64), "word_chars": per_text(chars), "n_symbols": per_text(span_counts(data, starts, ends, _SYMBOL))}
+    words = span_hashes(data, starts, ends)
     own = mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))  # sets the texts of a step apart
     last_word = np.searchsorted(owner, np.arange(n), side="right")
     for k in {*lengths, base_window}:
         rolled = combine(words, k)
         begin = np.flatnonzero(last_word[owner[: len(rolled)]] - np.arange(len(rolled)) >= k)
         twice, _ = _repeated(rolled[begin] ^ own[owner[begin]])
-        edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, begin[twice], 1)
-        np.add.at(edge, begin[twice] + k, -1)
-        covered = np.cumsum(edge[:-1]) > 0
+        edge = np.zeros(len(words) + 1, np.int32)
+        edge[begin[twice]] = 1
+        edge[begin[twice] + k] -= 1
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
         out[f"ngram_{k}"] = per_text(chars * covered)
         if k == base_window:
             out["n_repeat_words"] = per_text(covered)
@@ -81,7 +80,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], bas
     real = word_to > word_from
     line_starts, line_ends, word_from, word_to = line_starts[real], line_ends[real], word_from[real], word_to[real]
     line_owner = owner[word_from]
-    _, later = _repeated(hasher.hash(line_starts, line_ends) ^ own[line_owner])
+    _, later = _repeated(span_hashes(data, line_starts, line_ends) ^ own[line_owner])
     sums = np.concatenate([[0], np.cumsum(chars)])
     out["n_dup_lines"] = np.bincount(line_owner, weights=later, minlength=n).astype(np.int64)
     out["dup_lines"] = np.bincount(line_owner, weights=(sums[word_to] - sums[word_from]) * later, minlength=n).astype(np.int64)
@@ -91,6 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], bas
 def repetition_quality(df: DataFrame, rules: RepetitionRules = RepetitionRules(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, the counts, the share of characters in repeated n-grams of each length and in repeated lines,
     base_failed, and kept: neither the base rule nor any share is exceeded."""
+    check_keep(keep, (*_COUNTS, *(f"ngram_share_{k}" for k in rules.ngram_share), "dup_line_share", "base_failed", "kept"))
     lengths = tuple(sorted(rules.ngram_share))
     shares = [f"ngram_share_{k}" for k in lengths] + ["dup_line_share"]
     source = df.select(*keep, F.col(text).alias("__text"))

@@ -8,7 +8,8 @@
    buckets of a random key, so no task sorts a whole shard.
 
 Every row is placed on its own: copies of a text, repeated rows and null or empty texts are rows like others. An empty
-table gives no rows. Columns of df pass by; those named shard or slot are replaced.
+table gives no rows. Columns of df pass by; those named shard or slot are replaced, names of this module begin with two
+underscores. Very long texts are rows like others, and move twice.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray
     out = np.zeros((len(rows), shards), np.int64)
     for p, n in enumerate(rows):
         remaining = int(left.sum())
+        if remaining < 1_000_000_000:  # numpy draws the whole row
+            out[p] = generator.multivariate_hypergeometric(left, int(n), method="marginals")
+            left -= out[p]
+            continue
         for s in range(shards):  # one shard after another: each draw is a plain hypergeometric one
             if n == 0:
                 break
@@ -92,14 +97,16 @@ def hypergeometric_shuffle(df: DataFrame, shards: int, seed: int = 17) -> DataFr
     counted = staged.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # one number for each input split
     parts, rows = [r["__part"] for r in counted], np.array([r.n for r in counted], np.int64)
     matrix = communication_matrix(rows, shards, seed) if len(rows) else np.zeros((0, shards), np.int64)
-    bounds = spark.createDataFrame([(p, [int(x) for x in np.cumsum(row)]) for p, row in zip(parts, matrix, strict=True)], "__part int, bounds array<long>")
+    flat = pa.array(np.cumsum(matrix, axis=1).ravel(), pa.int64())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, shards), pa.int32()), flat)
+    bounds = spark.createDataFrame(pa.table({"__part": pa.array(parts, pa.int32()), "__bounds": lists}))
 
     local = Window.partitionBy("__part").orderBy(_uniform(seed, "__part", "__row"), "__row")
     ranked = staged.withColumn("__rank", F.row_number().over(local))
     sent = (
         ranked.join(bounds, "__part")
-        .withColumn("shard", F.size(F.filter("bounds", lambda b: b < F.col("__rank"))))
-        .drop("bounds", "__rank")
+        .withColumn("shard", F.size(F.filter("__bounds", lambda b: b < F.col("__rank"))))
+        .drop("__bounds", "__rank")
     )
 
     n = int(rows.sum())
