@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def with_totals(df: DataFrame, scope: Sequence[str], totals: Sequence[Column], of: DataFrame | None = None) -> DataFrame:
+    """Each row with aggregates of its scope (of `of`, by default of df itself). Sums are partial before the exchange and the small
+    result is joined back, so a scope with most of the rows does not fill one task as a window over it would. A null scope is one."""
+    keys = [F.col(c) for c in scope] or [F.lit(0)]
+    table = (df if of is None else of).groupBy(*[k.alias(f"__scope_{i}") for i, k in enumerate(keys)]).agg(*totals)
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same &= key.eqNullSafe(F.col(f"__scope_{i}"))
+    return df.join(table, same).drop(*[f"__scope_{i}" for i in range(len(keys))])
+
+
 def best_hit(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by the order, whose last entries break ties. Nulls in the order sort first.
     A minimum over structs: no sort, no window, and partial minima before the exchange."""
@@ -35,15 +46,15 @@ def word_frequency(df: DataFrame, text: Column) -> DataFrame:
 
 def proximity_score(df: DataFrame, group: str, relative: str, scope: Sequence[str] = (), products: str | None = None) -> DataFrame:
     """For each group of a scope: total_gene, total_r, average_r, score = sum(1 / (|relative| + 1)) * n^2 / N * 100 with N the rows
-    of the scope, readme_score = n / sum(relative) * n^2 / N * 100 and, where asked for, products (sorted, copies included)."""
+    of the scope, readme_score = n / sum(relative) * n^2 / N * 100 and, where asked for, products (sorted, copies included).
+    products holds every row of a group in one value, so ask for it only where a group fits a row; otherwise keep the rows."""
     keys = [*scope, group]
     n, total = F.count("*"), F.sum(F.col(relative).cast("double"))
     measures = [n.alias("total_gene"), total.alias("total_r"), F.sum(1.0 / (F.abs(F.col(relative).cast("double")) + 1)).alias("__near")]
     if products:
         measures.append(F.sort_array(F.collect_list(products)).alias("products"))
-    groups = df.groupBy(*keys).agg(*measures)
-    whole = F.sum("total_gene").over(Window.partitionBy(*scope))
-    weight = F.col("total_gene") * F.col("total_gene") / whole * 100
+    groups = with_totals(df.groupBy(*keys).agg(*measures), scope, [F.count("*").alias("__whole")], df)
+    weight = F.col("total_gene") * F.col("total_gene") / F.col("__whole") * 100
     return groups.select(
         *keys,
         "total_gene",
@@ -72,23 +83,40 @@ def document_flags(df: DataFrame, items: str, flags: dict[str, callable]) -> Dat
 
 def share_bucket(df: DataFrame, scope: Sequence[str], label: str, value: str, share: float, other: str = "Other") -> DataFrame:
     """Labels whose value is a smaller share of their scope's total become `other`, and are added up."""
-    total = F.sum(value).over(Window.partitionBy(*scope))
-    kept = F.when(F.try_divide(F.col(value).cast("double"), total) >= share, F.col(label)).otherwise(F.lit(other))
-    return df.withColumn(label, kept).groupBy(*scope, label).agg(F.sum(value).alias(value))
+    counted = with_totals(df, scope, [F.sum(value).alias("__total")])
+    kept = F.when(F.try_divide(F.col(value).cast("double"), F.col("__total")) >= share, F.col(label)).otherwise(F.lit(other))
+    return counted.withColumn(label, kept).groupBy(*scope, label).agg(F.sum(value).alias(value))
 
 
 def minmax_scale(df: DataFrame, scope: Sequence[str], value: Column, name: str) -> DataFrame:
     """Value scaled to 0 to 1 inside its scope; 0 where all are equal."""
-    own = Window.partitionBy(*scope)
-    raw = df.withColumn("__v", value)
-    low, high = F.min("__v").over(own), F.max("__v").over(own)
-    return raw.withColumn(name, F.coalesce(F.try_divide(F.col("__v") - low, high - low), F.lit(0.0))).drop("__v")
+    raw = with_totals(df.withColumn("__v", value), scope, [F.min("__v").alias("__low"), F.max("__v").alias("__high")])
+    scaled = F.coalesce(F.try_divide(F.col("__v") - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
+    return raw.withColumn(name, scaled).drop("__v", "__low", "__high")
 
 
 def mean_pairwise(pairs: DataFrame, distance: str) -> DataFrame:
     return pairs.agg(F.coalesce(F.avg(distance), F.lit(0.0)).alias("mean_distance"), F.count("*").alias("pairs"))
 
 
+def mean_p_distance(df: DataFrame, text: str) -> DataFrame:
+    """mean_distance and pairs: what mean_pairwise gives for the p-distances of all pairs of texts, without making the pairs. Texts of
+    equal length agree at a place as often as their letters there meet, so counts of letters by length and place suffice. Null
+    texts are left out; a pair with an empty text has distance 0."""
+    texts = df.where(F.col(text).isNotNull()).select(F.length(text).alias("size"), F.split(text, "").alias("letters"))
+    sizes = texts.groupBy("size").agg(F.count("*").alias("n"))
+    counts = texts.where("size > 0").select("size", F.posexplode("letters").alias("place", "letter")).groupBy("size", "place", "letter").agg(F.count("*").alias("c"))
+    side = lambda t, s: t.withColumnsRenamed({c: f"{c}_{s}" for c in t.columns if c not in ("place", "letter")})
+    one, two = side(counts, "a"), side(counts, "b")
+    alike = one.join(two, ["place", "letter"]).where("size_a <= size_b").groupBy("size_a", "size_b").agg(F.sum(F.when(F.expr("size_a = size_b"), F.expr("c_a * (c_b - 1) / 2")).otherwise(F.expr("c_a * c_b"))).alias("alike"))
+    met = side(sizes, "a").join(side(sizes, "b"), F.col("size_a") <= F.col("size_b"))  # of lengths, not of texts
+    met = met.withColumn("pairs", F.when(F.expr("size_a = size_b"), F.expr("n_a * (n_b - 1) div 2")).otherwise(F.expr("n_a * n_b")))
+    whole = met.join(alike, ["size_a", "size_b"], "left")
+    far = F.when(F.col("size_a") == 0, 0.0).otherwise(F.col("pairs") - F.coalesce("alike", F.lit(0.0)) / F.col("size_a"))
+    pairs = F.coalesce(F.sum("pairs"), F.lit(0)).cast("long")
+    return whole.agg(F.coalesce(F.try_divide(F.sum(far), F.sum("pairs").cast("double")), F.lit(0.0)).alias("mean_distance"), pairs.alias("pairs"))
+
+
 def compare_means(a: Column, b: Column) -> Column:
     return F.when(a > b, "first").when(b > a, "second").otherwise("equal")
 

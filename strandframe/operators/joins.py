@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from .aggregates import best_hit
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -26,12 +30,15 @@ def missing_keys(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFram
 
 
 def nearest_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: Sequence[str], distance: Column, tie: Sequence[str], max_distance: float | None = None, band: tuple[str, str, int] | None = None) -> DataFrame:
-    """For each left row its right row of least distance on the same key; ties go to the first by `tie`.
+    """For each left row its right row of least distance on the same key; ties go to the first by `tie`. Left rows that are equal
+    in `on` and left_key are one.
 
     distance is over columns of both sides, whose names must differ except for `on`. With band = (left position, right position,
     width) only right rows in the same or a neighbouring band of that width are met, which is exact for max_distance <= width
     and keeps a large key from meeting itself in full. A right row may serve several left rows.
     """
+    if band and (max_distance is None or max_distance > band[2]):
+        raise ValueError("a band must be as wide as max_distance at least: partners beyond it would be lost")
     if band:
         left_at, right_at, width = band
         left = left.withColumn("__band", F.explode(F.array(*[F.floor(F.col(left_at) / width) + i for i in (-1, 0, 1)])))
@@ -45,6 +52,24 @@ def nearest_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key:
     return best.select(*on, *left_key, F.col("m.__d").alias("distance"), *[F.col(f"m.__r.{c}").alias(c) for c in rest])
 
 
+def nearest_sorted(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, tie: str) -> DataFrame:
+    """Each left row with its right row of the same key whose position is nearest, at any distance; ties go to the least `tie`. Left
+    rows without a partner go. Both sides are sorted once by position, where the neighbours on either side are the only
+    candidates: linear in the rows of a key, never pairs of them."""
+    rest = [c for c in right.columns if c not in on]
+    best = right.where(F.col(right_at).isNotNull()).groupBy(*on, F.col(right_at).alias("__at")).agg(F.min(F.struct(tie, *[c for c in rest if c != tie])).alias("__r"))
+    rows = left.where(F.col(left_at).isNotNull())
+    both = rows.select(*on, F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(best.schema["__r"].dataType).alias("__r")).unionByName(best.withColumn("__l", F.lit(None).cast(T.StructType(left.schema.fields))))
+    order = Window.partitionBy(*on).orderBy("__at")
+    found = F.when(F.col("__r").isNotNull(), F.struct("__at", "__r"))
+    before = F.last(found, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(found, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    met = both.withColumns({"__b": before, "__a": after}).where("__l IS NOT NULL AND (__b IS NOT NULL OR __a IS NOT NULL)")
+    ranked = F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{s}.__at")).alias("d"), F.col(f"{s}.__r.{tie}").alias("t"), F.col(f"{s}.__r").alias("r"))) for s in ("__b", "__a")])
+    nearest = met.withColumn("__m", F.array_min(F.array_compact(ranked)))
+    return nearest.select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], F.col("__m.d").alias("distance"), *[F.col(f"__m.r.{c}").alias(c) for c in rest])
+
+
 def window_proximity(targets: DataFrame, features: DataFrame, on: Sequence[str], target: tuple[str, str], feature: tuple[str, str], reach: int, length: str | None = None, max_overlap: float | None = None) -> DataFrame:
     """Features that lie wholly within `reach` of a target of the same key, with side and gap. Features that overlap the target by
     more than max_overlap per cent of the hull are left out.
@@ -65,10 +90,10 @@ def window_proximity(targets: DataFrame, features: DataFrame, on: Sequence[str],
 
 
 def interval_exact_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """For each left row the first right row of equal key and bounds."""
-    rest = [c for c in right.columns if c not in on]
-    best = left.join(right, list(on)).groupBy(*on, *left_key).agg(F.min(F.struct(*order, F.struct(*rest).alias("__r"))).alias("m"))
-    return best.select(*on, *left_key, *[F.col(f"m.__r.{c}").alias(c) for c in rest])
+    """For each left row the first right row of equal key and bounds: the right side is reduced to one row a key, with partial
+    minima, before the two meet."""
+    best = best_hit(right, on, [F.col(c) for c in order])
+    return left.select(*on, *left_key).join(best, list(on))
 
 
 def self_pairs(df: DataFrame, key: str, on: Sequence[str] = ()) -> DataFrame:

@@ -23,10 +23,26 @@ def write_fasta(df: DataFrame, path: str, header: str, sequence: str, order: Seq
     lines.select(fasta_lines(F.col(header), F.col(sequence)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_named(df: DataFrame, column: str, path: str) -> None:
+    """Lines of a text column as one file with exactly this name, for outputs whose name is data. A single task writes it, so
+    it is for what belongs in one file: an alignment, a record, a table of one group."""
+    spark, folder = df.sparkSession, f"{path}.parts"
+    df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(folder), hadoop.Path(path)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = files.globStatus(hadoop.Path(folder, "part-*"))[0].getPath()
+    files.delete(target, True)
+    files.rename(part, target)
+    files.delete(source, True)
+
+
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Rows of `new` to append: the first of each key by the order, unless the key exists. Rows with a null key never match."""
+    """Rows of `new` to append: the first of each key by the order, unless the key exists. Rows with a null key equal none, nor each
+    other: all are appended."""
     first = Window.partitionBy(key).orderBy(*order)
-    return new.join(existing.select(key), key, "left_anti").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    fresh = new.where(F.col(key).isNotNull()).join(existing.select(key), key, "left_anti").select(*new.columns)
+    return fresh.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").unionByName(new.where(F.col(key).isNull()))
 
 
 def upsert(existing: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -24,11 +26,15 @@ PRODUCT_RULES = [
 GROUP_LABELS = {"1_": "Group I", "2_": "Group II", "3_": "Group III", "4_": "Group IV", "5_": "Group V"}
 
 
-def similarity(a: str, b: str) -> float:
-    """Normalised edit similarity of lower-cased texts, as the built-in expression gives it."""
+def similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Normalised edit similarity of lower-cased texts, as the built-in expression gives it. Where lengths or letters alone show
+    that it is under `least`, 0 is given at once."""
     a, b = a.lower(), b.lower()
     if not a or not b:
         return 1.0 if a == b else 0.0
+    longest = max(len(a), len(b))
+    if 1 - abs(len(a) - len(b)) / longest < least or least and 1 - (longest - (Counter(a) & Counter(b)).total()) / longest < least:
+        return 0.0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         corner, row[0] = row[0], i
@@ -37,29 +43,43 @@ def similarity(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b))
 
 
+def token_sort_similarity(a: str, b: str) -> float:
+    """Edit similarity of the words in alphabetical order: word order does not count."""
+    return similarity(*(" ".join(sorted(x.lower().split())) for x in (a, b)))
+
+
+def partial_similarity(a: str, b: str) -> float:
+    """Edit similarity of the shorter text with the likest stretch of the longer one of the same length."""
+    short, long = sorted((a, b), key=len)
+    return max(similarity(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+
+
 def fuzzy_group(df: DataFrame, scope: Sequence[str], text: str, position: str, rules=PRODUCT_RULES, threshold: float = 0.9, scorer: Callable[[str, str], float] = similarity) -> DataFrame:
     """scope, text and group of each distinct text: the rule's group, else a founder's name.
 
-    Founders are the greedy leaders among the texts without a rule in order of first appearance. A text belongs to its most
-    similar founder among those founded before its own last occurrence (the earlier one where equal). The scorer is a
-    parameter; the default is a normalised edit similarity. Each scope's distinct texts are one group in Python: a
-    vocabulary of names, not the rows."""
-    stats = df.where(F.col(text).isNotNull()).groupBy(*scope, text).agg(F.min(position).alias("first"), F.max(position).alias("last"))
+    Rows are in order of position and then text; those without a position come last. Founders are the greedy leaders among the
+    texts without a rule in order of first appearance. A text belongs to its most similar founder among those founded before its
+    own last occurrence (the earlier one where equal). The scorer is a parameter; the default is a normalised edit similarity.
+    Each scope's distinct texts are one group in Python, as every leader depends on those before: a vocabulary of names, not
+    the rows."""
+    at = F.coalesce(F.col(position).cast("double"), F.lit(float("inf")))
+    stats = df.where(F.col(text).isNotNull()).groupBy(*scope, text).agg(F.min(at).alias("first"), F.max(at).alias("last"))
     ruled = stats.withColumn("group", S.keyword_classify(F.col(text), rules, F.lit(None).cast("string")))
     free = ruled.where("group IS NULL").drop("group")
 
     def leaders(texts: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values(["first", text], kind="stable")
-        founders: list[tuple[str, int]] = []
+        score = functools.partial(similarity, least=threshold) if scorer is similarity else scorer
+        founders: list[tuple[float, str]] = []
         chosen: dict[str, str] = {}
         for name, first in zip(texts[text], texts["first"], strict=True):
-            if not any(scorer(name, f) >= threshold for f, _ in founders):
-                founders.append((name, first))
+            if not any(score(name, f) >= threshold for _, f in founders):
+                founders.append((first, name))
                 chosen[name] = name
         for name, last in zip(texts[text], texts["last"], strict=True):
             if name not in chosen:
-                scores = [(scorer(name, f), -i) for i, (f, at) in enumerate(founders) if at < last]
-                chosen[name] = founders[-max(s for s in scores if s[0] >= threshold)[1]][0]
+                scores = [(score(name, f), -i) for i, (at, f) in enumerate(founders) if (at, f) < (last, name)]
+                chosen[name] = founders[-max(s for s in scores if s[0] >= threshold)[1]][1]
         return texts[[*scope, text]].assign(group=texts[text].map(chosen))
 
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in free.schema if f.name in (*scope, text)]
@@ -77,19 +97,21 @@ def neighbour_features(targets: DataFrame, features: DataFrame, reach: int = 10_
     return found.select("target_id", "record_id", "product", "start", "end", F.col("gap").alias("relative"), F.col("side").alias("type"), "ordinal")
 
 
-def replicon_type(features: DataFrame) -> DataFrame:
-    """record_id and Genome, Plasmid or Unclassified: the definition line decides before the molecule type, plasmid before genome there."""
-    source = features.where("type = 'source'").select("record_id", "ordinal", F.lower("definition").alias("d"), F.lower(F.try_element_at(F.try_element_at("qualifiers", F.lit("mol_type")), F.lit(1))).alias("m"))
+def replicon_type(features: DataFrame, by: str = "record_id") -> DataFrame:
+    """by (a record or a file) and seq_type, Genome, Plasmid or Unclassified: the definition line decides before the molecule type,
+    plasmid before genome there. The last source feature decides, and in a file that of its last record."""
+    source = features.where("type = 'source'").select(by, "record_no", "ordinal", F.lower("definition").alias("d"), F.lower(F.try_element_at(F.try_element_at("qualifiers", F.lit("mol_type")), F.lit(1))).alias("m"))
     kind = F.coalesce(
         F.when(F.col("d").contains("plasmid"), "Plasmid"), F.when(F.col("d").contains("genome"), "Genome"),
         F.when(F.col("m").contains("genomic"), "Genome"), F.when(F.col("m").contains("plasmid"), "Plasmid"), F.lit("Unclassified"),
     )
-    return aggregates.best_hit(source.select("record_id", (-F.col("ordinal")).alias("o"), kind.alias("seq_type")), ["record_id"], [F.col("o")]).drop("o")
+    return aggregates.best_hit(source.select(by, (-F.col("record_no")).alias("n"), (-F.col("ordinal")).alias("o"), kind.alias("seq_type")), [by], [F.col("n"), F.col("o")]).drop("n", "o")
 
 
-def enrichment(flanks: DataFrame, cluster: str = "cluster", product: str = "product", relative: str = "relative", position: str = "position") -> DataFrame:
-    """Group scores of each cluster: products are grouped, then scored by proximity and number; the best first."""
-    groups = fuzzy_group(flanks, [cluster], product, position)
+def enrichment(flanks: DataFrame, cluster: str = "cluster", product: str = "product", relative: str = "relative", position: str = "position", threshold: float = 0.9) -> DataFrame:
+    """Group scores of each cluster: products are grouped, then scored by proximity and number; the best first. With a threshold
+    over 1 only the rules group, and any other product stands alone."""
+    groups = fuzzy_group(flanks, [cluster], product, position, threshold=threshold)
     scored = aggregates.proximity_score(flanks.join(groups, [cluster, product]), "group", relative, [cluster], product)
     return scored.orderBy(cluster, F.desc("score"), "group")
 
@@ -101,6 +123,13 @@ def heat_matrix(scores: DataFrame, value: str, group: str, score: str, file: str
     return nested.pivot_matrix(scaled, value, group, F.first("scaled"), groups)
 
 
+def heat_matrix_of_files(spark: SparkSession, path: str, groups: Sequence[str], named: str) -> DataFrame:
+    """The heat matrix of the score tables of a folder whose names begin with `named`_value_: files tell group and value."""
+    scores = spark.read.csv(path, header=True, schema="Group string, Score double").select("Group", "Score", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+    of_file = scores.withColumn("dims", S.filename_to_dims(F.col("file"))).where(F.col("dims.group") == named).withColumn("value", F.col("dims.value"))
+    return heat_matrix(of_file, "value", "Group", "Score", "file", groups)
+
+
 def classify_proteins(proteins: DataFrame, hits: DataFrame, metadata: DataFrame, max_e_value: float = 1e-10) -> DataFrame:
     """Each protein with its best hit under the cut-off (cluster `N/A` without one) and its metadata, whose values win."""
     best = aggregates.best_hit(hits.where(F.col("e_value") < max_e_value), ["target_name"], [F.col("e_value"), -F.col("score"), F.col("query_name")])
@@ -115,11 +144,24 @@ def locate_hits(segments: DataFrame) -> DataFrame:
 
 
 def pair_regulators(genes: DataFrame, max_distance: int = 1000, main: str = "MAIN_GENE", other: str = "REGULATOR") -> DataFrame:
-    """Each main gene with the nearest regulator of its contig by midpoint; the first in the file among equals. Numbered in order."""
+    """Each main gene with the nearest regulator of its file and contig by midpoint; the first in the file among equals. In order."""
     middle = genes.where("reject IS NULL").withColumn("mid", S.midpoint(F.col("start"), F.col("end")))
-    left = middle.where(F.col("kind") == main).select("contig", F.col("ordinal").alias("m_ordinal"), F.col("mid").alias("m_mid"), F.col("seq").alias("m_seq"))
-    right = middle.where(F.col("kind") == other).select("contig", F.col("ordinal").alias("r_ordinal"), F.col("mid").alias("r_mid"), F.col("seq").alias("r_seq"))
-    return joins.nearest_join(left, right, ["contig"], ["m_ordinal", "m_mid", "m_seq"], F.abs(F.col("m_mid") - F.col("r_mid")), ["r_ordinal"], max_distance, ("m_mid", "r_mid", max_distance)).orderBy("m_ordinal")
+    left = middle.where(F.col("kind") == main).select("file", "contig", F.col("ordinal").alias("m_ordinal"), F.col("mid").alias("m_mid"), F.col("seq").alias("m_seq"))
+    right = middle.where(F.col("kind") == other).select("file", "contig", F.col("ordinal").alias("r_ordinal"), F.col("mid").alias("r_mid"), F.col("seq").alias("r_seq"))
+    return joins.nearest_join(left, right, ["file", "contig"], ["m_ordinal", "m_mid", "m_seq"], F.abs(F.col("m_mid") - F.col("r_mid")), ["r_ordinal"], max_distance, ("m_mid", "r_mid", max_distance)).orderBy("file", "m_ordinal")
+
+
+def nearest_flanks(targets: DataFrame, flanks: DataFrame) -> DataFrame:
+    """Each target (contig, target_id, target_start) with the flank (start, end, product, ordinal) of its contig whose start is nearest,
+    the first by ordinal among equals, and the header of that flank's record."""
+    near = joins.nearest_sorted(targets, flanks, ["contig"], "target_start", "start", "ordinal")
+    return near.withColumn("header", S.header_compose(F.lit("REGULATOR"), F.col("product"), F.col("start"), F.col("end"), F.col("contig")))
+
+
+def divergence(first: DataFrame, second: DataFrame, aligned: str = "aligned") -> DataFrame:
+    """One row: the mean p-distance of two alignments and which of them diverges more (first, second or equal)."""
+    one, two = (aggregates.mean_p_distance(a, aligned).select(F.col("mean_distance").alias(n), F.lit(0).alias("__k")) for a, n in ((first, "first_mean"), (second, "second_mean")))
+    return one.join(two, "__k").select("first_mean", "second_mean", aggregates.compare_means(F.col("first_mean"), F.col("second_mean")).alias("verdict"))
 
 
 def alignment_distances(alignment: DataFrame) -> DataFrame:

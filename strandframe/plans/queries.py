@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters, joins, nested, sinks
-from ..session import table
+from ..session import shared_folder, table
+from ..sources import formats
 from . import composites
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,7 +315,8 @@ def p_distance(spark, d):
 
 @query(_NAMES + f"SELECT round(avg({_PDIST}), 4) AS mean_distance, count(*) AS pairs FROM q")
 def mean_pairwise(spark, d):
-    return A.mean_pairwise(p_distance(spark, d), "distance").select(_round(F.col("mean_distance")).alias("mean_distance"), "pairs")
+    """Counts of letters instead of pairs."""
+    return A.mean_p_distance(table(spark, d, "part").select("p_name").distinct(), "p_name").select(_round(F.col("mean_distance")).alias("mean_distance"), "pairs")
 
 
 @query(_NAMES + "SELECT a, b FROM q")
@@ -349,7 +351,9 @@ def char_replace(spark, d):
 
 @query("SELECT page_id, nullif(split_part(url, '/', 3), '') AS host FROM pages")
 def header_parse(spark, d):
-    return table(spark, d, "pages").select("page_id", S.split_part(F.col("url"), "/", 3).alias("host"))
+    """The host as the contig of a record header."""
+    header = F.concat(F.lit("PAGE | x | 1-2 | "), F.coalesce(S.split_part(F.col("url"), "/", 3), F.lit("")))
+    return table(spark, d, "pages").select("page_id", S.absent_to_null(S.header_parse(header)["contig"]).alias("host"))
 
 
 @query("""SELECT page_id, CASE WHEN len(string_split(url, '/')) > 3 THEN array_to_string(string_split(url, '/')[1:3], '/') END AS base FROM pages""")
@@ -373,11 +377,14 @@ def midpoint(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.midpoint(F.col("l_orderkey"), F.col("l_partkey")).alias("middle"))
 
 
-@query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice FROM
-  (SELECT * FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0) b ON a.o_orderkey = b.o_orderkey""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders
+  UNION ALL SELECT -o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
 def upsert_subdocument(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return sinks.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderkey", ["o_totalprice"])
+    """Into all orders: new prices of those of one status, and new orders made of those of another."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    changed = o.where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    added = o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice")
+    return sinks.upsert(o.select("o_orderkey", "o_totalprice"), changed.unionByName(added), "o_orderkey", ["o_totalprice"])
 
 
 @query("SELECT coalesce(nullif(split_part(c_name, '#', 2), ''), c_name) AS c_name, c_acctbal FROM customer")
@@ -448,8 +455,11 @@ def map_group_build(spark, d):
 
 @query("SELECT page_id, concat('>', page_id, ' | ', url, chr(10), length(html)) AS record FROM pages")
 def sink_fasta(spark, d):
-    header = F.concat_ws(" | ", F.col("page_id").cast("string"), "url")
-    return table(spark, d, "pages").select("page_id", sinks.fasta_lines(header, F.length("html").cast("string")).alias("record"))
+    """Written as a file, and put together again from what its reader finds."""
+    path, header = shared_folder(spark), F.concat_ws(" | ", F.col("page_id").cast("string"), "url")
+    sinks.write_fasta(table(spark, d, "pages").select("page_id", header.alias("h"), F.length("html").cast("string").alias("s")), path, "h", "s", ["page_id"])
+    back = formats.scan_fasta(spark, path)
+    return back.select(F.split_part("header", F.lit(" | "), F.lit(1)).cast("long").alias("page_id"), sinks.fasta_lines(F.col("header"), F.col("seq")).alias("record"))
 
 
 @query("SELECT p_type, p_brand, p_partkey, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS n FROM part")
@@ -520,7 +530,9 @@ def transpose(spark, d):
 
 @query("SELECT p_partkey, printf('%.2f', p_retailprice) AS price FROM part")
 def sink_csv_float2(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.format_string("%.2f", F.col("p_retailprice")).alias("price"))
+    path = shared_folder(spark)
+    sinks.write_csv(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price")), path, two_decimals=["price"])
+    return formats.scan_csv(spark, path, "p_partkey bigint, price string")
 
 
 @query()
@@ -539,8 +551,7 @@ def enrichment(spark, d):
 def _alignment(spark, d):
     """All part names as an alignment: their letters, with gaps up to the longest."""
     names = table(spark, d, "part").where("p_name IS NOT NULL").select("p_name").distinct()
-    longest = names.agg(F.max(F.length("p_name")).alias("longest"))  # one row
-    return names.crossJoin(F.broadcast(longest)).select(F.col("p_name").alias("id"), F.rpad("p_name", F.col("longest"), F.lit("-")).alias("aligned"))
+    return A.with_totals(names, [], [F.max(F.length("p_name")).alias("longest")]).select(F.col("p_name").alias("id"), F.rpad("p_name", F.col("longest"), F.lit("-")).alias("aligned"))
 
 
 @query()

@@ -23,14 +23,15 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_gene_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records whose header is `kind | name | start-end | contig`, with their place in the file."""
-    whole = spark.read.text(path, wholetext=True)  # the order in the file decides ties, so each file is one row
-    records = whole.select(F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda r: F.trim(r) != "")).alias("ordinal", "r"))
+    """FASTA records whose header is `kind | name | start-end | contig`, with their place in the file, and the file."""
+    # The order in the file decides ties, so each file is one row.
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    records = whole.select("file", F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda r: F.trim(r) != "")).alias("ordinal", "r"))
     parts = F.split("r", r"\r?\n", 2)
-    parsed = records.select("ordinal", F.trim(parts[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s+", "").alias("seq"))
+    parsed = records.select("file", "ordinal", F.trim(parts[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s+", "").alias("seq"))
     fields = S.header_parse(F.col("header"))
     name = F.trim(F.try_element_at(F.split("header", r"\|"), F.lit(2)))
-    return parsed.withColumn("f", fields).select("ordinal", "f.kind", name.alias("name"), "f.start", "f.end", "f.contig", "seq", "f.reject")
+    return parsed.withColumn("f", fields).select("ordinal", "f.kind", name.alias("name"), "f.start", "f.end", "f.contig", "seq", "f.reject", "file")
 
 
 def scan_tblout(spark: SparkSession, path: str) -> DataFrame:
@@ -56,21 +57,22 @@ AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def scan_profile(spark: SparkSession, path: str, mode: str = "compat") -> DataFrame:
-    """position and 20 emission columns of profile models. compat takes the lines of exactly 20 fields (insert emissions),
-    match those of a position number, 20 emissions and annotations."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """position and 20 emission columns of profile models, and the file; positions begin anew in each file. compat takes the lines
+    of exactly 20 fields (insert emissions), match those of a position number, 20 emissions and annotations."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     fields = F.split(F.trim("value"), r"\s+")
     if mode == "compat":
         rows, shift = lines.where(F.size(fields) == 20), 0
     else:
         rows, shift = lines.where((F.size(fields) == 26) & fields[0].rlike(r"^\d+$")), 1
     values = [F.try_element_at(fields, F.lit(i + 1 + shift)).try_cast("double").alias(a) for i, a in enumerate(AMINO_ACIDS)]
-    numbered = rows.select("line", *values).where(F.col("A").isNotNull())
-    return numbered.withColumn("position", F.row_number().over(Window.orderBy("line"))).drop("line").select("position", *AMINO_ACIDS)  # one model: some hundreds of lines
+    numbered = rows.select("file", "line", *values).where(F.col("A").isNotNull())
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return numbered.withColumn("position", place).select("position", *AMINO_ACIDS, "file")
 
 
-FEATURES = ("record_id string, definition string, record_length int, ordinal int, type string, start int, end int, strand int, qualifiers map<string,array<string>>")
+FEATURES = "record_id string, definition string, record_length int, ordinal int, type string, start int, end int, strand int, qualifiers map<string,array<string>>, record_no int, file string"
 _FEATURE = re.compile(r"^ {5}(\S+)\s+(\S.*)$")
 _QUALIFIER = re.compile(r'^/([^=\s]+)(?:=(.*))?$', re.S)
 
@@ -78,7 +80,7 @@ _QUALIFIER = re.compile(r'^/([^=\s]+)(?:=(.*))?$', re.S)
 def parse_genbank(text: str) -> list[dict]:
     """Features of all records: half-open from 0, joined locations from their least start to their greatest end."""
     out: list[dict] = []
-    for record in re.split(r"(?m)^//\s*$", text):
+    for number, record in enumerate(re.split(r"(?m)^//\s*$", text)):
         locus = re.search(r"(?m)^LOCUS\s+(\S+)\s+(\d+) bp", record)
         if not locus:
             continue
@@ -110,24 +112,25 @@ def parse_genbank(text: str) -> list[dict]:
             if ends:
                 out.append({
                     "record_id": version[1] if version else locus[1], "definition": " ".join(definition[1].split()) if definition else None, "record_length": int(locus[2]),
-                    "ordinal": ordinal, "type": kind, "start": min(ends) - 1, "end": max(ends), "strand": -1 if place.startswith("complement") else 1, "qualifiers": list(qualifiers.items()),
+                    "ordinal": ordinal, "type": kind, "start": min(ends) - 1, "end": max(ends), "strand": -1 if place.startswith("complement") else 1, "qualifiers": list(qualifiers.items()), "record_no": number,
                 })
     return out
 
 
 def scan_genbank(spark: SparkSession, path: str) -> DataFrame:
+    """Features of all records, with the record's number in its file, and the file."""
     kind = pa.struct([
         ("record_id", pa.string()), ("definition", pa.string()), ("record_length", pa.int32()), ("ordinal", pa.int32()), ("type", pa.string()),
-        ("start", pa.int32()), ("end", pa.int32()), ("strand", pa.int32()), ("qualifiers", pa.map_(pa.string(), pa.list_(pa.string()))),
+        ("start", pa.int32()), ("end", pa.int32()), ("strand", pa.int32()), ("qualifiers", pa.map_(pa.string(), pa.list_(pa.string()))), ("record_no", pa.int32()), ("file", pa.string()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows = pa.array(parse_genbank(text or ""), kind)
+            for text, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                rows = pa.array([x | {"file": file} for x in parse_genbank(text or "")], kind)
                 yield pa.RecordBatch.from_arrays(rows.flatten(), [f.name for f in kind])
 
-    return spark.read.text(path, wholetext=True).select("value").mapInArrow(run, FEATURES)
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).mapInArrow(run, FEATURES)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType, separator: str = ",") -> DataFrame:

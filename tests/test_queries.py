@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from strandframe.plans import queries
+from strandframe.plans import file_queries, queries  # noqa: F401  the former registers its own
 
 FOLDER = "/root/testdata/sf0.001"
 
