@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -51,6 +51,8 @@ def token_sort_similarity(a: str, b: str) -> float:
 def partial_similarity(a: str, b: str) -> float:
     """Edit similarity of the shorter text with the likest stretch of the longer one of the same length."""
     short, long = sorted((a, b), key=len)
+    if not short:
+        return similarity(a, b)
     return max(similarity(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
 
 
@@ -170,14 +172,24 @@ def alignment_distances(alignment: DataFrame) -> DataFrame:
     return pairs.select("id_a", "id_b", S.p_distance(F.col("aligned_a"), F.col("aligned_b")).alias("distance"))
 
 
+def drawn_place(replicate: Column, place: Column, n: Column, seed: int) -> Column:
+    """A number from 0 to n - 1 for each replicate and place, in arithmetic that any engine has: squares modulo a prime."""
+    prime = F.lit((1 << 31) - 1)
+    x = F.pmod(F.lit(seed * 15_485_863) + replicate.cast("long") * 7_919 + place.cast("long") * 104_729, prime)
+    for _ in range(3):
+        x = F.pmod(x * x + 12_345, prime)
+    return F.pmod(x, n.cast("long"))
+
+
 def bootstrap_distances(alignment: DataFrame, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """replicate, id_a, id_b, distance over columns drawn with replacement; the draw is a hash of seed, replicate and place."""
+    """replicate, id_a, id_b, distance over columns drawn with replacement; the draw follows from seed, replicate and place."""
     letters = alignment.select("id", F.split("aligned", "").alias("letters"))
     pairs = joins.self_pairs(letters, "id").withColumn("differ", F.zip_with("letters_a", "letters_b", lambda x, y: (x != y).cast("int")))
-    runs = alignment.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"))
-    drawn = pairs.select("id_a", "id_b", "differ", F.size("differ").alias("n")).join(F.broadcast(runs))  # replicates is a parameter
-    picks = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.element_at("differ", (F.pmod(F.xxhash64(F.lit(seed), "replicate", i), F.col("n")) + 1).cast("int")))
-    return drawn.select("replicate", "id_a", "id_b", (F.aggregate(picks, F.lit(0), lambda t, x: t + x) / F.col("n")).alias("distance"))
+    runs = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    drawn = pairs.select("id_a", "id_b", "differ", F.size("differ").alias("n"), runs)
+    places = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: drawn_place(F.col("replicate"), i, F.col("n"), seed))
+    differing = F.aggregate(places, F.lit(0), lambda t, p: t + F.get("differ", p.cast("int")))
+    return drawn.select("replicate", "id_a", "id_b", (differing / F.col("n")).alias("distance"))
 
 
 def _joined_tree(distances: dict[tuple[str, str], float], names: list[str]) -> tuple[str, set[frozenset[str]]]:

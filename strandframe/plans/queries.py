@@ -554,9 +554,16 @@ def _alignment(spark, d):
     return A.with_totals(names, [], [F.max(F.length("p_name")).alias("longest")]).select(F.col("p_name").alias("id"), F.rpad("p_name", F.col("longest"), F.lit("-")).alias("aligned"))
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL), l AS (SELECT max(length(p_name)) AS n FROM n),
+  draws AS (SELECT r, i, (15485863 + r * 7919 + i * 104729) % 2147483647 AS x, n FROM l, range(1, 101) a(r), range(1, l.n + 1) b(i)),
+  one AS (SELECT r, i, n, (x * x + 12345) % 2147483647 AS x FROM draws), two AS (SELECT r, i, n, (x * x + 12345) % 2147483647 AS x FROM one),
+  three AS (SELECT r, n, ((x * x + 12345) % 2147483647) % n + 1 AS place FROM two), picks AS (SELECT r, n, place, count(*) AS times FROM three GROUP BY 1, 2, 3),
+  pairs AS (SELECT a.p_name AS id_a, b.p_name AS id_b FROM n a JOIN n b ON a.p_name < b.p_name),
+  differ AS (SELECT id_a, id_b, place FROM pairs, range(1, (SELECT n FROM l) + 1) t(place) WHERE rpad(id_a, (SELECT n FROM l)::INTEGER, '-')[place] <> rpad(id_b, (SELECT n FROM l)::INTEGER, '-')[place]),
+  hit AS (SELECT r, id_a, id_b, sum(times) AS s FROM differ JOIN picks USING (place) GROUP BY 1, 2, 3)
+  SELECT t.r::INTEGER AS replicate, p.id_a, p.id_b, coalesce(s, 0)::DOUBLE / (SELECT n FROM l) AS distance FROM pairs p CROSS JOIN range(1, 101) t(r) LEFT JOIN hit h ON h.r = t.r AND h.id_a = p.id_a AND h.id_b = p.id_b""")
 def bootstrap_distance(spark, d):
-    """Held against a plain model in the tests."""
+    """All names, 100 replicates."""
     return composites.bootstrap_distances(_alignment(spark, d))
 
 

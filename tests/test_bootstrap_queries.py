@@ -16,10 +16,14 @@ def plain(spark):
     """{(replicate, a, b): distance} of all names, from the same draws."""
     names = sorted(set(pq.read_table(f"{FOLDER}/part.parquet", columns=["p_name"])["p_name"].to_pylist()))
     n = max(map(len, names))
-    draws = spark.range(1, 101).select(F.col("id").cast("int").alias("r"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    places: dict[int, list[int]] = {}
-    for x in draws.select("r", F.pmod(F.xxhash64(F.lit(1), "r", "i"), F.lit(n)).alias("p")).collect():
-        places.setdefault(x.r, []).append(x.p)
+
+    def draw(r, i):
+        x = (15_485_863 + 7_919 * r + 104_729 * i) % (2**31 - 1)
+        for _ in range(3):
+            x = (x * x + 12_345) % (2**31 - 1)
+        return x % n
+
+    places = {r: [draw(r, i) for i in range(1, n + 1)] for r in range(1, 101)}
     full = {x: x.ljust(n, "-") for x in names}
     return names, {(r, a, b): sum(full[a][p] != full[b][p] for p in own) / n for r, own in places.items() for a, b in combinations(names, 2)}
 
@@ -40,3 +44,16 @@ def test_support_of_all_trees(spark, plain):
             counts[text] = counts.get(text, 0) + 1
     got = {x.split: x.support for x in queries.QUERIES["nj_tree"](spark, FOLDER).collect()}
     assert got == pytest.approx(counts)
+
+
+def test_draws_are_even_and_independent(spark):
+    """Places come up alike, and neighbouring places and replicates do not follow each other."""
+    n, rows = 20, spark.range(1, 401).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"))
+    draws = {(x.r, x.i): x.p for x in rows.select("r", "i", composites.drawn_place(F.col("r"), F.col("i"), F.lit(n), 1).alias("p")).collect()}
+    expected = len(draws) / n
+    assert sum((sum(p == k for p in draws.values()) - expected) ** 2 / expected for k in range(n)) < 45
+    for step in ((0, 1), (1, 0), (1, 1), (2, 0)):
+        pairs = [(p, draws[r + step[0], i + step[1]]) for (r, i), p in draws.items() if (r + step[0], i + step[1]) in draws]
+        assert abs(sum(a == b for a, b in pairs) / len(pairs) - 1 / n) < 0.015
+    distinct = sum(len({draws[r, i] for i in range(1, n + 1)}) for r in range(1, 401)) / 400
+    assert abs(distinct - n * (1 - (1 - 1 / n) ** n)) < 0.35

@@ -168,3 +168,81 @@ def test_trees(spark):
     assert again() == again()
     support = composites.split_support(composites.neighbour_joining(composites.bootstrap_distances(alignment, 20))).collect()
     assert all(0 < r.support <= 100 for r in support)
+
+
+def test_fuzzy_groups_of_rows_at_one_position(spark):
+    rows = [("c", "abcdefghij", 1), ("c", "abcdefghix", 1), ("c", "zzz", None), ("c", "zzy", None), ("c", "abcdefghiy", None)]
+    got = {x.n: x.group for x in composites.fuzzy_group(spark.createDataFrame(rows, "c string, n string, i int"), ["c"], "n", "i", threshold=0.6).collect()}
+    assert got == {"abcdefghij": "abcdefghij", "abcdefghix": "abcdefghij", "abcdefghiy": "abcdefghij", "zzy": "zzy", "zzz": "zzy"}
+
+
+def test_scorers():
+    assert composites.token_sort_similarity("permease ABC transporter", "abc Transporter permease") == 1.0
+    assert composites.partial_similarity("transporter", "ABC transporter permease") == 1.0 and composites.partial_similarity("", "x") == 0.0
+    r = random.Random(2)
+    for _ in range(500):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(0, 9))) for _ in range(2))
+        whole = composites.similarity(a, b)
+        assert composites.similarity(a, b, 0.7) in (whole, 0.0) and (whole < 0.7 or composites.similarity(a, b, 0.7) == whole)
+
+
+def test_null_keys_are_all_appended(spark):
+    new = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e")], "k int, v string")
+    got = sinks.insert_if_absent(new, spark.createDataFrame([(2,), (None,)], "k int"), "k", [F.col("v")]).collect()
+    assert sorted((r.k or 0, r.v) for r in got) == [(0, "a"), (0, "b"), (1, "c")]
+
+
+def test_several_files_are_kept_apart(spark, tmp_path):
+    from strandframe.sources import formats
+
+    row = " ".join(["1.5"] * 20)
+    for n in (1, 2):
+        (tmp_path / f"m{n}.hmm").write_text(f"x\n {row}\n {row}\n")
+        (tmp_path / f"g{n}.fasta").write_text(f">MAIN_GENE | a{n} | 10-20 | c\nAA\n>REGULATOR | b{n} | 3{n}-50 | c\nTT\n")
+    assert sorted((r.file[-6:], r.position) for r in formats.scan_profile(spark, f"{tmp_path}/*.hmm").collect()) == [("m1.hmm", 1), ("m1.hmm", 2), ("m2.hmm", 1), ("m2.hmm", 2)]
+    pairs = composites.pair_regulators(formats.scan_gene_fasta(spark, f"{tmp_path}/*.fasta")).collect()
+    assert [(r.file[-8:], r.m_ordinal, r.r_ordinal, r.distance) for r in pairs] == [("g1.fasta", 0, 1, 25), ("g2.fasta", 0, 1, 26)]
+
+
+def test_totals_join_null_scopes_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "f string, v double")
+    assert sorted((r.f or "", r.x) for r in aggregates.minmax_scale(df, ["f"], F.col("v"), "x").collect()) == [("", 0.0), ("", 1.0), ("a", 0.0)]
+    assert sorted(r.x for r in aggregates.minmax_scale(df, [], F.col("v"), "x").collect()) == [0.0, 0.5, 1.0]
+    assert aggregates.minmax_scale(df.limit(0), [], F.col("v"), "x").count() == 0
+    plan = aggregates.minmax_scale(df, ["f"], F.col("v"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "HashAggregate" in plan
+
+
+def test_mean_distance_without_pairs(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab-") for _ in range(r.choice([0, 3, 3, 5]))) for _ in range(30)]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)] + [(None, 99)], "t string, i int")
+    pairs = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]]
+    far = [sum(x != y for x, y in zip(a, b)) / min(len(a), len(b)) if a and b else 0.0 for a, b in pairs]
+    got = aggregates.mean_p_distance(df, "t").first()
+    assert got.pairs == len(pairs) and got.mean_distance == pytest.approx(sum(far) / len(far))
+    assert tuple(aggregates.mean_p_distance(df.limit(0), "t").first()) == (0.0, 0)
+
+
+def test_nearest_of_sorted_neighbours(spark):
+    r = random.Random(11)
+    left = [(r.choice("ab"), i, r.randrange(60)) for i in range(40)] + [("c", 99, 1), ("a", 98, None)]
+    right = [(r.choice("ab"), i, r.randrange(60)) for i in range(25)] + [("b", 77, None)]
+    got = joins.nearest_sorted(spark.createDataFrame(left, "k string, l int, lp int"), spark.createDataFrame(right, "k string, r int, rp int"), ["k"], "lp", "rp", "r").collect()
+    want = {}
+    for k, i, at in left:
+        near = [(abs(at - x), j) for kk, j, x in right if kk == k and at is not None and x is not None]
+        if near:
+            want[i] = min(near)
+    assert {x.l: (x.distance, x.r) for x in got} == want and len(got) == len(want)
+
+
+def test_rows_come_in_order(spark):
+    df = spark.createDataFrame([(i % 5, i) for i in range(40)] + [(9, 1)], "k int, v int").repartition(7)
+    assert [(r.k, r.n) for r in aggregates.frequency_desc(df, F.col("k"), "k").collect()] == [(0, 8), (1, 8), (2, 8), (3, 8), (4, 8), (9, 1)]
+    assert [(r.k, r.v) for r in filters.first_rows(df, [F.desc("k"), F.asc("v")], 3).collect()] == [(9, 1), (4, 4), (4, 9)]
+
+
+def test_missing_keys_of_a_lookup(spark):
+    df, t = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    assert [r.k for r in joins.missing_keys(df, t, ["k"]).collect()] == [2]
