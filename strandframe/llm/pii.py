@@ -128,7 +128,8 @@ def _surroundings(text: str, span: Span, starts: list[int], ends: list[int], rea
 
 def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
     """entity, kind, term, context, first: once for each document, entity, term near it and surroundings; first is 1 for one of these
-    of each document, entity and term, else 0. A null term stands for the entity itself."""
+    of each document, entity and term, else 0. A null term stands for the entity itself; a null entity, once for each document
+    and term, for any entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,15 +140,19 @@ def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
                 starts, ends = _joined(spans)
                 seen: set[tuple[int, str | None]] = set()
                 met: set[tuple[int, int]] = set()
+                near_any: set[str] = set()
                 for span in spans:
                     entity = _entity(t, span)
                     context, near = _surroundings(t, span, starts, ends, reach)
                     if (entity, context) in met:
                         continue
                     met.add((entity, context))
+                    near_any |= near
                     for term in (None, *near):
                         entities.append(entity), kinds.append(span[0]), terms.append(term), contexts.append(context), firsts.append(int((entity, term) not in seen))
                         seen.add((entity, term))
+                for term in near_any:
+                    entities.append(None), kinds.append(None), terms.append(term), contexts.append(None), firsts.append(1)
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], ["entity", "kind", "term", "context", "first"])
 
     return df.select(text).mapInArrow(tidy(run), "entity long, kind int, term string, context long, first long")
@@ -190,7 +195,10 @@ def disclosing_terms(df: DataFrame, text: str = "text", reach: int = 80, min_con
     pairs = _co_occurrences(df, text, reach).groupBy("entity", "kind", "term", "context").agg(F.sum("first").alias("n"))
     pairs = durable(pairs.groupBy("entity", "kind", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts")))
     entities = pairs.where("term IS NULL").select("entity", F.col("n_et").alias("n_e"))
-    candidates = pairs.where("term IS NOT NULL")
+    anywhere = pairs.where("entity IS NULL").select("term", F.col("n_et").alias("n_any"))
+    # With little evidence a term must occur with its entity alone, so also not near another one elsewhere; most words do.
+    likely = (F.col("contexts") >= min_contexts) | (F.col("n_any") == F.col("n_et"))
+    candidates = durable(pairs.where("entity IS NOT NULL AND term IS NOT NULL").join(anywhere, "term").where(likely).drop("n_any"))
     terms = candidates.select("term").distinct()
     broadcast = terms.count() <= max_broadcast_terms
     total = df.count()
