@@ -110,10 +110,10 @@ def replicon_type(features: DataFrame, by: str = "record_id") -> DataFrame:
     return aggregates.best_hit(source.select(by, (-F.col("record_no")).alias("n"), (-F.col("ordinal")).alias("o"), kind.alias("seq_type")), [by], [F.col("n"), F.col("o")]).drop("n", "o")
 
 
-def enrichment(flanks: DataFrame, cluster: str = "cluster", product: str = "product", relative: str = "relative", position: str = "position", threshold: float = 0.9) -> DataFrame:
+def enrichment(flanks: DataFrame, cluster: str = "cluster", product: str = "product", relative: str = "relative", position: str = "position", threshold: float = 0.9, rules=PRODUCT_RULES) -> DataFrame:
     """Group scores of each cluster: products are grouped, then scored by proximity and number; the best first. With a threshold
     over 1 only the rules group, and any other product stands alone."""
-    groups = fuzzy_group(flanks, [cluster], product, position, threshold=threshold)
+    groups = fuzzy_group(flanks, [cluster], product, position, rules, threshold)
     scored = aggregates.proximity_score(flanks.join(groups, [cluster, product]), "group", relative, [cluster], product)
     return scored.orderBy(cluster, F.desc("score"), "group")
 

@@ -258,20 +258,20 @@ def replicon_typing_of_file(spark, d):
     return composites.replicon_type(_genbank(spark, d), "file").select("seq_type")
 
 
-@query(f"""WITH t AS (SELECT {_RECORD} AS record_id, min(p_partkey) + 2000 AS lo, min(p_partkey) + 2001 AS hi FROM part GROUP BY 1),
-  f AS (SELECT {_RECORD} AS record_id, p_partkey - 1 AS s, p_partkey + p_size AS e, p_name FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_name), 'green'))
+@query(f"""WITH t AS (SELECT {_RECORD} AS record_id, min(p_partkey) + 100 AS lo, min(p_partkey) + 101 AS hi FROM part GROUP BY 1),
+  f AS (SELECT {_RECORD} AS record_id, p_partkey - 1 AS s, p_partkey + p_size AS e, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'bolt'))
   SELECT record_id, p_name AS product, s::INTEGER AS start, e::INTEGER AS "end", (CASE WHEN s < lo THEN lo - e ELSE s - hi END)::BIGINT AS relative, CASE WHEN s < lo THEN 'left' ELSE 'right' END AS side
   FROM t JOIN f USING (record_id) WHERE s >= greatest(0, lo - 500) AND e <= least(1000000, hi + 500)
   AND greatest(0, least(hi, e) - greatest(lo, s)) * 100.0 / (greatest(hi, e) - least(lo, s)) <= 80""")
 def neighbour_extraction(spark, d):
-    targets = table(spark, d, "part").groupBy(F.translate("p_brand", "# ", "__").alias("record_id")).agg((F.min("p_partkey") + 2000).alias("target_start")).withColumn("target_end", F.col("target_start") + 1)
-    found = composites.neighbour_features(targets.withColumn("target_id", F.col("record_id")), _genbank(spark, d), 500, ["steel", "green"])
+    targets = table(spark, d, "part").groupBy(F.translate("p_brand", "# ", "__").alias("record_id")).agg((F.min("p_partkey") + 100).alias("target_start")).withColumn("target_end", F.col("target_start") + 1)
+    found = composites.neighbour_features(targets.withColumn("target_id", F.col("record_id")), _genbank(spark, d), 500, ["Red", "bolt"])
     return found.select("record_id", "product", "start", "end", F.col("relative").cast("long").alias("relative"), F.col("type").alias("side"))
 
 
 @query("""WITH s AS (SELECT p_type AS v, p_brand AS b, sum(p_retailprice) AS t FROM part WHERE p_size < 40 GROUP BY 1, 2), l AS (SELECT v, concat('G_', b) AS g, log10(t + 1e-6) AS x FROM s),
   m AS (SELECT v, g, coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0) AS x FROM l WINDOW w AS (PARTITION BY v))
-  SELECT v AS value, round(max(CASE WHEN g = 'G_Brand#11' THEN x ELSE 0 END), 6) AS g11, round(max(CASE WHEN g = 'G_Brand#23' THEN x ELSE 0 END), 6) AS g23, round(max(CASE WHEN g = 'G_Brand#55' THEN x ELSE 0 END), 6) AS g55 FROM m GROUP BY 1""")
+  SELECT v AS value, round(max(CASE WHEN g = 'G_Brand#2' THEN x ELSE 0 END), 6) AS g2, round(max(CASE WHEN g = 'G_Brand#17' THEN x ELSE 0 END), 6) AS g17, round(max(CASE WHEN g = 'G_Brand#25' THEN x ELSE 0 END), 6) AS g25 FROM m GROUP BY 1""")
 def heat_matrix(spark, d):
     """A score table for each part type as a file named by it, read back by file name; rows of other names do not count."""
     path = shared_folder(spark)
@@ -282,11 +282,11 @@ def heat_matrix(spark, d):
     for r in lines.select("p_type").distinct().collect():  # a file for each of a few types, named by it
         own = lines.where(F.col("p_type") == r.p_type).unionByName(spark.createDataFrame([(r.p_type, " Group,Score")], "p_type string, line string"))
         sinks.write_named(_lines(own, ["line"], F.trim("line")), "text", f"{path}/102_{r.p_type.replace(' ', '-')}_x.csv")
-    groups = ["G_Brand#11", "G_Brand#23", "G_Brand#55"]
+    groups = ["G_Brand#2", "G_Brand#17", "G_Brand#25"]
     brands = sorted({f"G_{r.p_brand}" for r in table(spark, d, "part").select("p_brand").distinct().collect()} | set(groups))
     out = composites.heat_matrix_of_files(spark, path, brands, "102")
     back = S.map_replace(F.col("value"), {r.p_type.replace(" ", "-"): r.p_type for r in table(spark, d, "part").select("p_type").distinct().collect()})
-    return out.select(back.alias("value"), *[_round(F.col(f"`{g}`"), 6).alias(f"g{g[-2:]}") for g in groups])
+    return out.select(back.alias("value"), *[_round(F.col(f"`{g}`"), 6).alias(f"g{g.split('#')[1]}") for g in groups])
 
 
 @query("""WITH p AS (SELECT a.event_id, a.user_id, b.event_id AS near_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS d FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_type = 'purchase' AND b.event_type = 'error')
@@ -310,12 +310,12 @@ def group_labels(spark, d):
     return A.group_size(labels.select(group.alias("group_label"), S.first_token(F.col("Product")).alias("family")), ["group_label", "family"])
 
 
-@query(f"""WITH g AS (SELECT p_type AS cluster, coalesce({_case(composites.PRODUCT_RULES)} END, p_name) AS "group", p_size AS r FROM part), n AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1)
+@query(f"""WITH g AS (SELECT p_type AS cluster, coalesce({_case(PART_RULES)} END, p_name) AS "group", p_size AS r FROM part), n AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1)
   SELECT cluster, "group", count(*) AS total_gene, round(sum(1.0 / (abs(r) + 1)) * count(*) * count(*) / any_value(n) * 100, 4) AS score FROM g JOIN n USING (cluster) GROUP BY 1, 2""")
 def enrichment_of_rules(spark, d):
     """Enrichment where only the product rules group: every other name stands alone."""
     flanks = table(spark, d, "part").select(F.col("p_type").alias("cluster"), F.col("p_name").alias("product"), F.col("p_size").alias("relative"), F.col("p_partkey").alias("position"))
-    return composites.enrichment(flanks, threshold=1.01).select("cluster", "group", "total_gene", _round(F.col("score")).alias("score"))
+    return composites.enrichment(flanks, threshold=1.01, rules=PART_RULES).select("cluster", "group", "total_gene", _round(F.col("score")).alias("score"))
 
 
 @query(f"""SELECT p_type, p_name, {_case(PART_RULES)} ELSE p_name END AS "group" FROM (SELECT DISTINCT p_type, p_name FROM part)""")

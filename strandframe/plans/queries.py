@@ -377,13 +377,14 @@ def midpoint(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.midpoint(F.col("l_orderkey"), F.col("l_partkey")).alias("middle"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders
-  UNION ALL SELECT -o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
+@query("""WITH c AS (SELECT o_orderkey, max(o_totalprice) * 2 AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+  SELECT o_orderkey, coalesce(p, o_totalprice) AS o_totalprice FROM orders LEFT JOIN c USING (o_orderkey)
+  UNION ALL SELECT -o_orderkey - 1, max(o_totalprice) FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""")
 def upsert_subdocument(spark, d):
-    """Into all orders: new prices of those of one status, and new orders made of those of another."""
+    """Into all orders: new prices for the keys of one status, and new orders made of those of another; changes have unique keys."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    changed = o.where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
-    added = o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice")
+    highest = lambda status, factor: o.where(F.col("o_orderstatus") == status).groupBy("o_orderkey").agg((F.max("o_totalprice") * factor).alias("o_totalprice"))
+    changed, added = highest("F", 2), highest("P", 1).withColumn("o_orderkey", -F.col("o_orderkey") - 1)
     return sinks.upsert(o.select("o_orderkey", "o_totalprice"), changed.unionByName(added), "o_orderkey", ["o_totalprice"])
 
 
