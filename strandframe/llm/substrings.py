@@ -19,7 +19,7 @@ windows have equal anchors at equal places, and only suffixes at anchors (about
 
 Null text counts as empty. Texts under `length` bytes are never touched. Rows that share an id hold one and the same text;
 a row with a null id has no place in the order: it keeps all its bytes and takes none from others. An empty table gives no rows. Columns of df pass by only when named in `keep`; a name that is
-also an output raises, others cannot clash. A text is scanned whole: about 70 bytes of memory for each byte of the longest.
+also an output raises, others cannot clash. A very long text is scanned a piece at a time; its anchors are held whole, about 4 bytes of memory for each byte.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SpanHasher, check_keep, durable, in_steps, mix64, tidy, utf8
+from .common import STEP_BYTES, SpanHasher, check_keep, durable, in_steps, mix64, tidy, utf8
 
 K = 32
 #: Suffixes that one step of a bucket takes, about.
@@ -55,6 +55,27 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, bits: int = 64) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: text (index), at (of the anchor in all data), before and after (bytes of the stretch that
     the windows cover on either side of it), and hashes of the anchor's k-gram and of the stretch."""
+    if len(offsets) > 2 or len(data) < 2 * STEP_BYTES:
+        return _anchors(data, offsets, length, k, bits)
+    parts: list[dict[str, np.ndarray]] = []  # a very long text, a piece of its windows at a time
+    for start in range(0, len(data) - length + 1, STEP_BYTES):
+        piece = data[start : start + STEP_BYTES + length - 1]
+        t = _anchors(piece, np.array([0, len(piece)]), length, k, bits)
+        t["at"] += start
+        if parts and parts[-1]["at"][-1] == t["at"][0]:  # a run goes on over the cut
+            before = t["before"][0] = parts[-1]["before"][-1]
+            own = data[t["at"][0] - before : t["at"][0] + t["after"][0]]
+            t["stretch"][0] = _stretch(SpanHasher(own), np.array([0]), np.array([len(own)]), np.array([before]), bits)[0]
+            parts[-1] = {c: v[:-1] for c, v in parts[-1].items()}
+        parts.append(t)
+    return {c: np.concatenate([t[c] for t in parts]) for c in parts[0]}
+
+
+def _stretch(hasher: SpanHasher, first: np.ndarray, end: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(hasher.hash(first, end) + before.astype(np.uint64)) & np.uint64((1 << bits) - 1)).view(np.int64)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, bits: int) -> dict[str, np.ndarray]:
     names = ("text", "at", "before", "after", "gram", "stretch")
     n = len(data) - length + 1
     if n <= 0:
@@ -78,8 +99,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, bits: in
     end = np.flatnonzero(stop & real) + length
     at = chosen[first]
     at += ((first - at) >> _PLACE_BITS << _PLACE_BITS) if len(data) >> _PLACE_BITS else 0
-    stretch = mix64(hasher.hash(first, end) + (at - first).astype(np.uint64)) & few
-    return dict(zip(names, (np.searchsorted(offsets, first, side="right") - 1, at, at - first, end - at, grams[at].view(np.int64), stretch.view(np.int64)), strict=True))
+    stretch = _stretch(hasher, first, end, at - first, bits)
+    return dict(zip(names, (np.searchsorted(offsets, first, side="right") - 1, at, at - first, end - at, grams[at].view(np.int64), stretch), strict=True))
 
 
 def _union(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,10 +202,10 @@ def _suffixes(df: DataFrame, text: str, doc_id: str, marks: DataFrame, length: i
             own = np.concatenate(lists)
             at, before, after = own >> 16, own >> 8 & 255, own & 255
             fits = at + after <= np.diff(offsets)[owner]  # rows that share an id, but not the text, may be shorter
-            owner, at, before, after = owner[fits], at[fits], before[fits], after[fits]
-            begin = offsets[owner] + at
-            ids = part.column("__id").take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), _slices(data, begin, after, 1), _slices(data, begin - 1, before, -1)], ["id", "at", "right", "left"])
+            for chosen in np.array_split(np.flatnonzero(fits), -(-int(fits.sum()) // 20_000) or 1):
+                begin, ids = (offsets[owner] + at)[chosen], part.column("__id").take(pa.array(owner[chosen]))
+                columns = [ids, pa.array(at[chosen], pa.int32()), _slices(data, begin, after[chosen], 1), _slices(data, begin - 1, before[chosen], -1)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "at", "right", "left"])
 
     return joined.select("__id", "__text", "packed").mapInArrow(tidy(cut), "id long, at int, right binary, left binary")
 

@@ -116,3 +116,20 @@ def _stages(spark):
     folder = spark._jvm.org.apache.hadoop.fs.Path(common.ensure_checkpoint_dir(spark))
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     return [str(x.getPath()) for x in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "corpus-*/*-*"))]
+
+
+def test_a_long_text_has_the_same_anchors_in_pieces(monkeypatch):
+    r = np.random.Generator(np.random.PCG64(8))
+    for letters in (2, 20):
+        data = r.integers(97, 97 + letters, 5000, dtype=np.uint8)
+        whole = substrings._anchors(data, np.array([0, 5000]), 100, 32, 64)
+        for step in (70, 333, 1024):
+            monkeypatch.setattr(substrings, "STEP_BYTES", step)
+            pieces = substrings.anchors(data, np.array([0, 5000]), 100, 32)
+            assert all((pieces[c] == whole[c]).all() and len(pieces[c]) == len(whole[c]) for c in whole)
+
+
+def test_sixty_four_megabytes_have_anchors():
+    data = np.random.Generator(np.random.PCG64(1)).integers(97, 123, 64 << 20, dtype=np.uint8)
+    found = substrings.anchors(data, np.array([0, len(data)]), 100, 32)
+    assert 1_200_000 < len(found["at"]) < 2_500_000 and (found["before"] + found["after"] >= 100).all()
