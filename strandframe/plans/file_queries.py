@@ -18,9 +18,8 @@ _TEXT = lambda c: F.col(c).cast("string")
 
 
 def _lines(df: DataFrame, order: list[str], *lines) -> DataFrame:
-    """One row: the lines of each row, in order, as one text. For what one file holds."""
-    rows = df.select(F.struct(*order, F.concat_ws("\n", *lines).alias("__line")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return rows.select(F.array_join(F.transform("r", lambda x: x["__line"]), "\n").alias("text"))
+    """The lines of each row as text, in order, for one file: sorted and written as a stream by the task that makes the file."""
+    return df.repartition(1).sortWithinPartitions(*order).select(F.concat_ws("\n", *lines).alias("text"))
 
 
 @query("SELECT concat(p_partkey, ' ', p_name) AS header, upper(replace(p_name, ' ', '')) AS seq FROM part")
@@ -162,11 +161,14 @@ def _blast_xml(spark, d) -> DataFrame:
     path = shared_folder(spark)
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>"))
     segment = lambda e: F.concat(F.lit("<Hsp>"), tag("Hsp_evalue", F.lit(e)), tag("Hsp_hit-from", F.col("p_size")), tag("Hsp_hit-to", F.col("p_size") + 9), tag("Hsp_align-len", F.lit(10)), F.lit("</Hsp>"))
-    hit = F.concat(F.lit("<Hit>"), tag("Hit_id", F.concat(F.lit("nuc"), _TEXT("p_partkey"))), tag("Hit_accession", F.concat(F.lit("A"), _TEXT("p_partkey"))), F.lit("<Hit_hsps>"), segment("0.0"), segment("0.5"), F.lit("</Hit_hsps></Hit>"))
-    hits = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", hit.alias("x")))).alias("h"))
-    body = F.concat(F.lit("<Iteration>"), tag("Iteration_query-ID", F.col("p_brand")), F.lit("<Iteration_hits>"), F.array_join(F.transform("h", lambda x: x["x"]), ""), F.lit("</Iteration_hits></Iteration>"))
-    whole = _lines(hits, ["p_brand"], body).select(F.concat(F.lit("<BlastOutput><BlastOutput_query-ID>all</BlastOutput_query-ID><BlastOutput_iterations>"), "text", F.lit("</BlastOutput_iterations></BlastOutput>")).alias("text"))
-    sinks.write_named(whole, "text", f"{path}/result.xml")
+    hit = lambda: F.concat(F.lit("<Hit>"), tag("Hit_id", F.concat(F.lit("nuc"), _TEXT("p_partkey"))), tag("Hit_accession", F.concat(F.lit("A"), _TEXT("p_partkey"))), F.lit("<Hit_hsps>"), segment("0.0"), segment("0.5"), F.lit("</Hit_hsps></Hit>"))
+    p = table(spark, d, "part").select("p_brand", "p_partkey", "p_size")
+    parts = p.select("p_brand", F.lit(1).alias("at"), "p_partkey", hit().alias("line"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("at"), F.concat(F.lit("<Iteration>"), tag("Iteration_query-ID", F.col("p_brand")), F.lit("<Iteration_hits>")).alias("line")), F.struct(F.lit(2).alias("at"), F.lit("</Iteration_hits></Iteration>").alias("line"))))
+    around = p.select("p_brand").distinct().select("p_brand", ends.alias("e")).select("p_brand", "e.at", F.lit(0).cast("long").alias("p_partkey"), "e.line")
+    root = [("", 0, 0, "<BlastOutput><BlastOutput_query-ID>all</BlastOutput_query-ID><BlastOutput_iterations>"), ("~", 0, 0, "</BlastOutput_iterations></BlastOutput>")]
+    whole = parts.unionByName(around).unionByName(spark.createDataFrame(root, "p_brand string, at int, p_partkey long, line string"))
+    sinks.write_named(_lines(whole, ["p_brand", "at", "p_partkey"], "line"), "text", f"{path}/result.xml")
     return formats.scan_blast_xml(spark, f"{path}/result.xml")
 
 
@@ -188,10 +190,11 @@ def scan_json_pages(spark, d):
     path = shared_folder(spark)
     named = F.when(F.col("n_regionkey") != 0, F.concat(F.lit("name of "), "n_name"))
     entry = F.struct(F.struct(F.col("n_name").alias("accession"), named.alias("name")).alias("metadata"))
-    pages = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(entry).alias("results"))
-    whole = pages.agg(F.collect_list(F.struct(F.lit(None).cast("string").alias("next"), "results")).alias("pages"))
-    sinks.write_named(whole.select(F.to_json("pages").alias("text")), "text", f"{path}/pages.json")
-    return formats.scan_json_pages(spark, f"{path}/pages.json")
+    pages = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(entry).alias("results"))  # a page holds a region's nations
+    lines = pages.select("n_regionkey", F.to_json(F.struct(F.lit(None).cast("string").alias("next"), "results")).alias("line"))
+    for r in table(spark, d, "region").select("r_regionkey").collect():  # a page is a file of its own
+        sinks.write_named(lines.where(F.col("n_regionkey") == r.r_regionkey), "line", f"{path}/{r.r_regionkey}.json")
+    return formats.scan_json_pages(spark, path)
 
 
 @query("SELECT lower(p_name) AS word, count(*)::INTEGER AS count FROM part GROUP BY 1")
@@ -228,10 +231,11 @@ def _genbank(spark, d) -> DataFrame:
     kind = F.when(number % 2 == 0, "some plasmid, complete sequence").otherwise("some text")
     p = table(spark, d, "part").withColumns({"record": F.translate("p_brand", "# ", "__"), "kind": kind})
     gene = F.concat(F.lit("     CDS             "), _TEXT("p_partkey"), F.lit(".."), (F.col("p_partkey") + F.col("p_size")).cast("string"), F.lit('\n                     /product="'), F.col("p_name"), F.lit('"'))
-    records = p.groupBy("record", "kind").agg(F.array_sort(F.collect_list(F.struct("p_partkey", gene.alias("x")))).alias("g"))
     head = F.concat(F.lit("LOCUS       "), "record", F.lit("  1000000 bp    DNA     linear\nDEFINITION  "), "kind", F.lit(".\nVERSION     "), "record", F.lit('\nFEATURES             Location/Qualifiers\n     source          1..1000000\n                     /mol_type="genomic DNA"'))
-    whole = records.select("record", F.concat_ws("\n", head, F.array_join(F.transform("g", lambda x: x["x"]), "\n"), F.lit("//")).alias("line"))
-    sinks.write_named(_lines(whole, ["record"], "line"), "text", f"{path}/records.gbk")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("at"), head.alias("line")), F.struct(F.lit(2).alias("at"), F.lit("//").alias("line"))))
+    around = p.select("record", "kind").distinct().select("record", ends.alias("e")).select("record", "e.at", F.lit(0).cast("long").alias("p_partkey"), "e.line")
+    whole = p.select("record", F.lit(1).alias("at"), "p_partkey", gene.alias("line")).unionByName(around)
+    sinks.write_named(_lines(whole, ["record", "at", "p_partkey"], "line"), "text", f"{path}/records.gbk")
     return formats.scan_genbank(spark, f"{path}/records.gbk")
 
 
