@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,8 @@ _TERM = re.compile(r"[^\W\d_]{4,}")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]
+#: More than there are documents.
+_AWAY = 1 << 44
 
 
 def _emails(text: str) -> list[Span]:
@@ -129,13 +132,17 @@ def _surroundings(text: str, span: Span, starts: list[int], ends: list[int], rea
 def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
     """entity, kind, term, context, first: once for each document, entity, term near it and surroundings; first is 1 for one of these
     of each document, entity and term, else 0. A null term stands for the entity itself; a null entity, once for each document
-    and term, for any entity."""
+    and term, for any entity, and with first far over the number of documents for terms that a task saw away from all entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        near_in: Counter[str] = Counter()
+        names = ["entity", "kind", "term", "context", "first"]
         for batch in batches:
             entities, kinds, terms, contexts, firsts = [], [], [], [], []
             for value in batch.column(0):
                 t = value.as_py()
+                held.update(_terms_of(t or ""))
                 spans = base_spans(t)
                 starts, ends = _joined(spans)
                 seen: set[tuple[int, str | None]] = set()
@@ -151,9 +158,13 @@ def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
                     for term in (None, *near):
                         entities.append(entity), kinds.append(span[0]), terms.append(term), contexts.append(context), firsts.append(int((entity, term) not in seen))
                         seen.add((entity, term))
+                near_in.update(near_any)
                 for term in near_any:
                     entities.append(None), kinds.append(None), terms.append(term), contexts.append(None), firsts.append(1)
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], ["entity", "kind", "term", "context", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], names)
+        away = [term for term, n in near_in.items() if held[term] > n]
+        none = pa.nulls(len(away), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(away, pa.string()), none, pa.array([_AWAY] * len(away), pa.int64())], names)
 
     return df.select(text).mapInArrow(tidy(run), "entity long, kind int, term string, context long, first long")
 
