@@ -54,16 +54,16 @@ def nearest_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key:
 
 def nearest_sorted(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, tie: str) -> DataFrame:
     """Each left row with its right row of the same key whose position is nearest, at any distance; ties go to the least `tie`. Left
-    rows without a partner go. Both sides are sorted once by position, where the neighbours on either side are the only
-    candidates: linear in the rows of a key, never pairs of them."""
+    rows without a partner go. Both sides are sorted by position, where the neighbours on either side are the only
+    candidates: a pass over the rows of a key each way, never pairs of them."""
     rest = [c for c in right.columns if c not in on]
     best = right.where(F.col(right_at).isNotNull()).groupBy(*on, F.col(right_at).alias("__at")).agg(F.min(F.struct(tie, *[c for c in rest if c != tie])).alias("__r"))
     rows = left.where(F.col(left_at).isNotNull())
     both = rows.select(*on, F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(best.schema["__r"].dataType).alias("__r")).unionByName(best.withColumn("__l", F.lit(None).cast(T.StructType(left.schema.fields))))
-    order = Window.partitionBy(*on).orderBy("__at")
+    up_to_here = lambda order: Window.partitionBy(*on).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = F.when(F.col("__r").isNotNull(), F.struct("__at", "__r"))
-    before = F.last(found, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(found, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both are growing frames, one in descending order: a frame that shrinks would be read anew for every row.
+    before, after = (F.last(found, ignorenulls=True).over(up_to_here(o)) for o in (F.asc("__at"), F.desc("__at")))
     met = both.withColumns({"__b": before, "__a": after}).where("__l IS NOT NULL AND (__b IS NOT NULL OR __a IS NOT NULL)")
     ranked = F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{s}.__at")).alias("d"), F.col(f"{s}.__r.{tie}").alias("t"), F.col(f"{s}.__r").alias("r"))) for s in ("__b", "__a")])
     nearest = met.withColumn("__m", F.array_min(F.array_compact(ranked)))
