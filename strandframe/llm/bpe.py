@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -109,6 +109,7 @@ class Encoder:
         self.find = vocabulary.find
         self.split = regex.compile(vocabulary.pattern).findall
         self.ranks = {token: i for token, i in zip(vocabulary.slots, vocabulary.ids, strict=True) if i >= 0}
+        self.tokens = {i: token for token, i in self.ranks.items()}
         self.memo: dict[str, bytes] = {}
 
     def merge(self, token: bytes) -> list[int]:
@@ -155,16 +156,23 @@ class Encoder:
         return b"".join([memo(piece) or packed(piece) for piece in self.split(text)])
 
 
-def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "token_ids") -> DataFrame:
+def decode(packed: bytes | None, token_of: Callable[[int], bytes]) -> bytes:
+    """The bytes that packed ids stand for; none for null or no ids."""
+    return b"".join(map(token_of, np.frombuffer(packed, "<u4").tolist())) if packed else b""
+
+
+def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "token_ids", round_trip: str | None = None) -> DataFrame:
     """The columns of `keep` and `out`: the ids of the whole text as little-endian unsigned 32-bit integers in one binary value.
+    round_trip names a further column: whether decoding the ids, in the same worker, gives the text's bytes back.
 
     The vocabulary is sent to all executors; its size is fixed by the tokenizer and does not grow with the data.
     `unpack_ids` makes an array of `out`. Null and empty text give an empty value; repeated rows stay repeated.
     """
-    check_keep(keep, (out,))
+    outputs = [out, *([round_trip] if round_trip else [])]
+    check_keep(keep, tuple(outputs))
     shared = Shared(df.sparkSession, vocabulary_of(ranks, pattern))
     source = df.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField(out, T.BinaryType(), False)])
+    schema = T.StructType([*(f for f in source.schema if f.name != "__text"), T.StructField(out, T.BinaryType(), False), *(T.StructField(c, T.BooleanType(), False) for c in outputs[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.once(Encoder)
@@ -172,8 +180,12 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
             whole = batch.column("__text")
             for start in range(0, batch.num_rows, 512):
                 part = whole.slice(start, 512)
-                packed = pa.array([encoder.encode(x) if x else b"" for x in part.to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, 512) for c in keep), packed], [*keep, out])
+                texts = part.to_pylist()
+                packed = [encoder.encode(x) if x else b"" for x in texts]
+                columns = [pa.array(packed, pa.binary())]
+                if round_trip:
+                    columns.append(pa.array([decode(ids, encoder.tokens.__getitem__) == (x or "").encode() for x, ids in zip(texts, packed, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, 512) for c in keep), *columns], [*keep, *outputs])
 
     return source.mapInArrow(tidy(run), schema)
 
@@ -191,7 +203,7 @@ def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", k
             whole = batch.column("__ids")
             for start in range(0, batch.num_rows, 512):
                 part = whole.slice(start, 512)
-                texts = pa.array([b"".join(map(token_of, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.to_pylist()], pa.binary())
+                texts = pa.array([decode(x, token_of) for x in part.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, 512) for c in keep), texts], [*keep, out])
 
     return source.mapInArrow(tidy(run), schema)
