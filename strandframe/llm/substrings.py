@@ -134,7 +134,7 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarr
 _MARKS = "gram long, id long, at int, code int"
 
 
-def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, bits: int, batch_rows: int = 1 << 20) -> DataFrame:
+def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, bits: int, batch_rows: int = 1 << 19) -> DataFrame:
     """Anchors, and ranges that an earlier equal stretch of the same batch covers."""
     names = ("gram", "id", "at", "code")
 
