@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at a time (a longer text is taken whole, alone).
 STEP_BYTES = 1 << 20
@@ -204,10 +205,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, index of the text) of the words, which white space and text ends separate."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, index of the text) of the words, which bytes of `outside` (white space) and text ends separate."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~WHITE[data]
+    inside[1:-1] = ~outside[data]
     start = inside[1:-1] & ~inside[:-2]
     first = offsets[:-1][offsets[:-1] < len(data)]
     start[first] = inside[1:-1][first]
@@ -237,3 +238,12 @@ def combine(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0x9FB21C651E98DF25) + hashes[j : j + n]
     return mix64(out)
+
+
+def best_of(df: DataFrame, keys: tuple[str, ...], order: list, k: int, salt=None) -> DataFrame:
+    """The first k rows of each key, with their rank from 1. With salt (a column) rows of a key are first reduced in the salt's
+    groups, so that a key to which very many tasks have sent rows is not sorted by one."""
+    ranked = lambda d, by: d.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    if salt is not None:
+        df = ranked(df.withColumn("__salt", salt), [*keys, "__salt"]).drop("rank", "__salt")
+    return ranked(df, keys)

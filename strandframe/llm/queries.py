@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, neardup, pii, quality_crf, repetition, sharding, substrings
+from . import bpe, decontaminate, langid, lexical, licenses, neardup, pii, quality_crf, repetition, sharding, substrings
 from .common import read_table
 
 
@@ -84,11 +84,16 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_near_duplicates, op3_repetition_rules, op4_hypergeometric_shards, op5_sanitisation,
         op6_license_sentences, op7_decontamination, op8_line_chain_quality, op9_language, op10_repeated_substrings,
+        op12_ranked_search,
     )
 }
 
@@ -113,4 +118,21 @@ def _license_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op6_license_sentences": _license_sql()}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
+_SEARCH_SQL = f"""
+    WITH words AS (SELECT doc_id, {_TERMS} FROM documents),
+    tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+    sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+    asked AS (SELECT DISTINCT item_id, {_TERMS} FROM benchmark),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, whole GROUP BY term),
+    scores AS (
+      SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+      FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """
+
+ORACLE_SQL: dict[str, str] = {"op6_license_sentences": _license_sql(), "op12_ranked_search": _SEARCH_SQL}
