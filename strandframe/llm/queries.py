@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lexical, licenses, neardup, pii, quality_crf, repetition, sharding, substrings
+from . import bpe, decontaminate, langid, lexical, licenses, neardup, negatives, pii, quality_crf, repetition, sharding, substrings, topk
 from .common import read_table
 
 
@@ -84,16 +84,25 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_near_duplicates, op3_repetition_rules, op4_hypergeometric_shards, op5_sanitisation,
         op6_license_sentences, op7_decontamination, op8_line_chain_quality, op9_language, op10_repeated_substrings,
-        op12_ranked_search,
+        op11_hard_negatives, op12_ranked_search, op13_top_k,
     )
 }
 
