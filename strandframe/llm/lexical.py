@@ -130,9 +130,11 @@ class Block:
         return np.where(self.impact[left] >= self.impact[right], left, right)
 
 
-def search(block: Block, terms: np.ndarray, weights: np.ndarray, k: int, beats) -> list[tuple[int, int]]:
+def search(block: Block, terms: np.ndarray, weights: np.ndarray, k: int, beats, leaf: int = LEAF_POSTINGS) -> list[tuple[int, int]]:
     """(score, document) of the block's best k for an item that score over 0, best first. beats(score, document): may a document
     from there on, of that score, be among the item's best of earlier blocks?"""
+    if not len(terms) or not len(block.doc):
+        return []
     place = block.place[terms]
     found: list[tuple[int, int]] = []  # a heap whose root is the worst: (score, -document)
     heap: list[tuple] = []
@@ -166,7 +168,7 @@ def search(block: Block, terms: np.ndarray, weights: np.ndarray, k: int, beats)
             continue
         lengths = hi - lo
         total = int(lengths.sum())
-        if total <= LEAF_POSTINGS:
+        if total <= leaf:
             position = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
             document, impact = block.doc[position], np.repeat(w, lengths) * block.impact[position]
             order = np.argsort(document, kind="stable")
@@ -203,7 +205,7 @@ def _saturation(tf: np.ndarray, n: np.ndarray, documents: int, occurrences: int)
     return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
-def _search_part(documents: DataFrame, wanted: dict[object, set[bytes]], id_: str, text: str, item_type: T.DataType, k: int) -> DataFrame:
+def _search_part(documents: DataFrame, wanted: dict[object, set[bytes]], id_: str, text: str, item_type: T.DataType, k: int, block: tuple[int, int, int]) -> DataFrame:
     spark = documents.sparkSession
     source = documents.select(F.col(id_).alias("__id"), F.col(text).alias("__text"))
     vocabulary = Vocabulary(list(set().union(*wanted.values())))
@@ -242,9 +244,9 @@ def _search_part(documents: DataFrame, wanted: dict[object, set[bytes]], id_: st
             rank[order] = np.arange(len(order))
             names = names.take(pa.array(order)).to_pylist()
             doc, term, tf = (np.concatenate(x) for x in zip(*rows))
-            block = Block(len(names), rank[doc], term, _saturation(tf, np.concatenate(lengths)[doc], n_documents, n_occurrences), len(known.terms))
+            index = Block(len(names), rank[doc], term, _saturation(tf, np.concatenate(lengths)[doc], n_documents, n_occurrences), len(known.terms))
             for (_, terms), own in zip(items, best):
-                own.add([(s, names[d]) for s, d in search(block, terms, weight[terms], k, lambda s, d, own=own: own.beats(s, names[d]) if d < len(names) else False)])
+                own.add([(s, names[d]) for s, d in search(index, terms, weight[terms], k, lambda s, d, own=own: d < len(names) and own.beats(s, names[d]), block[2])])
             ids.clear(), rows.clear(), lengths.clear()
 
         held = postings = 0
@@ -253,7 +255,7 @@ def _search_part(documents: DataFrame, wanted: dict[object, set[bytes]], id_: st
             kind = part.column("__id").type
             ids.append(part.column("__id")), lengths.append(n), rows.append((doc + held, term, tf))
             held, postings = held + part.num_rows, postings + len(doc)
-            if held >= BLOCK_DOCUMENTS or postings >= BLOCK_POSTINGS:
+            if held >= block[0] or postings >= block[1]:
                 close()
                 held = postings = 0
         if held:
@@ -266,8 +268,9 @@ def _search_part(documents: DataFrame, wanted: dict[object, set[bytes]], id_: st
     return source.mapInArrow(tidy(find), schema) if n_occurrences else spark.createDataFrame([], schema)
 
 
-def rank_documents(documents: DataFrame, items: DataFrame, k: int = 50, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
-    """item_id, rank, doc_id, score: each item's k documents of highest score over 0 (all, if fewer)."""
+def rank_documents(documents: DataFrame, items: DataFrame, k: int = 50, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", part_bytes: int = 16 << 20, block: tuple[int, int, int] = (BLOCK_DOCUMENTS, BLOCK_POSTINGS, LEAF_POSTINGS)) -> DataFrame:
+    """item_id, rank, doc_id, score: each item's k documents of highest score over 0 (all, if fewer). block: documents and postings
+    of a block, and postings of an interval that is not split."""
     asked = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
@@ -278,7 +281,7 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = 50, doc_id:
             wanted.setdefault(row.item_id, set()).update(terms_of(row.text))
         wanted = {i: t for i, t in wanted.items() if t}
         if wanted:
-            one = _search_part(documents, wanted, doc_id, text, asked.schema["item_id"].dataType, k)
+            one = _search_part(documents, wanted, doc_id, text, asked.schema["item_id"].dataType, k, block)
             found = one if found is None else found.unionByName(one)
     if found is None:
         return documents.sparkSession.createDataFrame([], T.StructType([asked.schema["item_id"], T.StructField("rank", T.IntegerType()), T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("score", T.LongType())]))

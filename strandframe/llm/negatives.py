@@ -12,7 +12,7 @@ positive's score sets; it stops when every window has its number of rows over th
 Both results are therefore exact within a group, at any fit of the codebooks, and so are the merged ones (recall 1).
 
 Rows without label take no part, nor those named in `vectors`. Anchors of one id are one: the least (label, vector) asks. Every
-row with the anchor's id is its own, neither positive nor negative. Repeated rows stand each for itself. Ties are ranked by id.
+row with the anchor's id is its own, neither positive nor negative. Repeated rows stand each for itself, but positives equal in id and score ask once. Ties are ranked by id.
 Where no window can be met (a positive's score under 0) there are no rows. Empty tables give none; extra columns are ignored.
 """
 
@@ -240,7 +240,7 @@ def hard_negatives(
         asking, candidates, lambda a, r: positives_in_group(a, r, sent.once(), positives),
         T.StructType([field("anchor_id", kind), field("id", kind), field("score", T.LongType())]), anchor_groups, row_groups,
     )
-    best = best_of(near, ("anchor_id",), [F.desc("score"), F.asc("id")], positives).groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("positives"))
+    best = best_of(near, ("anchor_id",), [F.desc("score"), F.asc("id")], positives).groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("score", "id"))).alias("positives"))
     with_positives = durable(asking.join(best, "id"))
     far = search_in_groups(
         with_positives, candidates, lambda a, r: negatives_in_group(a, r, sent.once(), negatives, window),

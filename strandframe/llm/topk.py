@@ -29,49 +29,58 @@ from .vectors import QUERY_GROUP, ROW_GROUP, exact_floats, groups_of, integer_ve
 #: Shares of the lists that are read before the bounds are compared.
 DEPTHS = (0.5, 0.625, 0.75, 0.875)
 #: Rows of the first and of the largest block.
-FIRST_BLOCK, BLOCK = 1_024, 8_192
+FIRST_BLOCK, BLOCK = 2_048, 8_192
 #: A block's reading ends when a share of its rows of at most one in this many is left.
-LEFT = 16
+LEFT = 8
 
 
 class SortedLists:
     """The lists of one block: for each component the rows in order of its value, forwards and backwards."""
 
     def __init__(self, vectors: np.ndarray):
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.n = len(vectors)
-        self.rank = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
-        values = np.take_along_axis(vectors, order, 0).T.astype(np.float64)
-        self.rows = np.ascontiguousarray(np.stack([order.T[:, ::-1], order.T]))  # greatest first, least first
-        self.values = np.ascontiguousarray(np.stack([values[:, ::-1], values]))
+        order = np.argsort(vectors, axis=0, kind="stable").T
+        self.n, d = len(vectors), vectors.shape[1]
+        rank = np.empty(order.shape, np.int32)
+        np.put_along_axis(rank, order, np.arange(self.n, dtype=np.int32)[None], 1)
+        values = np.take_along_axis(vectors.T, order, 1).astype(np.float64)
+        # Lists 0 to d - 1 have the greatest first, lists d to 2 d - 1 the least first.
+        self.rank = np.concatenate([self.n - 1 - rank, rank])
+        rows, values = np.concatenate([order[:, ::-1], order]), np.concatenate([values[:, ::-1], values])
+        ends = sorted({int(self.n * share) for share in DEPTHS} - {0})
+        self.parts = [(end, np.ascontiguousarray(rows[:, begin:end]), np.ascontiguousarray(values[:, begin:end])) for begin, end in zip([0, *ends], ends)]
+        self.least = values[:, -1].copy() if self.n else np.zeros(2 * d)
+        # Room that every query uses again.
+        self.read = [(np.empty((d, r.shape[1]), r.dtype), np.empty((d, r.shape[1]))) for _, r, _ in self.parts]
+        self.ranks, self.unseen = np.empty((d, self.n), np.int32), np.empty((d, self.n), np.float32)
 
     def candidates(self, query: np.ndarray, k: int, floor: float, out: np.ndarray) -> np.ndarray:
         """Rows that may be among the query's best k with a score of floor at least; `out` marks rows that are not asked about."""
-        lists = np.flatnonzero(query)
-        q, side = query[lists].astype(np.float64), (query[lists] < 0).astype(np.int64)
-        least = q * self.values[side, lists, -1]
-        total, read = np.zeros(self.n), 0
-        alive = np.flatnonzero(~out)
-        for share in DEPTHS:
-            depth = int(self.n * share)
-            if depth <= read or len(alive) <= k:
-                continue
-            part = self.values[side, lists, read:depth] * q[:, None]
-            total += np.bincount(self.rows[side, lists, read:depth].ravel(), weights=part.ravel(), minlength=self.n)
-            read = depth
-            at = self.rank[np.ix_(alive, lists)]
-            unseen = np.where(side == 0, at < self.n - depth, at >= depth)
-            lower = total[alive] + unseen @ least
+        q = query.astype(np.float64)
+        lists = np.arange(len(q)) + len(q) * (q < 0)
+        least, total, alive = q * self.least[lists], np.zeros(self.n), ~out
+        np.take(self.rank, lists, axis=0, out=self.ranks, mode="clip")
+        for (depth, rows, values), (at, seen) in zip(self.parts, self.read):
+            if np.count_nonzero(alive) <= k:
+                break
+            np.take(rows, lists, axis=0, out=at, mode="clip")
+            np.take(values, lists, axis=0, out=seen, mode="clip")
+            next_best = q * seen[:, -1]
+            seen *= q[:, None]
+            total += np.bincount(at.ravel(), weights=seen.ravel(), minlength=self.n)
+            np.greater_equal(self.ranks, depth, out=self.unseen, casting="unsafe")
+            bounds = np.stack([least, next_best])
+            slack = 1e-5 * np.abs(bounds).sum(axis=1)  # single precision
+            rest_least, rest_most = bounds.astype(np.float32) @ self.unseen
+            lower = (total + rest_least - slack[0])[alive]
             if len(lower) >= k:
                 floor = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k])
-            alive = alive[total[alive] + unseen @ (q * self.values[side, lists, depth - 1]) >= floor]
-            if len(alive) * LEFT <= self.n:
+            alive &= total + rest_most + slack[1] >= floor
+            if np.count_nonzero(alive) * LEFT <= self.n:
                 break
-        return alive
+        return np.flatnonzero(alive)
 
 
-def nearest_rows(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+def nearest_rows(queries: pa.Table, rows: pa.Table, k: int, blocks: tuple[int, int] = (FIRST_BLOCK, BLOCK)) -> pa.Table:
     """query_id, id and score of the k best of the rows for each query that reach the query's floor; ties by id."""
     rows = rows.take(pc.sort_indices(rows, [("id", "ascending"), ("vec", "ascending")]))
     x = matrix(rows.column("vec"))
@@ -84,10 +93,10 @@ def nearest_rows(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     floors = queries.column("floor").to_pylist()
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
     deal = np.random.default_rng(0).permutation(len(x))  # a block must not be a stretch of ids
-    start, size = 0, FIRST_BLOCK
+    start, size = 0, blocks[0]
     while start < len(x):
         block = np.sort(deal[start : start + size])
-        start, size = start + size, min(2 * size, BLOCK)
+        start, size = start + size, min(2 * size, blocks[1])
         lists = SortedLists(x[block]) if exact else None
         for i in range(len(q)):
             scores, found = best[i]
@@ -106,8 +115,9 @@ def nearest_rows(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": take(queries.column("id"), asked), "id": take(rows.column("id"), met), "score": pa.array(scores, pa.int64())})
 
 
-def top_k(df: DataFrame, queries: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """query_id, rank, the id and score of the k greatest inner products with every row of df that `queries` (a condition) chooses."""
+def top_k(df: DataFrame, queries: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding", scale: float = 256.0, blocks: tuple[int, int] = (FIRST_BLOCK, BLOCK)) -> DataFrame:
+    """query_id, rank, the id and score of the k greatest inner products with every row of df that `queries` (a condition) chooses.
+    blocks: rows of the first and of the largest block."""
     spark = df.sparkSession
     rows = integer_vectors(df.withColumn("__asks", F.coalesce(queries, F.lit(False))), id_, vector, scale, ("__asks",))
     kind = rows.schema["id"].dataType
@@ -116,7 +126,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_: str = "vec_id", vecto
     n = rows.agg(F.count("*").alias("rows"), F.count_if("__asks").alias("queries")).first()
     row_groups, query_groups = groups_of(n.rows, ROW_GROUP, 2 * spark.sparkContext.defaultParallelism), groups_of(n.queries, QUERY_GROUP)
     candidates = rows.select("id", "vec", "no")
-    find = lambda q, r: nearest_rows(q, r, k)
+    find = lambda q, r: nearest_rows(q, r, k, blocks)
     first = durable(search_in_groups(asking.withColumn("floor", F.lit(None).cast("long")), candidates, find, schema, query_groups, row_groups, range(1)))
     found = first
     if row_groups > 1:
