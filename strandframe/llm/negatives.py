@@ -32,9 +32,9 @@ from .common import Batches, Shared, best_of, durable, tidy
 from .vectors import QUERY_GROUP, ROW_GROUP, groups_of, integer_vectors, matrix, products, search_in_groups
 
 #: Rows on which the codebooks are fitted at most (those of least hash), centres of a half, and rounds of fitting.
-SAMPLE, CENTRES, ROUNDS = 16_384, 16, 8
+SAMPLE, CENTRES, ROUNDS = 16_384, 12, 8
 #: Rows that are gathered from cells before they are scored together.
-TOGETHER = 512
+TOGETHER = 2_048
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -70,7 +70,8 @@ class MultiIndex:
         self.ends = np.searchsorted(codes[order], np.arange(1, n * len(books[1]) + 1))
         self.starts = np.concatenate([[0], self.ends[:-1]])
         self.radius = []
-        x = self.vectors.astype(np.float64)
+        self.floats, self.largest = self.vectors.astype(np.float64), float(np.abs(self.vectors).max(initial=0))
+        x = self.floats
         for part, book, code in ((x[:, : self.half], books[0], codes[order] // len(books[1])), (x[:, self.half :], books[1], codes[order] % len(books[1]))):
             radius = np.full(len(book), -np.inf)  # without rows: no bound reaches it
             np.maximum.at(radius, code, np.sqrt(((part - _wide(book, part.shape[1])[code]) ** 2).sum(1)))
@@ -98,13 +99,15 @@ class MultiIndex:
     def batches(self, query: np.ndarray, certain) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, their scores), cells in order of their bounds, until certain(bound): no row scoring that or less is wanted."""
         q = query.astype(np.float64)
-        slack = 1e-3 + 1e-9 * float(np.abs(q).sum()) * float(np.abs(self.vectors).max(initial=0))  # bounds are rounded, scores are not
+        reach = float(np.abs(q).sum()) * self.largest
+        slack = 1e-3 + 1e-9 * reach  # bounds are rounded, scores are not
+        exact = reach < 1 << 53
         held: list[tuple[int, int]] = []
         waiting = 0
 
         def scored() -> tuple[np.ndarray, np.ndarray]:
             at = np.concatenate([np.arange(a, b) for a, b in held])
-            return self.rows[at], products(self.vectors[at], query)
+            return self.rows[at], (self.floats[at] @ q).astype(np.int64) if exact else products(self.vectors[at], query)
 
         for bound, cell in self.cells(q):
             if certain(bound + slack):
