@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
+
 
 def with_totals(df: DataFrame, scope: Sequence[str], totals: Sequence[Column], of: DataFrame | None = None) -> DataFrame:
     """Each row with aggregates of its scope (of `of`, by default of df itself). Sums are partial before the exchange and the small
@@ -53,7 +55,8 @@ def proximity_score(df: DataFrame, group: str, relative: str, scope: Sequence[st
     measures = [n.alias("total_gene"), total.alias("total_r"), F.sum(1.0 / (F.abs(F.col(relative).cast("double")) + 1)).alias("__near")]
     if products:
         measures.append(F.sort_array(F.collect_list(products)).alias("products"))
-    groups = with_totals(df.groupBy(*keys).agg(*measures), scope, [F.count("*").alias("__whole")], df)
+    # The input may be dear, so it is read once: its groups are computed, and their rows are the scope's rows.
+    groups = with_totals(durable(df.groupBy(*keys).agg(*measures)), scope, [F.sum("total_gene").alias("__whole")])
     weight = F.col("total_gene") * F.col("total_gene") / F.col("__whole") * 100
     return groups.select(
         *keys,

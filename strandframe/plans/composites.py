@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import aggregates, joins, nested
+from ..operators import aggregates, fuzzy, joins, nested
 
 # Product keywords of neighbour genes, and ordered product groups.
 NEIGHBOUR_KEYWORDS = [
@@ -26,69 +24,9 @@ PRODUCT_RULES = [
 GROUP_LABELS = {"1_": "Group I", "2_": "Group II", "3_": "Group III", "4_": "Group IV", "5_": "Group V"}
 
 
-def similarity(a: str, b: str, least: float = 0.0) -> float:
-    """Normalised edit similarity of lower-cased texts, as the built-in expression gives it. Where lengths or letters alone show
-    that it is under `least`, 0 is given at once."""
-    a, b = a.lower(), b.lower()
-    if not a or not b:
-        return 1.0 if a == b else 0.0
-    longest = max(len(a), len(b))
-    if 1 - abs(len(a) - len(b)) / longest < least or least and 1 - (longest - (Counter(a) & Counter(b)).total()) / longest < least:
-        return 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
-
-
-def token_sort_similarity(a: str, b: str) -> float:
-    """Edit similarity of the words in alphabetical order: word order does not count."""
-    return similarity(*(" ".join(sorted(x.lower().split())) for x in (a, b)))
-
-
-def partial_similarity(a: str, b: str) -> float:
-    """Edit similarity of the shorter text with the likest stretch of the longer one of the same length."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return similarity(a, b)
-    return max(similarity(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
-
-
-def fuzzy_group(df: DataFrame, scope: Sequence[str], text: str, position: str, rules=PRODUCT_RULES, threshold: float = 0.9, scorer: Callable[[str, str], float] = similarity) -> DataFrame:
-    """scope, text and group of each distinct text: the rule's group, else a founder's name.
-
-    Rows are in order of position and then text; those without a position come last. Founders are the greedy leaders among the
-    texts without a rule in order of first appearance. A text belongs to its most similar founder among those founded before its
-    own last occurrence (the earlier one where equal). The scorer is a parameter; the default is a normalised edit similarity.
-    Each scope's distinct texts are one group in Python, as every leader depends on those before: a vocabulary of names, not
-    the rows."""
-    at = F.coalesce(F.col(position).cast("double"), F.lit(float("inf")))
-    stats = df.where(F.col(text).isNotNull()).groupBy(*scope, text).agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    ruled = stats.withColumn("group", S.keyword_classify(F.col(text), rules, F.lit(None).cast("string")))
-    free = ruled.where("group IS NULL").drop("group")
-
-    def leaders(texts: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.sort_values(["first", text], kind="stable")
-        score = functools.partial(similarity, least=threshold) if scorer is similarity else scorer
-        founders: list[tuple[float, str]] = []
-        chosen: dict[str, str] = {}
-        for name, first in zip(texts[text], texts["first"], strict=True):
-            if not any(score(name, f) >= threshold for _, f in founders):
-                founders.append((first, name))
-                chosen[name] = name
-        for name, last in zip(texts[text], texts["last"], strict=True):
-            if name not in chosen:
-                scores = [(score(name, f), -i) for i, (at, f) in enumerate(founders) if (at, f) < (last, name)]
-                chosen[name] = founders[-max(s for s in scores if s[0] >= threshold)[1]][1]
-        return texts[[*scope, text]].assign(group=texts[text].map(chosen))
-
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in free.schema if f.name in (*scope, text)]
-    order = [f.split("`")[1] for f in names]
-    grouped = free.groupBy(*scope) if scope else free.groupBy(F.lit(0))
-    led = grouped.applyInPandas(lambda t: leaders(t)[[*order, "group"]], ", ".join([*names, "group string"]))
-    return ruled.where("group IS NOT NULL").select(*scope, text, "group").unionByName(led)
+def fuzzy_group(df: DataFrame, scope: Sequence[str], text: str, position: str, rules=PRODUCT_RULES, threshold: float = 0.9, scorer: str = "edit") -> DataFrame:
+    """Groups of similar product names of each scope, after the product rules; see `operators.fuzzy`."""
+    return fuzzy.fuzzy_group(df, scope, text, position, rules, threshold, scorer)
 
 
 def neighbour_features(targets: DataFrame, features: DataFrame, reach: int = 10_000, keywords: Sequence[str] = NEIGHBOUR_KEYWORDS, max_overlap: float = 80.0) -> DataFrame:
@@ -110,10 +48,10 @@ def replicon_type(features: DataFrame, by: str = "record_id") -> DataFrame:
     return aggregates.best_hit(source.select(by, (-F.col("record_no")).alias("n"), (-F.col("ordinal")).alias("o"), kind.alias("seq_type")), [by], [F.col("n"), F.col("o")]).drop("n", "o")
 
 
-def enrichment(flanks: DataFrame, cluster: str = "cluster", product: str = "product", relative: str = "relative", position: str = "position", threshold: float = 0.9, rules=PRODUCT_RULES) -> DataFrame:
+def enrichment(flanks: DataFrame, cluster: str = "cluster", product: str = "product", relative: str = "relative", position: str = "position", threshold: float = 0.9, rules=PRODUCT_RULES, scorer: str = "edit") -> DataFrame:
     """Group scores of each cluster: products are grouped, then scored by proximity and number; the best first. With a threshold
     over 1 only the rules group, and any other product stands alone."""
-    groups = fuzzy_group(flanks, [cluster], product, position, rules, threshold)
+    groups = fuzzy_group(flanks, [cluster], product, position, rules, threshold, scorer)
     scored = aggregates.proximity_score(flanks.join(groups, [cluster, product]), "group", relative, [cluster], product)
     return scored.orderBy(cluster, F.desc("score"), "group")
 

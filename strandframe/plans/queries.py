@@ -536,13 +536,50 @@ def sink_csv_float2(spark, d):
     return formats.scan_csv(spark, path, "p_partkey bigint, price string")
 
 
-@query()
+def _likeness_sql(a: str, b: str) -> str:
+    return f"(1 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), length({b}))::DOUBLE)"
+
+
+def _grouped_sql(table_: str, scope: str, name: str, position: str, rule: str) -> str:
+    """CTEs that end in grouped(scope, name, group): greedy leaders in one pass over the names, then the best leader of each."""
+    return f"""WITH RECURSIVE stats AS (SELECT {scope} AS s, {name} AS t, min({position}) AS f, max({position}) AS l FROM {table_} WHERE {name} IS NOT NULL GROUP BY 1, 2),
+      ruled AS (SELECT *, {rule} AS r FROM stats),
+      free AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY f, t) AS n FROM ruled WHERE r IS NULL),
+      walk(s, n, founders) AS (
+        SELECT s, n, [t] FROM free WHERE n = 1
+        UNION ALL
+        SELECT w.s, f.n, CASE WHEN len(list_filter(w.founders, lambda x: {_likeness_sql('x', 'f.t')} >= 0.9::DOUBLE)) > 0 THEN w.founders ELSE list_append(w.founders, f.t) END
+        FROM walk w JOIN free f ON f.s = w.s AND f.n = w.n + 1),
+      founders AS (SELECT s, unnest(fs) AS t FROM (SELECT s, arg_max(founders, n) AS fs FROM walk GROUP BY s)),
+      led AS (SELECT v.s, v.t, u.t AS g, row_number() OVER (PARTITION BY v.s, v.t ORDER BY {_likeness_sql('v.t', 'u.t')} DESC, u.f, u.t) AS k
+        FROM free v JOIN (SELECT f.* FROM free f SEMI JOIN founders USING (s, t)) u ON u.s = v.s AND (u.f < v.l OR u.f = v.l AND u.t < v.t) AND {_likeness_sql('v.t', 'u.t')} >= 0.9::DOUBLE
+        WHERE NOT EXISTS (SELECT 1 FROM founders o WHERE o.s = v.s AND o.t = v.t)),
+      grouped AS (SELECT x.s, x.t, coalesce(x.r, led.g, x.t) AS g FROM ruled x LEFT JOIN led ON led.s = x.s AND led.t = x.t AND led.k = 1)
+    """
+
+
+_PART_GROUPS = _grouped_sql("part", "p_type", "p_name", "p_partkey", f"{_case(PART_RULES, 'lower(t)')} END")
+
+
+@query(_PART_GROUPS + 'SELECT s AS p_type, t AS p_name, g AS "group" FROM grouped')
 def fuzzy_group(spark, d):
-    """Sequential by definition: held against a plain model in the tests."""
     return composites.fuzzy_group(table(spark, d, "part").select("p_type", "p_name", "p_partkey"), ["p_type"], "p_name", "p_partkey", PART_RULES)
 
 
+@query(_grouped_sql("customer", "c_nationkey", "c_name", "c_custkey", "NULL::VARCHAR") + 'SELECT s AS c_nationkey, t AS c_name, g AS "group" FROM grouped')
+def fuzzy_group_of_customers(spark, d):
+    """Names that differ in one letter: many resemble several founders, and chains of them are long."""
+    return composites.fuzzy_group(table(spark, d, "customer").select("c_nationkey", "c_name", "c_custkey"), ["c_nationkey"], "c_name", "c_custkey", [])
+
+
 @query()
+def fuzzy_group_weighted(spark, d):
+    """Groups of part names of each brand by the weighted likeness: no SQL has it; held against plain programs in the tests."""
+    return composites.fuzzy_group(table(spark, d, "part").select("p_brand", "p_name", "p_partkey"), ["p_brand"], "p_name", "p_partkey", PART_RULES, scorer="weighted")
+
+
+@query(_grouped_sql("part", "p_type", "p_name", "p_partkey", f"{_case(composites.PRODUCT_RULES, 'lower(t)')} END") + """SELECT s AS cluster, g AS "group", count(*) AS total_gene, round(sum(1.0 / (abs(p_size) + 1)) * count(*) * count(*) / any_value(n) * 100, 4) AS score
+  FROM part JOIN grouped ON s = p_type AND t = p_name JOIN (SELECT p_type AS c, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1) ON c = p_type GROUP BY 1, 2""")
 def enrichment(spark, d):
     """Fuzzy groups of part names of each type, scored by size as the distance."""
     flanks = table(spark, d, "part").select(F.col("p_type").alias("cluster"), F.col("p_name").alias("product"), F.col("p_size").alias("relative"), F.col("p_partkey").alias("position"))

@@ -37,6 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/files-{uuid.uuid4().hex}"
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df computed once, into the folder of spark.checkpoint.dir: rounds of a loop read it instead of all that led to it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package: once for each application."""
     context = spark.sparkContext

@@ -70,33 +70,6 @@ def test_enrichment_of_sixteen_flanks(spark):
     }
 
 
-def _sequential_groups(rows, rules, threshold):
-    """One row after another, each product remembering the group it got last."""
-    founders, group = [], {}
-    for name in rows:
-        ruled = next((g for k, g in rules if k in name.lower()), None)
-        if ruled:
-            group[name] = ruled
-            continue
-        scores = [(composites.similarity(name, f), -i) for i, f in enumerate(founders)]
-        best = max(scores, default=(0, 0))
-        if founders and best[0] >= threshold:
-            group[name] = founders[-best[1]]
-        else:
-            founders.append(name)
-            group[name] = name
-    return group
-
-
-def test_fuzzy_groups_follow_the_sequential_model(spark):
-    r = random.Random(1)
-    for _ in range(4):
-        rows = ["".join(r.choice("ab") for _ in range(4)) + r.choice(["", " reductase"]) for _ in range(60)]
-        df = spark.createDataFrame([("c", n, i) for i, n in enumerate(rows)], "c string, n string, i int")
-        got = {x.n: x.group for x in composites.fuzzy_group(df, ["c"], "n", "i", threshold=0.75).collect()}
-        assert got == _sequential_groups(rows, composites.PRODUCT_RULES, 0.75)
-
-
 def test_proximity_and_shares(spark):
     empty = spark.createDataFrame([], "g string, r int")
     assert aggregates.proximity_score(empty, "g", "r").count() == 0
@@ -176,16 +149,6 @@ def test_fuzzy_groups_of_rows_at_one_position(spark):
     assert got == {"abcdefghij": "abcdefghij", "abcdefghix": "abcdefghij", "abcdefghiy": "abcdefghij", "zzy": "zzy", "zzz": "zzy"}
 
 
-def test_scorers():
-    assert composites.token_sort_similarity("permease ABC transporter", "abc Transporter permease") == 1.0
-    assert composites.partial_similarity("transporter", "ABC transporter permease") == 1.0 and composites.partial_similarity("", "x") == 0.0
-    r = random.Random(2)
-    for _ in range(500):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(0, 9))) for _ in range(2))
-        whole = composites.similarity(a, b)
-        assert composites.similarity(a, b, 0.7) in (whole, 0.0) and (whole < 0.7 or composites.similarity(a, b, 0.7) == whole)
-
-
 def test_null_keys_are_all_appended(spark):
     new = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e")], "k int, v string")
     got = sinks.insert_if_absent(new, spark.createDataFrame([(2,), (None,)], "k int"), "k", [F.col("v")]).collect()
