@@ -23,18 +23,12 @@ def write_fasta(df: DataFrame, path: str, header: str, sequence: str, order: Seq
     lines.select(fasta_lines(F.col(header), F.col(sequence)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_named(df: DataFrame, column: str, path: str) -> None:
-    """Lines of a text column as one file with exactly this name, for outputs whose name is data. A single task writes it, so
-    it is for what belongs in one file: an alignment, a record, a table of one group."""
-    spark, folder = df.sparkSession, f"{path}.parts"
-    df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    source, target = hadoop.Path(folder), hadoop.Path(path)
-    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = files.globStatus(hadoop.Path(folder, "part-*"))[0].getPath()
-    files.delete(target, True)
-    files.rename(part, target)
-    files.delete(source, True)
+def write_ordered(df: DataFrame, path: str, order: Sequence[str | Column], *lines: Column | str, together: Sequence[str] = ()) -> None:
+    """The lines of each row as one text in parts: ranges of the order are sorted and written side by side, and the parts, in the
+    order of their names, are the text. Readers take such a folder with of="folder". Rows equal in `together`, which must lead
+    the order, go to one part, as a record of several rows must."""
+    ranged = df.repartitionByRange(*together).sortWithinPartitions(*order) if together else df.orderBy(*order)
+    ranged.select(F.concat_ws("\n", *lines).alias("value")).write.mode("overwrite").text(path)
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

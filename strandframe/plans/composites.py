@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates, fuzzy, joins, nested
+from ..sources.formats import named_by
 
 # Product keywords of neighbour genes, and ordered product groups.
 NEIGHBOUR_KEYWORDS = [
@@ -63,9 +64,11 @@ def heat_matrix(scores: DataFrame, value: str, group: str, score: str, file: str
     return nested.pivot_matrix(scaled, value, group, F.first("scaled"), groups)
 
 
-def heat_matrix_of_files(spark: SparkSession, path: str, groups: Sequence[str], named: str) -> DataFrame:
-    """The heat matrix of the score tables of a folder whose names begin with `named`_value_: files tell group and value."""
-    scores = spark.read.csv(path, header=True, schema="Group string, Score double").select("Group", "Score", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+def heat_matrix_of_files(spark: SparkSession, path: str, groups: Sequence[str], named: str, of: str = "file") -> DataFrame:
+    """The heat matrix of the score tables of a folder whose names begin with `named`_value_: files tell group and value. With
+    of="folder" the names are those that a writer's partitionBy gave to folders."""
+    reader = spark.read.option("recursiveFileLookup", of != "file")
+    scores = reader.csv(path, header=True, schema="Group string, Score double").select("Group", "Score", named_by(of).alias("file"))
     of_file = scores.withColumn("dims", S.filename_to_dims(F.col("file"))).where(F.col("dims.group") == named).withColumn("value", F.col("dims.value"))
     return heat_matrix(of_file, "value", "Group", "Score", "file", groups)
 
@@ -175,6 +178,8 @@ def split_support(trees: DataFrame) -> DataFrame:
     return trees.select(F.explode("splits").alias("split")).groupBy("split").agg((F.count("*") * 100.0 / max(total, 1)).alias("support"))
 
 
-def merge_stockholm(text, stem):
-    """Stockholm text with a line that names the family after its first line (columns)."""
-    return F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID "), stem, F.regexp_replace(text, r"^# STOCKHOLM 1\.0\r?\n", ""))
+def merge_stockholm(lines: DataFrame, stem: Column) -> DataFrame:
+    """Lines of Stockholm files (file, line, value) with a line that names the family by its stem after the first."""
+    rest = lines.where(~((F.col("line") == 0) & F.col("value").startswith("# STOCKHOLM 1.0"))).select("file", "line", "value")
+    head = lines.select("file", stem.alias("stem")).distinct().select("file", F.explode(F.array(F.struct(F.lit(-2).alias("line"), F.lit("# STOCKHOLM 1.0").alias("value")), F.struct(F.lit(-1).alias("line"), F.concat(F.lit("#=GF ID "), "stem").alias("value")))).alias("h")).select("file", "h.*")
+    return head.unionByName(rest)

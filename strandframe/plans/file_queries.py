@@ -17,11 +17,6 @@ from .queries import PART_RULES, _case, _round, query
 _TEXT = lambda c: F.col(c).cast("string")
 
 
-def _lines(df: DataFrame, order: list[str], *lines) -> DataFrame:
-    """The lines of each row as text, in order, for one file: sorted and written as a stream by the task that makes the file."""
-    return df.repartition(1).sortWithinPartitions(*order).select(F.concat_ws("\n", *lines).alias("text"))
-
-
 @query("SELECT concat(p_partkey, ' ', p_name) AS header, upper(replace(p_name, ' ', '')) AS seq FROM part")
 def scan_fasta(spark, d):
     path = shared_folder(spark)
@@ -39,8 +34,8 @@ def _gene_records(spark, d) -> DataFrame:
     path = shared_folder(spark)
     p = table(spark, d, "part").withColumn("kind", F.when(F.col("p_size") % 2 == 0, "MAIN_GENE").otherwise("REGULATOR"))
     header = S.header_compose(F.col("kind"), F.col("p_name"), F.col("p_size"), F.col("p_size") + 20, F.col("p_brand"))
-    sinks.write_named(_lines(p, ["p_partkey"], sinks.fasta_lines(header, F.upper(F.translate("p_name", " ", "")))), "text", f"{path}/genes.fasta")
-    return formats.scan_gene_fasta(spark, f"{path}/genes.fasta")
+    sinks.write_ordered(p, path, ["p_partkey"], sinks.fasta_lines(header, F.upper(F.translate("p_name", " ", ""))))
+    return formats.scan_gene_fasta(spark, path, of="folder")
 
 
 @query("""WITH g AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal, p_brand AS contig, (2 * p_size + 20) // 2 AS mid, p_size % 2 AS k FROM part),
@@ -83,33 +78,30 @@ def _write_alignment(spark, d, path: str, head: str) -> None:
     blocks = rows.select("id", F.explode(F.array(F.struct(F.lit(0).alias("no"), F.substring("a", F.lit(1), F.col("h")).alias("part")), F.struct(F.lit(1).alias("no"), F.substr("a", F.col("h") + 1).alias("part")))).alias("b"))
     head_rows = spark.createDataFrame([(-1, "", head), (0, "", ""), (1, "", "")], "no int, id string, line string")
     lines = blocks.select(F.col("b.no").alias("no"), "id", F.concat_ws("  ", "id", "b.part").alias("line")).unionByName(head_rows)
-    sinks.write_named(_lines(lines, ["no", "id"], "line"), "text", path)
+    sinks.write_ordered(lines, path, ["no", "id"], "line")
 
 
 @query(_ALIGNED + "SELECT id, aligned FROM a")
 def scan_alignment(spark, d):
     path = shared_folder(spark)
     _write_alignment(spark, d, f"{path}/a.sto", "# STOCKHOLM 1.0")
-    return formats.scan_alignment(spark, f"{path}/a.sto").select("id", "aligned")
+    return formats.scan_alignment(spark, f"{path}/a.sto", of="folder").select("id", "aligned")
 
 
 @query(_ALIGNED + "SELECT id, aligned FROM a")
 def scan_clustal(spark, d):
     path = shared_folder(spark)
     _write_alignment(spark, d, f"{path}/a.aln", "CLUSTAL O(1.2.4) multiple sequence alignment")
-    return formats.scan_alignment(spark, f"{path}/a.aln").select("id", "aligned")
+    return formats.scan_alignment(spark, f"{path}/a.aln", of="folder").select("id", "aligned")
 
 
 @query("SELECT '# STOCKHOLM 1.0' AS l1, '#=GF ID family' AS l2, count(DISTINCT p_name) * 2 AS sequence_lines FROM part")
 def alignment_merge(spark, d):
     path = shared_folder(spark)
     _write_alignment(spark, d, f"{path}/family.sto", "# STOCKHOLM 1.0")
-    whole = spark.read.text(f"{path}/family.sto", wholetext=True).select("value", S.strip_extension(F.col("_metadata.file_name")).alias("stem"))
-    lines = F.split(composites.merge_stockholm(F.col("value"), F.col("stem")), "\n")
-    return whole.select(lines[0].alias("l1"), lines[1].alias("l2"), F.size(F.filter(lines, lambda x: x.rlike(r"^[^#\s]"))).cast("long").alias("sequence_lines"))
-
-
-
+    lines = composites.merge_stockholm(formats.numbered_lines(spark, f"{path}/family.sto", of="folder"), S.strip_extension(F.element_at(F.split("file", "/"), -1)))
+    at = lambda n: F.max(F.when(F.col("line") == n, F.col("value")))
+    return lines.agg(at(-2).alias("l1"), at(-1).alias("l2"), F.count_if(F.col("value").rlike(r"^[^#\s]")).alias("sequence_lines"))
 
 
 @query(_ALIGNED + """, h AS (SELECT DISTINCT substr(id, 1, 1) < 'm' AS one, aligned FROM a), q AS (SELECT x.one, (SELECT count(*) FROM range(1, length(x.aligned) + 1) t(i) WHERE substr(x.aligned, i, 1) <> substr(y.aligned, i, 1)) / length(x.aligned) AS d
@@ -152,8 +144,8 @@ def scan_hit_csv(spark, d):
     extra = F.when(F.col("p_size") == 7, ",more").otherwise("")
     rows = table(spark, d, "part").select("p_partkey", F.concat(F.concat_ws(",", "p_partkey", "p_brand", "p_type", "p_retailprice", "p_size"), extra).alias("line"))
     head = spark.createDataFrame([(-1, "Query_ID,Subject_ID,Accession,E-value,Alignment_Length")], "p_partkey long, line string")
-    sinks.write_named(_lines(rows.unionByName(head), ["p_partkey"], "line"), "text", f"{path}/hits.csv")
-    return formats.scan_hit_csv(spark, f"{path}/hits.csv").select("Query_ID", "Subject_ID", "Accession", F.col("E-value").alias("e_value"), "Alignment_Length")
+    sinks.write_ordered(rows.unionByName(head), path, ["p_partkey"], "line")
+    return formats.scan_hit_csv(spark, path, of="folder").select("Query_ID", "Subject_ID", "Accession", F.col("E-value").alias("e_value"), "Alignment_Length")
 
 
 def _blast_xml(spark, d) -> DataFrame:
@@ -166,10 +158,8 @@ def _blast_xml(spark, d) -> DataFrame:
     parts = p.select("p_brand", F.lit(1).alias("at"), "p_partkey", hit().alias("line"))
     ends = F.explode(F.array(F.struct(F.lit(0).alias("at"), F.concat(F.lit("<Iteration>"), tag("Iteration_query-ID", F.col("p_brand")), F.lit("<Iteration_hits>")).alias("line")), F.struct(F.lit(2).alias("at"), F.lit("</Iteration_hits></Iteration>").alias("line"))))
     around = p.select("p_brand").distinct().select("p_brand", ends.alias("e")).select("p_brand", "e.at", F.lit(0).cast("long").alias("p_partkey"), "e.line")
-    root = [("", 0, 0, "<BlastOutput><BlastOutput_query-ID>all</BlastOutput_query-ID><BlastOutput_iterations>"), ("~", 0, 0, "</BlastOutput_iterations></BlastOutput>")]
-    whole = parts.unionByName(around).unionByName(spark.createDataFrame(root, "p_brand string, at int, p_partkey long, line string"))
-    sinks.write_named(_lines(whole, ["p_brand", "at", "p_partkey"], "line"), "text", f"{path}/result.xml")
-    return formats.scan_blast_xml(spark, f"{path}/result.xml")
+    sinks.write_ordered(parts.unionByName(around), path, ["p_brand", "at", "p_partkey"], "line", together=["p_brand"])
+    return formats.scan_blast_xml(spark, path, of="folder")
 
 
 @query("""SELECT p_brand AS query, concat('nuc', p_partkey) AS hit, concat('A', p_partkey) AS accession, s AS segment_no, s * 0.5::DOUBLE AS e_value, p_size AS start, p_size + 9 AS "end"
@@ -188,13 +178,29 @@ def hit_localisation(spark, d):
 def scan_json_pages(spark, d):
     """The nations of each region as one saved page, a name absent in one of them."""
     path = shared_folder(spark)
+    _write_pages(table(spark, d, "nation").withColumns({"next": F.lit(None).cast("string"), "page": _TEXT("n_regionkey")}), path)
+    return formats.scan_json_pages(spark, path, of="folder").select("accession", "name")
+
+
+def _write_pages(nations: DataFrame, path: str) -> None:
+    """A file for each page: its nations and its link. A page holds what a service sends at once."""
     named = F.when(F.col("n_regionkey") != 0, F.concat(F.lit("name of "), "n_name"))
-    entry = F.struct(F.struct(F.col("n_name").alias("accession"), named.alias("name")).alias("metadata"))
-    pages = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(entry).alias("results"))  # a page holds a region's nations
-    lines = pages.select("n_regionkey", F.to_json(F.struct(F.lit(None).cast("string").alias("next"), "results")).alias("line"))
-    for r in table(spark, d, "region").select("r_regionkey").collect():  # a page is a file of its own
-        sinks.write_named(lines.where(F.col("n_regionkey") == r.r_regionkey), "line", f"{path}/{r.r_regionkey}.json")
-    return formats.scan_json_pages(spark, path)
+    entry = F.struct("n_nationkey", F.struct(F.struct(F.col("n_name").alias("accession"), named.alias("name")).alias("metadata")).alias("r"))
+    pages = nations.groupBy("page").agg(F.first("next").alias("next"), F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["r"]).alias("results"))
+    pages.select("page", F.to_json(F.struct("next", "results")).alias("line")).write.partitionBy("page").text(path)
+
+
+@query("""WITH RECURSIVE walk(key, name, step, path) AS (SELECT n_nationkey, n_name, 0, [n_nationkey] FROM nation WHERE n_nationkey = 0
+  UNION ALL SELECT n.n_nationkey, n.n_name, step + 1, list_append(path, n.n_nationkey) FROM walk JOIN nation n ON n.n_nationkey = (walk.key * 3 + 4) % 25 WHERE NOT list_contains(path, n.n_nationkey))
+  SELECT step::BIGINT AS step, name AS accession FROM walk""")
+def follow_json_pages(spark, d):
+    """Each nation as a saved page that links to another: the pages that links from the first one lead to, in order, until they come
+    back to one already seen."""
+    path = shared_folder(spark)
+    name = lambda key: F.concat(F.lit("nation-"), key.cast("string"), F.lit(".json"))
+    _write_pages(table(spark, d, "nation").withColumns({"next": name((F.col("n_nationkey") * 3 + 4) % 25), "page": name(F.col("n_nationkey"))}), path)
+    pages = formats.scan_json_pages(spark, path, of="folder")
+    return formats.followed_pages(pages, "nation-0.json").select("step", "accession")
 
 
 @query("SELECT lower(p_name) AS word, count(*)::INTEGER AS count FROM part GROUP BY 1")
@@ -207,10 +213,9 @@ def scan_kv_literal(spark, d):
 @query("SELECT concat(r_regionkey, '.list') AS file, r_regionkey::VARCHAR AS stem FROM region")
 def list_dir(spark, d):
     path = shared_folder(spark)
-    for r in table(spark, d, "region").collect():  # the file list is the data: one file for each of a few rows
-        sinks.write_named(spark.createDataFrame([(r.r_name,)], "v string"), "v", f"{path}/{r.r_regionkey}.list")
-        sinks.write_named(spark.createDataFrame([(r.r_name,)], "v string"), "v", f"{path}/{r.r_regionkey}.other")
-    return formats.list_files(spark, path, ".list")
+    names = F.explode(F.array(*[F.concat(_TEXT("r_regionkey"), F.lit(e)) for e in (".list", ".other")])).alias("name")
+    table(spark, d, "region").select(names, F.col("r_name").alias("value")).write.partitionBy("name").text(path)
+    return formats.list_files(spark, path, ".list", of="folder")
 
 
 @query("""WITH r AS (SELECT p_size, row_number() OVER (ORDER BY p_partkey) AS position FROM part)
@@ -220,8 +225,8 @@ def scan_hmm(spark, d):
     path = shared_folder(spark)
     numbers = F.concat_ws(" ", *[(F.col("p_size") + i).cast("string") for i in range(20)])
     match = F.concat_ws(" ", _TEXT("p_partkey"), numbers, _TEXT("p_partkey"), F.lit("x - - -"))
-    sinks.write_named(_lines(table(spark, d, "part"), ["p_partkey"], match, F.concat(F.lit("   "), numbers), F.lit("0.1 0.2 *")), "text", f"{path}/model.hmm")
-    return formats.scan_profile(spark, f"{path}/model.hmm").select("position", F.col("A").alias("first_value"), F.col("Y").alias("last_value"))
+    sinks.write_ordered(table(spark, d, "part"), path, ["p_partkey"], match, F.concat(F.lit("   "), numbers), F.lit("0.1 0.2 *"))
+    return formats.scan_profile(spark, path, of="folder").select("position", F.col("A").alias("first_value"), F.col("Y").alias("last_value"))
 
 
 def _genbank(spark, d) -> DataFrame:
@@ -235,8 +240,8 @@ def _genbank(spark, d) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.lit(0).alias("at"), head.alias("line")), F.struct(F.lit(2).alias("at"), F.lit("//").alias("line"))))
     around = p.select("record", "kind").distinct().select("record", ends.alias("e")).select("record", "e.at", F.lit(0).cast("long").alias("p_partkey"), "e.line")
     whole = p.select("record", F.lit(1).alias("at"), "p_partkey", gene.alias("line")).unionByName(around)
-    sinks.write_named(_lines(whole, ["record", "at", "p_partkey"], "line"), "text", f"{path}/records.gbk")
-    return formats.scan_genbank(spark, f"{path}/records.gbk")
+    sinks.write_ordered(whole, path, ["record", "at", "p_partkey"], "line", together=["record"])
+    return formats.scan_genbank(spark, path, of="folder")
 
 
 _RECORD = "translate(p_brand, '# ', '__')"
@@ -282,15 +287,13 @@ def heat_matrix(spark, d):
     scores = table(spark, d, "part").where("p_size < 40").groupBy("p_type", "p_brand").agg(F.sum("p_retailprice").alias("t"))
     rows = scores.select("p_type", F.concat(F.lit("G_"), "p_brand").alias("g"), "t")
     other = scores.select("p_type", F.lit("single product").alias("g"), F.lit(1e9).alias("t")).distinct()
-    lines = rows.unionByName(other).select("p_type", F.concat_ws(",", "g", F.col("t").cast("string")).alias("line")).cache()
-    for r in lines.select("p_type").distinct().collect():  # a file for each of a few types, named by it
-        own = lines.where(F.col("p_type") == r.p_type).unionByName(spark.createDataFrame([(r.p_type, " Group,Score")], "p_type string, line string"))
-        sinks.write_named(_lines(own, ["line"], F.trim("line")), "text", f"{path}/102_{r.p_type.replace(' ', '-')}_x.csv")
+    named = F.translate("p_type", " ", "-")
+    files = rows.unionByName(other).select(F.concat(F.lit("102_"), named, F.lit("_x.csv")).alias("name"), F.col("g").alias("Group"), F.col("t").alias("Score"))
+    files.repartition("name").write.partitionBy("name").csv(path, header=True)
     groups = ["G_Brand#2", "G_Brand#17", "G_Brand#25"]
-    brands = sorted({f"G_{r.p_brand}" for r in table(spark, d, "part").select("p_brand").distinct().collect()} | set(groups))
-    out = composites.heat_matrix_of_files(spark, path, brands, "102")
-    back = S.map_replace(F.col("value"), {r.p_type.replace(" ", "-"): r.p_type for r in table(spark, d, "part").select("p_type").distinct().collect()})
-    return out.select(back.alias("value"), *[_round(F.col(f"`{g}`"), 6).alias(f"g{g.split('#')[1]}") for g in groups])
+    out = composites.heat_matrix_of_files(spark, path, groups, "102", of="folder")
+    types = table(spark, d, "part").select("p_type", named.alias("value")).distinct()
+    return out.join(types, "value").select(F.col("p_type").alias("value"), *[_round(F.col(f"`{g}`"), 6).alias(f"g{g.split('#')[1]}") for g in groups])
 
 
 @query("""WITH p AS (SELECT a.event_id, a.user_id, b.event_id AS near_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) AS d FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_type = 'purchase' AND b.event_type = 'error')
