@@ -72,6 +72,13 @@ TEXTS: dict[str, list[str]] = {
     "mpl-2-copy": [f"If a copy of the MPL was not distributed with this file, You can obtain one at {scheme}://mozilla.org/MPL/2.0/." for scheme in ("http", "https")],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "cc0-title": ["CC0 1.0 Universal"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions" + end for end in ("", ": 1")],
+    "zlib-origin": ["The origin of this software must not be misrepresented"],
+    "bsl-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "bsl-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
+    "epl-2-title": ["Eclipse Public License - v 2.0"], "epl-1-title": ["Eclipse Public License - v 1.0"],
+    "epl-2-header": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0" + end for end in ("", "/")],
 }
 
 #: Ordered rules of these texts, before the one-line rules: (licence, identifiers that occur in this order, class).
@@ -88,6 +95,9 @@ TEXT_RULES: list[tuple[str, list[str], str]] = [
     ("MPL-2.0", ["mpl-2-title"], "copyleft"), ("MPL-2.0", ["mpl-2-header"], "copyleft"),
     ("Unlicense", ["unlicense"], "permissive"),
     ("CC0-1.0", ["cc0-title"], "permissive"),
+    ("Zlib", ["zlib-grant", "zlib-origin"], "permissive"),
+    ("BSL-1.0", ["bsl-title"], "permissive"), ("BSL-1.0", ["bsl-grant"], "permissive"),
+    ("EPL-2.0", ["epl-2-title"], "copyleft"), ("EPL-2.0", ["epl-2-header"], "copyleft"), ("EPL-1.0", ["epl-1-title"], "copyleft"),
 ]
 
 #: Licence -> (class, names in a notice such as "this file is licensed under the ...", identifiers of SPDX).
@@ -108,6 +118,16 @@ NAMES: dict[str, tuple[str, list[str], list[str]]] = {
     "CC-BY-SA-4.0": ("copyleft", ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"], ["CC-BY-SA-4.0"]),
     "CC-BY-4.0": ("permissive", ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"], ["CC-BY-4.0"]),
     "Unlicense": ("permissive", ["Unlicense"], ["Unlicense"]),
+    **{
+        f"CC-{short}-{version}": (kind, [f"CC {short} {version}", *[f"Creative Commons {long} {version} {place} License" for place in places], f"Creative Commons {long} {version} License"], [f"CC-{short}-{version}"])
+        for short, long, kind in (("BY-NC", "Attribution-NonCommercial", "noncommercial"), ("BY-SA", "Attribution-ShareAlike", "copyleft"), ("BY-ND", "Attribution-NoDerivatives", "reserved"), ("BY", "Attribution", "permissive"))
+        for version, places in (("4.0", ("International",)), ("3.0", ("Unported", "International")), ("2.5", ("Generic",)), ("2.0", ("Generic",)))
+        if (short, version) not in (("BY-NC", "4.0"), ("BY-SA", "4.0"), ("BY", "4.0"))
+    },
+    "Zlib": ("permissive", ["zlib License", "zlib/libpng License"], ["Zlib", "zlib-acknowledgement"]),
+    "EPL-2.0": ("copyleft", ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "EPL 2.0"], ["EPL-2.0"]),
+    "EPL-1.0": ("copyleft", ["Eclipse Public License 1.0", "Eclipse Public License, Version 1.0", "Eclipse Public License v1.0", "EPL 1.0"], ["EPL-1.0"]),
+    "BSL-1.0": ("permissive", ["Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License - Version 1.0"], ["BSL-1.0"]),
 }
 
 

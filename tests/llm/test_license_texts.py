@@ -2,6 +2,7 @@
 
 import re
 import textwrap
+import time
 
 import pytest
 
@@ -82,6 +83,12 @@ NOTICES = {
     "Not one of these is released under the MIT License by us.": None,
     "licensed under the\n\nMIT License": None,
     "Released under the MIT License\nas a line of its own": "MIT",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+    "Licensed under CC BY 3.0": "CC-BY-3.0",
+    "This library is licensed under the zlib License.": "Zlib",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This program is made available under the terms of the Eclipse Public License 2.0": "EPL-2.0",
 }
 
 
@@ -116,6 +123,80 @@ def test_notices(spark):
     assert dict(zip(NOTICES, _found(spark, list(NOTICES)), strict=True)) == NOTICES
 
 
+def _licences(spark, text):
+    return licenses.recognize_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().licenses
+
+
+def test_expressions_of_several_licences(spark):
+    assert _licences(spark, "SPDX-License-Identifier: MIT OR Apache-2.0") == ["MIT", "Apache-2.0"]
+    assert _licences(spark, "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause\nint x;") == ["BSD-3-Clause", "GPL-2.0"]
+    assert _licences(spark, "SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0"]
+    assert _licences(spark, "Licensed under either of Apache License, Version 2.0\nor MIT license\nat your option.") == ["MIT", "Apache-2.0"]
+
+
+def test_rules_that_say_less_yield(spark):
+    assert _licences(spark, BSD) == ["BSD-3-Clause"] and _licences(spark, BSD_2) == ["BSD-2-Clause"]
+    assert _licences(spark, "Copyright 2020 Some One.\nAll rights reserved.") == ["Proprietary"]
+
+
+def test_many_notices_in_one_file_take_linear_time(spark):
+    """Five megabytes of the same notices, none of which ends a rule."""
+    notice = "Copyright (c) Some One.\nAll rights reserved.\n\n" + BSD_2.split("are met:\n")[1].split("THIS SOFTWARE")[0]
+    seconds = []
+    for n in (1, 10_000):
+        began = time.time()
+        assert _licences(spark, notice * n) == ["BSD-2-Clause"]
+        seconds.append(time.time() - began)
+    assert len(notice) * 10_000 > 3.8e6 and seconds[1] < seconds[0] + 40
+
+
+def plain_licences(text):
+    """sentence_ids and licences by a plain program: the same cuts, looked up in a dictionary."""
+    plain = lambda t: re.sub("[^a-z0-9]+", " ", t).strip()
+    openings = {tuple(s.split()[: licenses.OPENING]) for s in licenses.ALL_SENTENCES if len(s.split()) >= licenses.LONG}
+
+    def unit(words):
+        s = " ".join(words)
+        if s in licenses.ALL_SENTENCES:
+            return [licenses.ALL_SENTENCES[s]]
+        m = re.match(licenses.NOTICE, s)
+        if not m:
+            return []
+        rest = re.sub("^ ?(the )?", "", s[m.end() :]).removesuffix(" at your option").strip()
+        return [licenses.NOTICE_NAMES[p] for p in re.split(licenses.JOINED, rest) if p in licenses.NOTICE_NAMES]
+
+    def cut(piece):
+        words = plain(piece).split()
+        cuts = [0, *[i for i in range(1, len(words)) if tuple(words[i : i + licenses.OPENING]) in openings and i + licenses.OPENING < len(words)], len(words)]
+        return [i for a, b in zip(cuts, cuts[1:]) for i in unit(words[a:b])]
+
+    whole = lambda piece: unit(plain(piece).split())
+    by_line = lambda of, sentence: [i for line in sentence.split("\n") for i in of(line)] if "\n" in sentence else []
+
+    ids = []
+    for paragraph in re.split(r"\n(?:[^a-z0-9\n]*\n)+", re.sub("\r\n?", "\n", (text or "").lower())):
+        for sentence in re.split(licenses.SENTENCE_END, paragraph):
+            ids += max(whole(sentence) or cut(sentence), max(by_line(whole, sentence), by_line(cut, sentence), key=len), key=len)
+    found = []
+    for name, wanted, _ in licenses.ALL_RULES:
+        at = iter(ids)
+        if name not in found and all(w in at for w in wanted):
+            found.append(name)
+    return ids, [n for n in found if not licenses.YIELDS.get(n, set()) & set(found)]
+
+
+def test_names_of_notices_are_not_cut():
+    assert [n for n in licenses.NOTICE_NAMES if len(re.split(licenses.JOINED, n)) > 1] == []
+
+
+def test_whole_table_and_wrapped_texts_against_a_plain_program(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    mixed = [_lines(x + "\n\n" + y, w) for x in TEXTS.values() for y in NOTICES for w in (30, 72)]
+    docs |= {10**6 + i: t for i, t in enumerate([*TEXTS.values(), *NOTICES, *mixed])}
+    rows = licenses.recognize_licenses(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.sentence_ids, r.licenses) for r in rows} == {i: plain_licences(t) for i, t in docs.items()}
+
+
 def test_same_as_sql_where_lines_are_not_wrapped(spark):
     import duckdb
 
