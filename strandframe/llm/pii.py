@@ -4,10 +4,13 @@ Protected entities are e-mail addresses, IP addresses, card and phone numbers, f
 term reveals an entity is estimated from the corpus: with n(e), n(t) documents that hold the entity and the term, n(e, t)
 that hold the term near the entity, and N documents in all, the pointwise mutual information log2(N n(e, t) / (n(e) n(t)))
 relative to the entity's information log2(N / n(e)) is 1 where the term occurs with that entity alone and 0 where they are
-independent. Copies of one passage are no evidence, so different surroundings are counted: a pair with fewer than
-`min_contexts` is shrunk by as many imagined documents that hold the term away from the entity for each one missing, and
-counts only if no real document does so. Terms at or above `remove_at` are removed wherever they occur; those at or above
-`generalize_at` are generalised to the kind of entity that they reveal most, such as [EMAIL TERM].
+independent. How much such a ratio is worth does not depend on N but on how often it has been seen: a term is looked at because
+it stood near the entity once, so that sighting proves nothing, and only further ones do. With c different surroundings of the
+pair (copies of one passage are one) and m documents that hold the term elsewhere, the evidence is
+(c - 1 + p) / (c + m), where p is the share of all pairs of the corpus that recur, under one half. One sighting therefore has
+evidence p and never suffices, at any N. Terms whose ratio is at least `remove_at` and whose evidence at least `remove_evidence`
+are removed wherever they occur; those at or above `generalize_at` and `generalize_evidence` are generalised to the kind of
+entity that they reveal most, such as [EMAIL TERM].
 
 Only words near entities are shuffled, with counts added up before the exchange; texts are not. Chosen terms are broadcast
 where they number at most `max_broadcast_terms`; beyond that they meet the texts by a join.
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +49,6 @@ _TERM = re.compile(r"[^\W\d_]{4,}")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]
-#: More than there are documents.
-_AWAY = 1 << 44
 
 
 def _emails(text: str) -> list[Span]:
@@ -131,40 +131,28 @@ def _surroundings(text: str, span: Span, starts: list[int], ends: list[int], rea
 
 def _co_occurrences(df: DataFrame, text: str, reach: int) -> DataFrame:
     """entity, kind, term, context, first: once for each document, entity, term near it and surroundings; first is 1 for one of these
-    of each document, entity and term, else 0. A null term stands for the entity itself; a null entity, once for each document
-    and term, for any entity, and with first far over the number of documents for terms that a task saw away from all entities."""
+    of each document, entity and term, else 0. A null term stands for the entity itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        near_in: Counter[str] = Counter()
         names = ["entity", "kind", "term", "context", "first"]
         for batch in batches:
             entities, kinds, terms, contexts, firsts = [], [], [], [], []
             for value in batch.column(0):
                 t = value.as_py()
-                held.update(_terms_of(t or ""))
                 spans = base_spans(t)
                 starts, ends = _joined(spans)
                 seen: set[tuple[int, str | None]] = set()
                 met: set[tuple[int, int]] = set()
-                near_any: set[str] = set()
                 for span in spans:
                     entity = _entity(t, span)
                     context, near = _surroundings(t, span, starts, ends, reach)
                     if (entity, context) in met:
                         continue
                     met.add((entity, context))
-                    near_any |= near
                     for term in (None, *near):
                         entities.append(entity), kinds.append(span[0]), terms.append(term), contexts.append(context), firsts.append(int((entity, term) not in seen))
                         seen.add((entity, term))
-                near_in.update(near_any)
-                for term in near_any:
-                    entities.append(None), kinds.append(None), terms.append(term), contexts.append(None), firsts.append(1)
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64())], names)
-        away = [term for term, n in near_in.items() if held[term] > n]
-        none = pa.nulls(len(away), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(away, pa.string()), none, pa.array([_AWAY] * len(away), pa.int64())], names)
 
     return df.select(text).mapInArrow(tidy(run), "entity long, kind int, term string, context long, first long")
 
@@ -200,32 +188,38 @@ def _document_counts(df: DataFrame, terms: DataFrame, text: str, broadcast: bool
     return summed.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(df: DataFrame, text: str = "text", reach: int = 80, min_contexts: int = 3, generalize_at: float = 0.8, remove_at: float = 0.95, max_broadcast_terms: int = 1_000_000) -> DataFrame:
-    """term, disclosure (the greatest over entities, 0 to 1), kind (of the entity that it reveals most) and action (`remove` or
-    `generalize`), of the whole corpus."""
+def disclosing_terms(
+    df: DataFrame, text: str = "text", reach: int = 80, generalize_at: float = 0.8, remove_at: float = 0.95,
+    generalize_evidence: float = 1 / 2, remove_evidence: float = 2 / 3, max_broadcast_terms: int = 1_000_000,
+) -> DataFrame:
+    """term, disclosure (the ratio, 0 to 1, for the entity that it reveals most), evidence, kind (of that entity) and action (`remove`
+    or `generalize`), of the whole corpus."""
+    if min(generalize_evidence, remove_evidence) < 1 / 2:
+        raise ValueError("evidence under one half would let a single sighting decide")
     pairs = _co_occurrences(df, text, reach).groupBy("entity", "kind", "term", "context").agg(F.sum("first").alias("n"))
     pairs = durable(pairs.groupBy("entity", "kind", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts")))
     entities = pairs.where("term IS NULL").select("entity", F.col("n_et").alias("n_e"))
-    anywhere = pairs.where("entity IS NULL").select("term", F.col("n_et").alias("n_any"))
-    # With little evidence a term must occur with its entity alone, so also not near another one elsewhere; most words do.
-    likely = (F.col("contexts") >= min_contexts) | (F.col("n_any") == F.col("n_et"))
-    candidates = durable(pairs.where("entity IS NOT NULL AND term IS NOT NULL").join(anywhere, "term").where(likely).drop("n_any"))
+    near = pairs.where("entity IS NOT NULL AND term IS NOT NULL")
+    recurring = near.agg(F.try_divide(F.count_if(F.col("contexts") > 1), F.count("*"))).first()[0] or 0.0
+    prior = min(recurring, 0.499)
+    evidence = lambda away: (F.col("contexts") - 1 + prior) / (F.col("contexts") + away)
+    # Documents elsewhere only lower the evidence: what is too little without any is not counted.
+    candidates = durable(near.where(evidence(F.lit(0)) >= min(generalize_evidence, remove_evidence)))
     terms = candidates.select("term").distinct()
     broadcast = terms.count() <= max_broadcast_terms
     total = df.count()
     counted = candidates.join(entities, "entity").join(_document_counts(df, terms, text, broadcast), "term")
-    missing = F.greatest(F.lit(0), F.lit(min_contexts) - F.col("contexts"))
     log2 = lambda c: F.log2(c.cast("double"))
     information = F.lit(float(total)).cast("double")
-    ratio = F.try_divide(
-        log2(information * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + missing))),
-        log2(information / F.col("n_e")),
-    )
-    counted = counted.where((missing == 0) | (F.col("n_t") == F.col("n_et"))).withColumn("r", F.least(F.lit(1.0), ratio))
-    strongest = counted.groupBy("term").agg(F.max(F.struct("r", (-F.col("kind")).alias("k"))).alias("m")).where(F.col("m.r") >= generalize_at)
+    ratio = F.try_divide(log2(information * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), log2(information / F.col("n_e")))
+    counted = counted.withColumns({"r": F.least(F.lit(1.0), ratio), "evidence": evidence(F.col("n_t") - F.col("n_et"))})
+    removed = (F.col("r") >= remove_at) & (F.col("evidence") >= remove_evidence)
+    revealed = (F.col("r") >= generalize_at) & (F.col("evidence") >= generalize_evidence)
+    acted = counted.withColumn("act", F.when(removed, 2).when(revealed, 1)).where("act IS NOT NULL")
+    strongest = acted.groupBy("term").agg(F.max(F.struct("act", "r", (-F.col("kind")).alias("k"), "evidence")).alias("m"))
     kind = F.array(*[F.lit(k) for k in BASE_KINDS])[(-F.col("m.k")).cast("int")]
-    action = F.when(F.col("m.r") >= remove_at, "remove").otherwise("generalize")
-    return durable(strongest.select("term", F.col("m.r").alias("disclosure"), kind.alias("kind"), action.alias("action")))
+    action = F.when(F.col("m.act") == 2, "remove").otherwise("generalize")
+    return durable(strongest.select("term", F.col("m.r").alias("disclosure"), F.col("m.evidence").alias("evidence"), kind.alias("kind"), action.alias("action")))
 
 
 #: What each kind of a chosen term (4: removed, 5 and more: generalised, by the entity's kind) is replaced by.

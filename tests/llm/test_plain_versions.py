@@ -195,7 +195,7 @@ def test_a_text_that_changes_half_way(spark):
 # --- personal data ------------------------------------------------------------------------------------------------------------
 
 
-def _chosen(texts, reach=80, min_contexts=3, generalize_at=0.8, remove_at=0.95):
+def _chosen(texts, reach=80, generalize_at=0.8, remove_at=0.95):
     n_e, n_et, contexts = Counter(), Counter(), defaultdict(set)
     term = re.compile(r"[^\W\d_]{4,}")
     for t in texts:
@@ -219,14 +219,16 @@ def _chosen(texts, reach=80, min_contexts=3, generalize_at=0.8, remove_at=0.95):
                 contexts[kind, value, w].add(re.sub(r"\s+", " ", around.lower()).strip())
         n_e.update(met), n_et.update(pairs)
     n_t = Counter(w for t in texts for w in set(term.findall((t or "").lower())))
-    best = {}
+    best, prior = {}, min(0.499, sum(len(c) > 1 for c in contexts.values()) / max(1, len(contexts)))
     for (kind, value, w), n in n_et.items():
-        missing = max(0, min_contexts - len(contexts[kind, value, w]))
-        if (missing and n_t[w] != n) or n_e[kind, value] == len(texts):
+        c = len(contexts[kind, value, w])
+        evidence = (c - 1 + prior) / (c + n_t[w] - n)
+        if n_e[kind, value] == len(texts):
             continue
-        r = math.log2(len(texts) * n / (n_e[kind, value] * (n_t[w] + missing))) / math.log2(len(texts) / n_e[kind, value])
-        best[w] = max(best.get(w, (-9, 0)), (min(1.0, r), -list(brute.BASE).index(kind)))
-    return {w: ("remove" if r >= remove_at else "generalize", list(brute.BASE)[-k]) for w, (r, k) in best.items() if r >= generalize_at}
+        r = min(1.0, math.log2(len(texts) * n / (n_e[kind, value] * n_t[w])) / math.log2(len(texts) / n_e[kind, value]))
+        act = 2 if r >= remove_at and evidence >= 2 / 3 else 1 if r >= generalize_at and evidence >= 1 / 2 else 0
+        best[w] = max(best.get(w, (0, -9, 0)), (act, r, -list(brute.BASE).index(kind)))
+    return {w: ("remove" if act == 2 else "generalize", list(brute.BASE)[-k]) for w, (act, r, k) in best.items() if act}
 
 
 def test_disclosing_terms_from_a_plain_corpus_loop(spark):
@@ -235,6 +237,7 @@ def test_disclosing_terms_from_a_plain_corpus_loop(spark):
     filler = lambda: " ".join(r.choice(["meeting", "about", "budget", "river", "please", "of", "the"]) for _ in range(r.randrange(3, 9)))
     texts = [f"{filler()} {r.choice(names[:2])} at {r.choice(['tor', 'bob'])}@mail.example {filler()}\n{filler()} {r.choice(names)}" for _ in range(40)]
     texts += [f"{filler()} call marbeck on +1 (555) 010-9999 {filler()}", f"server ashgrovehost 10.0.0.7 {filler()}", None, ""] + [filler() for _ in range(400)]
+    texts += [f"{filler()} ashgrovehost 10.0.0.7 {filler()}" for _ in range(3)] + [f"{filler()} vexley from 10.0.0.9 {filler()}" for _ in range(2)]
     found = pii.disclosing_terms(_frame(spark, [(t,) for t in texts], "text string")).collect()
     want = _chosen(texts)
     assert {x.term: (x.action, x.kind) for x in found} == want and len(want) >= 2
@@ -248,7 +251,7 @@ def test_disclosing_terms_from_a_plain_corpus_loop(spark):
 
 
 def test_generalised_terms_name_the_kind_they_reveal(spark):
-    texts = ["server ashgrovehost 10.0.0.7 is down"] + [f"nothing number {i} here" for i in range(3000)]
+    texts = ["server ashgrovehost 10.0.0.7 is down", "ashgrovehost rebooted 10.0.0.7 again"] + [f"nothing number {i} here" for i in range(3000)]
     rows = {x.doc_id: x.sanitized for x in pii.sanitize(_frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert rows[0].startswith("[IP TERM] [IP TERM] [IP] is [IP TERM]") or "[IP TERM] [IP]" in rows[0]
-    assert rows[1] == texts[1]
+    assert (rows[0], rows[1]) == ("server [IP TERM] [IP] is down", "[IP TERM] rebooted [IP] again")
+    assert rows[2] == texts[2]
