@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,51 +124,74 @@ def drawn_place(replicate: Column, place: Column, n: Column, seed: int) -> Colum
 
 
 def bootstrap_distances(alignment: DataFrame, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """replicate, id_a, id_b, distance over columns drawn with replacement; the draw follows from seed, replicate and place."""
-    letters = alignment.select("id", F.split("aligned", "").alias("letters"))
-    pairs = joins.self_pairs(letters, "id").withColumn("differ", F.zip_with("letters_a", "letters_b", lambda x, y: (x != y).cast("int")))
+    """replicate, id_a, id_b, distance over columns drawn with replacement; the draw follows from seed, replicate and place.
+
+    Each replicate is drawn once, as the number of times that each place comes up; a pair's distance is the sum over the places
+    where its two texts differ."""
     runs = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    drawn = pairs.select("id_a", "id_b", "differ", F.size("differ").alias("n"), runs)
-    places = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: drawn_place(F.col("replicate"), i, F.col("n"), seed))
-    differing = F.aggregate(places, F.lit(0), lambda t, p: t + F.get("differ", p.cast("int")))
-    return drawn.select("replicate", "id_a", "id_b", (differing / F.col("n")).alias("distance"))
-
-
-def _joined_tree(distances: dict[tuple[str, str], float], names: list[str]) -> tuple[str, set[frozenset[str]]]:
-    """(Newick text, leaf sets on the side without the first name) of a neighbour-joining tree."""
-    d = {n: {} for n in names}
-    for (a, b), x in distances.items():
-        d[a][b] = d[b][a] = x
-    text, leaves = {n: n for n in names}, {n: frozenset([n]) for n in names}
-    splits: set[frozenset[str]] = set()
-    live = list(names)
+    places = alignment.agg(F.max(F.length("aligned")).alias("n")).where("n > 0").select("n", runs).select("n", "replicate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    drawn = places.groupBy("replicate", drawn_place(F.col("replicate"), F.col("i"), F.col("n"), seed).cast("int").alias("place")).agg(F.count("*").alias("times"))
+    letters = alignment.select("id", F.split("aligned", "").alias("letters"))
+    pairs = joins.self_pairs(letters, "id").select("id_a", "id_b", F.size("letters_a").alias("n"), F.arrays_zip("letters_a", "letters_b").alias("both"))
+    differing = pairs.select("id_a", "id_b", F.posexplode("both").alias("place", "l")).where("l.letters_a <> l.letters_b")
+    sums = differing.join(drawn, "place").groupBy("replicate", "id_a", "id_b").agg(F.sum("times").alias("s"))
+    every = pairs.select("id_a", "id_b", "n", runs)
+    return every.join(sums, ["replicate", "id_a", "id_b"], "left").select("replicate", "id_a", "id_b", (F.coalesce("s", F.lit(0)) / F.col("n")).alias("distance"))
+
+
+def joined_tree(distance: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """Neighbour joining of n leaves, 0 to n - 1: (a, b, length of a's branch, length of b's) of each new node n, n + 1, ..., until
+    two nodes are left, which the last entry joins by one branch. The least sum decides; of equal ones the first pair, in an
+    order where leaves come before nodes."""
+    n = len(distance)
+    d, live, steps, new = distance.astype(np.float64).copy(), list(range(n)), [], n
     while len(live) > 2:
-        total = {a: sum(d[a][b] for b in live if b != a) for a in live}
-        n = len(live)
-        _, a, b = min(((n - 2) * d[a][b] - total[a] - total[b], a, b) for i, a in enumerate(live) for b in live[i + 1 :])
-        la = d[a][b] / 2 + (total[a] - total[b]) / (2 * (n - 2))
-        new = f"{a}|{b}"
-        text[new], leaves[new] = f"({text[a]}:{la:.6f},{text[b]}:{d[a][b] - la:.6f})", leaves[a] | leaves[b]
-        d[new] = {}
-        for c in live:
-            if c not in (a, b):
-                d[new][c] = d[c][new] = (d[a][c] + d[b][c] - d[a][b]) / 2
-        live = [c for c in live if c not in (a, b)] + [new]
-        side = leaves[new] if names[0] not in leaves[new] else frozenset(names) - leaves[new]
-        if 1 < len(side) < len(names) - 1:
+        m = len(live)
+        total = d.sum(axis=1)
+        q = (m - 2) * d - total[:, None] - total[None, :]
+        q[np.tril_indices(m)] = np.inf
+        i, j = divmod(int(q.argmin()), m)
+        of_i = d[i, j] / 2 + (total[i] - total[j]) / (2 * (m - 2))
+        steps.append((live[i], live[j], float(of_i), float(d[i, j] - of_i)))
+        rest = [k for k in range(m) if k not in (i, j)]
+        to_new = (d[i, rest] + d[j, rest] - d[i, j]) / 2
+        d = np.block([[d[np.ix_(rest, rest)], to_new[:, None]], [to_new[None, :], np.zeros((1, 1))]])
+        live = [live[k] for k in rest] + [new]
+        new += 1
+    if len(live) == 2:
+        steps.append((live[0], live[1], 0.0, float(d[0, 1])))
+    return steps
+
+
+def _tree_of(names: list[str], distances: np.ndarray) -> tuple[str, list[str]]:
+    """(Newick text, bipartitions as the sorted leaves of the side without the first name, joined by commas)."""
+    steps = joined_tree(distances)
+    text, leaves = dict(enumerate(names)), {i: 1 << i for i in range(len(names))}
+    whole, splits = (1 << len(names)) - 1, set()
+    for new, (a, b, of_a, of_b) in enumerate(steps, len(names)):
+        if new == len(names) + len(steps) - 1:
+            text[new] = f"({text[a]},{text[b]}:{of_b:.6f});"
+            break
+        text[new], leaves[new] = f"({text[a]}:{of_a:.6f},{text[b]}:{of_b:.6f})", leaves[a] | leaves[b]
+        side = whole & ~leaves[new] if leaves[new] & 1 else leaves[new]
+        if 1 < side.bit_count() < len(names) - 1:
             splits.add(side)
-    whole = f"({text[live[0]]},{text[live[1]]}:{d[live[0]][live[1]]:.6f});" if len(live) == 2 else f"{text[live[0]]};"
-    return whole, splits
+    newick = text[len(names) + len(steps) - 1] if steps else f"{names[0]};"
+    return newick, sorted(",".join(n for i, n in enumerate(names) if s >> i & 1) for s in splits)
 
 
 def neighbour_joining(distances: DataFrame) -> DataFrame:
     """replicate, tree (Newick) and splits (sorted leaves of each bipartition, joined by commas). Joining is sequential, so each
-    replicate is one group; its size is the square of the number of taxa."""
+    replicate is one group; its size is the square of the number of taxa. Replicates are dealt over the tasks."""
 
     def build(table: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*table["id_a"], *table["id_b"]})
-        tree, splits = _joined_tree({(a, b): x for a, b, x in zip(table["id_a"], table["id_b"], table["distance"], strict=True)}, names)
-        return pd.DataFrame({"replicate": [table["replicate"].iloc[0]], "tree": [tree], "splits": [sorted(",".join(sorted(s)) for s in splits)]})
+        number = {n: i for i, n in enumerate(names)}
+        a, b = table["id_a"].map(number).to_numpy(), table["id_b"].map(number).to_numpy()
+        d = np.zeros((len(names), len(names)))
+        d[a, b] = d[b, a] = table["distance"].to_numpy()
+        tree, splits = _tree_of(names, d)
+        return pd.DataFrame({"replicate": [table["replicate"].iloc[0]], "tree": [tree], "splits": [splits]})
 
     return distances.groupBy("replicate").applyInPandas(build, "replicate int, tree string, splits array<string>")
 
@@ -178,6 +202,46 @@ def split_support(trees: DataFrame) -> DataFrame:
     return trees.select(F.explode("splits").alias("split")).groupBy("split").agg((F.count("*") * 100.0 / max(total, 1)).alias("support"))
 
 
+def consensus_splits(trees: DataFrame, least: float = 50.0) -> DataFrame:
+    """split, support, size and parent of the bipartitions that more than `least` per cent of the trees have. Of such splits each two
+    are nested or disjoint, so the parent of one is the least that holds it; it is null under the root. least must be 50 or more.
+
+    A split meets others through a leaf that it shares with them: those that hold its first leaf."""
+    if least < 50:
+        raise ValueError("splits of half the trees or fewer may contradict each other")
+    kept = split_support(trees).where(F.col("support") > least).select("split", "support", F.split("split", ",").alias("leaves"))
+    sized = kept.withColumn("size", F.size("leaves"))
+    inner = sized.select("split", F.col("size").alias("own"), F.get("leaves", F.lit(0)).alias("leaf"))
+    outer = sized.select(F.col("split").alias("around"), F.col("size").alias("around_size"), F.explode("leaves").alias("leaf"))
+    parents = inner.join(outer, "leaf").where("around_size > own").groupBy("split").agg(F.min(F.struct("around_size", "around"))["around"].alias("parent"))
+    return sized.drop("leaves").join(parents, "split", "left")
+
+
+def newick(splits: Sequence[tuple[str, float, str | None]], names: Sequence[str]) -> str:
+    """Newick text of a consensus tree from (split, support, parent) and all leaves; support in per cent stands behind each node. Its
+    size is that of one tree."""
+    children: dict[str | None, list[str]] = {}
+    support = {s: x for s, x, _ in splits}
+    for split, _, parent in splits:
+        children.setdefault(parent, []).append(split)
+    inside = {s: set(s.split(",")) for s in support}
+
+    def write(node: str | None) -> str:
+        own = children.get(node, [])
+        below = {leaf for c in own for leaf in inside[c]}
+        parts = [*((min(inside[c]), write(c)) for c in own), *((leaf, leaf) for leaf in (set(names) if node is None else inside[node]) - below)]
+        text = ",".join(t for _, t in sorted(parts))
+        return f"({text}){support[node]:g}" if node is not None else f"({text})"
+
+    return f"{write(None)};"
+
+
+def consensus_tree(trees: DataFrame, names: DataFrame, name: str = "id", least: float = 50.0) -> str:
+    """The majority-rule tree of all replicates as Newick text with support."""
+    rows = [(r.split, r.support, r.parent) for r in consensus_splits(trees, least).collect()]  # fewer than there are leaves
+    return newick(rows, [r[0] for r in names.select(name).distinct().collect()])
+
+
 def merge_stockholm(lines: DataFrame, stem: Column) -> DataFrame:
     """Lines of Stockholm files (file, line, value) with a line that names the family by its stem after the first."""
     rest = lines.where(~((F.col("line") == 0) & F.col("value").startswith("# STOCKHOLM 1.0"))).select("file", "line", "value")

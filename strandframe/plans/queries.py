@@ -608,3 +608,11 @@ def bootstrap_distance(spark, d):
 @query()
 def nj_tree(spark, d):
     return composites.split_support(composites.neighbour_joining(bootstrap_distance(spark, d)))
+
+
+@query()
+def consensus_splits(spark, d):
+    """The nested splits of the majority of bootstrap trees, with their parents: trees are built in Python; held against a plain program
+    in the tests."""
+    trees = composites.neighbour_joining(bootstrap_distance(spark, d))
+    return composites.consensus_splits(trees).select("split", "support", "size", "parent")
