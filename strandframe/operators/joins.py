@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import durable
 from .aggregates import best_hit
 
 
@@ -54,22 +56,64 @@ def nearest_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key:
 
 def nearest_sorted(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, tie: str) -> DataFrame:
     """Each left row with its right row of the same key whose position is nearest, at any distance; ties go to the least `tie`. Left
-    rows without a partner go. Both sides are sorted by position, where the neighbours on either side are the only
-    candidates: a pass over the rows of a key each way, never pairs of them."""
+    rows without a partner go. Null keys have no partner.
+
+    Both sides are dealt over ranges of (key, position), so a key with most of the rows is spread; in a range the neighbours on
+    either side are found in one pass each way. Where a range begins or ends inside a key, the last partner of the ranges before
+    it and the first of those after it are carried over: a row for each range and key."""
     rest = [c for c in right.columns if c not in on]
     best = right.where(F.col(right_at).isNotNull()).groupBy(*on, F.col(right_at).alias("__at")).agg(F.min(F.struct(tie, *[c for c in rest if c != tie])).alias("__r"))
     rows = left.where(F.col(left_at).isNotNull())
     both = rows.select(*on, F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(best.schema["__r"].dataType).alias("__r")).unionByName(best.withColumn("__l", F.lit(None).cast(T.StructType(left.schema.fields))))
-    up_to_here = lambda order: Window.partitionBy(*on).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.where(functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on]))
+    # The ranges must not change when they are read again.
+    ranged = durable(both.repartitionByRange(*on, "__at").withColumn("__range", F.spark_partition_id()))
+    up_to_here = lambda order: Window.partitionBy("__range", *on).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = F.when(F.col("__r").isNotNull(), F.struct("__at", "__r"))
     # Both are growing frames, one in descending order: a frame that shrinks would be read anew for every row.
     before, after = (F.last(found, ignorenulls=True).over(up_to_here(o)) for o in (F.asc("__at"), F.desc("__at")))
-    met = both.withColumns({"__b": before, "__a": after}).where("__l IS NOT NULL AND (__b IS NOT NULL OR __a IS NOT NULL)")
+    # What other ranges of a key bring: their last and first partners, by the ranges' order.
+    ends = ranged.groupBy("__range", *on).agg(F.max(F.when(F.col("__r").isNotNull(), F.struct("__at", F.col(f"__r.{tie}").alias("t"), "__r"))).alias("z"), F.min(F.when(F.col("__r").isNotNull(), F.struct("__at", F.col(f"__r.{tie}").alias("t"), "__r"))).alias("y"))
+    of_key = Window.partitionBy(*on).orderBy("__range")
+    carried = ends.select(
+        "__range", *on,
+        F.last("z", ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)).alias("__z"),
+        F.first("y", ignorenulls=True).over(of_key.rowsBetween(1, Window.unboundedFollowing)).alias("__y"),
+    )
+    nearby = ranged.withColumns({"__b": before, "__a": after}).where("__l IS NOT NULL").join(carried, ["__range", *on])
+    nearby = nearby.withColumns({"__b": F.coalesce("__b", F.when(F.col("__z").isNotNull(), F.struct("__z.__at", "__z.__r"))), "__a": F.coalesce("__a", F.when(F.col("__y").isNotNull(), F.struct("__y.__at", "__y.__r")))})
+    met = nearby.where("__b IS NOT NULL OR __a IS NOT NULL")
     ranked = F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(f"{s}.__at")).alias("d"), F.col(f"{s}.__r.{tie}").alias("t"), F.col(f"{s}.__r").alias("r"))) for s in ("__b", "__a")])
     nearest = met.withColumn("__m", F.array_min(F.array_compact(ranked)))
     return nearest.select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], F.col("__m.d").alias("distance"), *[F.col(f"__m.r.{c}").alias(c) for c in rest])
 
 
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], finest: int = 10, levels: int = 22) -> DataFrame:
+    """Pairs of a left and a right row of the same key whose half-open ranges (start, end) share a place, at any length; columns of
+    both, whose names must differ except for `on`. Ranges that are empty or null share none.
+
+    A range lies in the least bin that holds it, in bins of 2^finest places and twice, four times, ... that. Two ranges that overlap
+    lie in one bin or in bins of which one holds the other, so a range meets those of its own bin, of the bins around it and of the
+    bins inside it, never the whole key. Each row is copied once for each of `levels` sizes."""
+
+    def binned(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        start, last = (F.col(ends[0]).cast("long"), F.col(ends[1]).cast("long") - 1)
+        known = df.where(F.col(ends[0]) < F.col(ends[1]))
+        bins = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.when(k < levels, F.call_function("shiftright", start, k + finest)).otherwise(0).alias("bin"), ((k == levels) | (F.call_function("shiftright", start, k + finest) == F.call_function("shiftright", last, k + finest))).alias("holds")))
+        return known.withColumn("__bins", F.filter(bins, lambda b: b["holds"])).withColumns({"__own": F.col("__bins")[0]})
+
+    def at(df: DataFrame, place: str | None) -> DataFrame:
+        """In its own bin, or (a list) in those around it."""
+        bin_ = F.col("__own") if place == "own" else F.explode(F.col("__bins") if place == "all" else F.slice("__bins", F.lit(2), F.lit(levels + 1)))
+        return df.withColumn("__bin", bin_).withColumns({"__level": F.col("__bin.level"), "__bin": F.col("__bin.bin")}).drop("__bins", "__own")
+
+    one, two = binned(left, left_range), binned(right, right_range)
+    keys = [*on, "__level", "__bin"]
+    shared = (F.col(left_range[0]) < F.col(right_range[1])) & (F.col(right_range[0]) < F.col(left_range[1]))
+    met = at(one, "own").join(at(two, "all"), keys).unionByName(at(one, "around").join(at(two, "own"), keys))
+    return met.where(shared).drop("__level", "__bin")
+
+
 def window_proximity(targets: DataFrame, features: DataFrame, on: Sequence[str], target: tuple[str, str], feature: tuple[str, str], reach: int, length: str | None = None, max_overlap: float | None = None) -> DataFrame:
     """Features that lie wholly within `reach` of a target of the same key, with side and gap. Features that overlap the target by
     more than max_overlap per cent of the hull are left out.

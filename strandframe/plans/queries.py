@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
-from ..operators import filters, joins, nested, sinks
+from ..operators import clustering, filters, joins, nested, sinks
 from ..session import shared_folder, table
 from ..sources import formats
 from . import composites
@@ -616,3 +616,25 @@ def consensus_splits(spark, d):
     in the tests."""
     trees = composites.neighbour_joining(bootstrap_distance(spark, d))
     return composites.consensus_splits(trees).select("split", "support", "size", "parent")
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round((least(a.p_size, b.p_size) + 20 - greatest(a.p_size, b.p_size)) * 100.0 / (greatest(a.p_size, b.p_size) + 20 - least(a.p_size, b.p_size)), 4) AS overlap,
+  CASE WHEN b.p_size < a.p_size THEN 'left' ELSE 'right' END AS side, (CASE WHEN b.p_size < a.p_size THEN a.p_size - b.p_size - 20 ELSE b.p_size - a.p_size - 20 END)::INTEGER AS gap
+  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) < 20""")
+def overlapping_pairs(spark, d):
+    """Parts of a brand and type whose ranges overlap, by bins."""
+    p = table(spark, d, "part").select("p_brand", "p_type", "p_partkey", "p_size")
+    one = p.select("p_brand", "p_type", F.col("p_partkey").alias("a"), F.col("p_size").alias("s"), (F.col("p_size") + 20).alias("e"))
+    two = p.select("p_brand", "p_type", F.col("p_partkey").alias("b"), F.col("p_size").alias("s2"), (F.col("p_size") + 20).alias("e2"))
+    met = joins.overlap_join(one, two, ["p_brand", "p_type"], ("s", "e"), ("s2", "e2"), finest=3).where("a < b")
+    s, e, s2, e2 = (F.col(c) for c in ("s", "e", "s2", "e2"))
+    return met.select("a", "b", _round(S.overlap_percent(s, e, s2, e2)).alias("overlap"), S.side(s, s2).alias("side"), S.signed_gap(s, e, s2, e2).alias("gap"))
+
+
+@query()
+def heat_clusters(spark, d):
+    """Brands clustered by their scaled prices in each type: merges in rounds, held against a plain program in the tests."""
+    scores = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.sum("p_retailprice").alias("t"))
+    scaled = A.minmax_scale(scores, ["p_type"], S.log10_eps(F.col("t")), "x")
+    merges = clustering.average_linkage(clustering.row_distances(scaled, "p_brand", "p_type", "x"))
+    return merges.select("a", "b", _round(F.col("height"), 9).alias("height"), "size", "round")
