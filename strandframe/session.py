@@ -45,6 +45,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read back. Unlike a checkpoint it leaves the optimizer nothing of the plan,
+    such as constraints, which grow from round to round in long loops."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package: once for each application."""
     context = spark.sparkContext
