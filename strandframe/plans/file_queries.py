@@ -329,3 +329,20 @@ def enrichment_of_rules(spark, d):
 def fuzzy_group_of_rules(spark, d):
     """Fuzzy groups with a threshold that no two names meet."""
     return composites.fuzzy_group(table(spark, d, "part").select("p_type", "p_name", "p_partkey"), ["p_type"], "p_name", "p_partkey", PART_RULES, threshold=1.01)
+
+
+def _positions(spark, d, *order) -> DataFrame:
+    """Parts in an order, each with its place: sorted parts are written side by side and their lines numbered."""
+    path = shared_folder(spark)
+    sinks.write_ordered(table(spark, d, "part"), path, order, _TEXT("p_partkey"))
+    return formats.numbered_lines(spark, path, of="folder").select("line", F.col("value").cast("long").alias("p_partkey"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1)::INTEGER AS line, p_partkey FROM part")
+def sort_asc(spark, d):
+    return _positions(spark, d, F.asc("p_retailprice"), F.asc("p_partkey"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY p_size DESC, p_name DESC, p_partkey) - 1)::INTEGER AS line, p_partkey FROM part")
+def sort_desc(spark, d):
+    return _positions(spark, d, F.desc("p_size"), F.desc("p_name"), F.asc("p_partkey"))
