@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
-from ..operators import joins, sinks
+from ..operators import joins, sinks, updates
 from ..session import shared_folder, table
-from ..sources import formats
+from ..sources import appending, formats
 from . import composites
 from .queries import PART_RULES, _case, _round, query
 
@@ -136,6 +136,46 @@ def append_with_header_once(spark, d):
     return formats.scan_csv(spark, path, "o_orderkey bigint, o_orderstatus string")
 
 
+@query("SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
+def append_batches_once(spark, d):
+    """Customers in two named batches, the first of which is sent twice and then once more with other rows."""
+    path, c = shared_folder(spark), table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    building = F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False))
+    for rows, batch in ((c.where(building), "building"), (c.where(~building), "others"), (c.where(building), "building"), (c, "building")):
+        appending.append_batch(rows, path, batch)
+    return appending.read_batches(spark, path, c.schema)
+
+
+@query("""SELECT o_custkey, first_order FROM (SELECT o_custkey, o_orderkey AS first_order, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F', o_orderkey) AS n FROM orders) WHERE n = 1""")
+def insert_batches_once(spark, d):
+    """A row for each customer with orders: the first finished order, for those without any their first order at all. Batches are sent twice."""
+    path, o = shared_folder(spark), table(spark, d, "orders")
+    rows = o.select("o_custkey", F.col("o_orderkey").alias("first_order"))
+    for batch, own in (("finished", o.o_orderstatus == "F"), ("all", F.lit(True))):
+        for _ in range(2):
+            appending.insert_batch(rows.where(own), path, batch, "o_custkey", [F.col("first_order")])
+    return appending.read_batches(spark, path, rows.schema)
+
+
+@query("""SELECT o_orderkey, CASE WHEN p IS NULL THEN o_totalprice ELSE p END AS o_totalprice, o_orderstatus FROM orders
+  LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS p FROM lineitem WHERE l_discount >= 0.1 GROUP BY 1) ON l_orderkey = o_orderkey""")
+def upsert_touched_buckets(spark, d):
+    """Orders in folders by key; those with lines of high discount get the greatest of these lines as their price."""
+    path = shared_folder(spark)
+    updates.write_buckets(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, "o_orderkey")
+    lines = table(spark, d, "lineitem").where("l_discount >= 0.1")
+    changes = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("o_totalprice"))
+    updates.upsert_buckets(changes, path, "o_orderkey", ["o_totalprice"])
+    return updates.read_buckets(spark, path)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+def skip_known_keys(spark, d):
+    """Lines of orders that are not among the finished ones, through a filter of their keys."""
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return updates.skip_known(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), done, ["l_orderkey"])
+
+
 @query("""SELECT p_partkey::VARCHAR AS "Query_ID", p_brand AS "Subject_ID", p_type AS "Accession", p_retailprice AS e_value, p_size AS "Alignment_Length"
   FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM part) WHERE n <= 899 AND p_size <> 7""")
 def scan_hit_csv(spark, d):
