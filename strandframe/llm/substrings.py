@@ -7,7 +7,9 @@ windows have equal anchors at equal places, and only suffixes at anchors (about
 1. Scan: the anchors of each text, each with the stretch of bytes that its windows cover. Stretches of one input batch that
    are equal, byte by byte, are settled there (the earliest stays), so a passage found everywhere sends one row a batch.
 2. Company: anchors are exchanged by the hash of their k-gram; those alone with it cannot repeat and are dropped. The hash
-   only saves work: k-grams that share one by accident part in step 4.
+   only saves work: k-grams that share one by accident part in step 4. Anchors of a k-gram that has CROWD of them in one
+   batch have company for sure: they are dealt over all tasks, and one mark a batch tells the other batches' anchors of it,
+   so a k-gram found everywhere sends at most CROWD rows a batch to one task.
 3. Suffixes: for the anchors left, the bytes from the anchor on and those before it are read from the texts.
 4. Order: sampled splitters range-partition the suffixes by their leading bytes and never part equal ones, so no match
    crosses a boundary unseen. In a bucket a multikey sort orders the suffixes to the right and the bytes before them to the
@@ -39,6 +41,8 @@ from .common import STEP_BYTES, SpanHasher, check_keep, durable, in_steps, mix64
 K = 32
 #: Suffixes that one step of a bucket takes, about.
 BUCKET_STEP = 50_000
+#: So many anchors of a k-gram in one batch do not wait for each other.
+CROWD = 16
 _PLACE_BITS = 28
 
 
@@ -130,8 +134,10 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarr
     return same
 
 
-#: code is 256 * before + after of an anchor; a range settled in its batch has the negative of its size there, and its start in at.
+#: code is 256 * before + after of an anchor, and _CROWDED more in a crowd; 0 is the mark that a batch has a crowd of this gram; a
+#: range settled in its batch has the negative of its size there, and its start in at.
 _MARKS = "gram long, id long, at int, code int"
+_CROWDED = 1 << 16
 
 
 def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, bits: int, batch_rows: int = 1 << 19) -> DataFrame:
@@ -158,8 +164,12 @@ def _scan(df: DataFrame, text: str, doc_id: str, length: int, k: int, bits: int,
         start, end, owner = _union((t["at"] - t["before"])[later], (t["at"] + t["after"])[later], t["id"][later])
         stay = np.ones(len(order), bool)
         stay[later] = False
-        code = 256 * t["before"] + t["after"]
-        columns = [np.concatenate([t["gram"][stay], mix64(owner.view(np.uint64)).view(np.int64)]), *(np.concatenate([x[stay], y]) for x, y in ((t["id"], owner), (t["at"], start), (code, start - end)))]
+        code = (256 * t["before"] + t["after"])[stay]
+        grams, of, many = np.unique(t["gram"][stay], return_inverse=True, return_counts=True)
+        crowds = grams[many >= CROWD]
+        code[many[of] >= CROWD] += _CROWDED
+        none = np.zeros(len(crowds), np.int64)
+        columns = [np.concatenate(c) for c in ((t["gram"][stay], mix64(owner.view(np.uint64)).view(np.int64), crowds), (t["id"][stay], owner, none), (t["at"][stay], start, none), (code, start - end, none))]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,14 +411,19 @@ def repeated_ranges(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     bring k-grams and stretches together; fewer only make more work."""
     if not k < length <= 255:
         raise ValueError("length must be over k and at most 255")
-    company = F.count("*").over(Window.partitionBy("gram"))
-    marked = durable(_scan(df, text, doc_id, length, k, bits).withColumn("n", company).where("n > 1 OR code < 0"))
+    crowded = F.col("code") >= _CROWDED
+    met = _scan(df, text, doc_id, length, k, bits).withColumn("meet", F.when(crowded, F.xxhash64("id", "at")).otherwise(F.col("gram")))
+    company = met.withColumn("n", F.count("*").over(Window.partitionBy("meet"))).where((F.col("code") != 0) & (crowded | (F.col("n") > 1) | (F.col("code") < 0)))
+    marked = durable(company.select("gram", "id", "at", F.when(crowded, F.col("code") - _CROWDED).otherwise(F.col("code")).alias("code")))
+    suffix = marked.where("code > 0")
+    crowds = durable(suffix.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram"))
+    hot_there = not crowds.isEmpty()
     found = marked.where("code < 0").select("id", F.col("at").alias("start"), (F.col("at") - F.col("code")).alias("end"))
     leading = lambda suffixes: suffixes.withColumns({"a": F.lit(0), "b": F.lit(k)}).withColumn("lead", _lead(F.col("a"), F.col("b")))
-    few = marked.where((F.col("code") >= 0) & (F.col("n") <= hot))
+    few = suffix.join(crowds, "gram", "left_anti") if hot_there else suffix
     found = found.union(_bucket_matches(leading(_suffixes(df, text, doc_id, few, length, broadcast_bytes)), length, k))
-    many = marked.where((F.col("code") >= 0) & (F.col("n") > hot))
-    if not many.isEmpty():
+    if hot_there:
+        many = suffix.join(crowds, "gram", "left_semi")
         fits, gone = _split_hot(leading(_suffixes(df, text, doc_id, many, length, broadcast_bytes)), length, hot)
         found = found.union(_bucket_matches(fits, length, k)).union(gone)
     return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).mapInArrow(tidy(_merged), "id long, packed binary")
