@@ -124,13 +124,25 @@ def compare_means(a: Column, b: Column) -> Column:
     return F.when(a > b, "first").when(b > a, "second").otherwise("equal")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place in the ascending order, from 0 and without gaps; nulls come first, the order of equal rows is open. Ranges
+    of the order are sorted side by side and begin where the ranges before them end, so no task holds the whole table; rows that
+    are equal in all of `order` lie in one range."""
+    # The ranges must not change when they are read again.
+    ranged = durable(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__inside") - 1).drop("__range", "__before", "__inside")
+
+
 def sankey(df: DataFrame, source: str, target: str, share: float, scope: Sequence[str]) -> DataFrame:
     """source, target, value of the links between two columns, rare targets joined as Other, with dense numbers for
     the nodes: sources first, then targets, each in alphabetical order."""
     links = share_bucket(group_size(df, [source, target], "value"), scope, target, "value", share)
     links = links.groupBy(source, target).agg(F.sum("value").alias("value"))
     nodes = links.select(F.lit(0).alias("side"), F.col(source).alias("label")).union(links.select(F.lit(1), target)).distinct()
-    numbered = nodes.withColumn("node", F.row_number().over(Window.orderBy("side", "label")) - 1)  # labels only: few rows
-    left = numbered.where("side = 0").select(F.col("label").alias(source), F.col("node").alias("source_id"))
-    right = numbered.where("side = 1").select(F.col("label").alias(target), F.col("node").alias("target_id"))
+    placed = numbered(nodes, ["side", "label"], "node").withColumn("node", F.col("node").cast("int"))
+    left = placed.where("side = 0").select(F.col("label").alias(source), F.col("node").alias("source_id"))
+    right = placed.where("side = 1").select(F.col("label").alias(target), F.col("node").alias("target_id"))
     return links.join(left, source).join(right, target).select("source_id", "target_id", source, target, "value")

@@ -469,6 +469,12 @@ def running_number(spark, d):
     return table(spark, d, "part").select("p_type", "p_brand", "p_partkey", n.cast("long").alias("n"))
 
 
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name NULLS FIRST, p_partkey NULLS FIRST) - 1 AS place FROM part")
+def number_rows(spark, d):
+    """The place of every part in the order of names, over sorted ranges."""
+    return A.numbered(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], "place")
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view') AND props IS NOT NULL")
 def type_in(spark, d):
     present = filters.conjunctive(table(spark, d, "events"), {}, {}, ["props"])

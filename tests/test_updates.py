@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.operators import updates
+from strandframe.operators import aggregates, updates
 from strandframe.sources import appending
 
 
@@ -40,6 +40,19 @@ def test_skip_known_needs_one_type(spark):
         updates.skip_known(spark.range(3), spark.range(3).selectExpr("cast(id as int) id"), ["id"])
 
 
+@pytest.mark.parametrize("rows", [0, 1, 400])
+def test_numbered_over_ranges(spark, rows):
+    draw = random.Random(rows)
+    data = [(draw.choice([None, *range(5)]), f"{draw.random()}") for _ in range(rows)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = aggregates.numbered(spark.createDataFrame(data, "a int, b string"), ["a", "b"], "n").orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [tuple(r) for r in got] == [(*r, i) for i, r in enumerate(want)]
+
+
 def _files(path):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*.parquet")}
 
