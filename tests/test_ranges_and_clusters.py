@@ -31,6 +31,43 @@ def test_bins_keep_a_key_apart(spark):
     assert met.count() == 4000 and met.where("i <> j").count() == 0
 
 
+def test_copies_in_bins_are_not_broadcast(spark):
+    """A row is copied for each size of bin, which Spark's estimate leaves out."""
+    rows = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("i"), F.col("id").alias("s"), (F.col("id") + 2).alias("e"))
+    met = joins.overlap_join(rows, rows.withColumnsRenamed({"i": "j", "s": "s2", "e": "e2"}), ["k"], ("s", "e"), ("s2", "e2"))
+    assert met.count() == 298 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("longest, pairs_a_task", [(1, 50), (3, 1 << 24), (256, 1 << 24)])
+def test_pairs_by_class_are_all_pairs(spark, longest, pairs_a_task):
+    r = random.Random(longest)
+    rows = [(r.choice("pq"), i // 2 if i < 20 else i, r.choice([1, 2, 30, None])) for i in range(120)] + [(None, 900, 1), (None, 901, 1), ("p", None, 1), ("p", None, 2)]
+    df = spark.createDataFrame(rows, "k string, i int, s int")
+    values = {"d": F.col("s_b") - F.col("s_a")}
+    got = joins.pairs_by_class(df, "i", ["k"], ["s"], values, longest=longest, pairs_a_task=pairs_a_task)
+    whole = [x for x in rows if x[0] and x[1] is not None]
+    want = [(x[1], y[1], None if None in (x[2], y[2]) else y[2] - x[2]) for x in whole for y in whole if x[0] == y[0] and x[1] < y[1]]
+    some = lambda rows: sorted(rows, key=str)
+    assert some(map(tuple, got.collect())) == some(want) and got.columns == ["i_a", "i_b", "d"]
+    near = joins.pairs_by_class(df, "i", ["k"], ["s"], values, lambda x, y: x.join(y, ["k"]).where("abs(s_a - s_b) < 5"), longest)
+    assert some(map(tuple, near.collect())) == some(x for x in want if x[2] is not None and abs(x[2]) < 5)
+
+
+def test_values_are_found_once_for_two_classes(spark):
+    """1,000 rows of two classes: as many values as pairs of classes, and tasks by the number of pairs."""
+    df = spark.range(1000).select(F.lit("k").alias("k"), "id", (F.col("id") % 2).alias("s"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x, y):
+        seen.add(1)
+        return x + y
+
+    pairs = joins.pairs_by_class(df, "id", ["k"], ["s"], {"v": counted("s_a", "s_b")}, longest=1000, pairs_a_task=100_000)
+    assert pairs.count() == 1000 * 999 // 2 and pairs.groupBy("v").count().count() == 3 and seen.value <= 2 * 4
+    assert pairs.rdd.getNumPartitions() == 10
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 40])
 def test_nearest_over_ranges_of_a_hot_key(spark, ranges):
     """Nine tenths of the rows have one key; partners lie in other ranges."""
