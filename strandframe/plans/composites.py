@@ -88,11 +88,15 @@ def locate_hits(segments: DataFrame) -> DataFrame:
 
 
 def pair_regulators(genes: DataFrame, max_distance: int = 1000, main: str = "MAIN_GENE", other: str = "REGULATOR") -> DataFrame:
-    """Each main gene with the nearest regulator of its file and contig by midpoint; the first in the file among equals. In order."""
+    """Each main gene with the nearest regulator of its file and contig by midpoint; the first in the file among equals. In order.
+
+    The nearest is found once for each midpoint of main genes, over sorted ranges, so genes crowded on a contig are not paired."""
     middle = genes.where("reject IS NULL").withColumn("mid", S.midpoint(F.col("start"), F.col("end")))
     left = middle.where(F.col("kind") == main).select("file", "contig", F.col("ordinal").alias("m_ordinal"), F.col("mid").alias("m_mid"), F.col("seq").alias("m_seq"))
     right = middle.where(F.col("kind") == other).select("file", "contig", F.col("ordinal").alias("r_ordinal"), F.col("mid").alias("r_mid"), F.col("seq").alias("r_seq"))
-    return joins.nearest_join(left, right, ["file", "contig"], ["m_ordinal", "m_mid", "m_seq"], F.abs(F.col("m_mid") - F.col("r_mid")), ["r_ordinal"], max_distance, ("m_mid", "r_mid", max_distance)).orderBy("file", "m_ordinal")
+    at = ["file", "contig", "m_mid"]
+    near = joins.nearest_sorted(left.select(*at).distinct(), right, ["file", "contig"], "m_mid", "r_mid", "r_ordinal").where(F.col("distance") <= max_distance)
+    return left.join(near, at).select("file", "contig", "m_ordinal", "m_mid", "m_seq", "distance", "r_ordinal", "r_mid", "r_seq").orderBy("file", "m_ordinal")
 
 
 def nearest_flanks(targets: DataFrame, flanks: DataFrame) -> DataFrame:

@@ -167,6 +167,21 @@ def test_several_files_are_kept_apart(spark, tmp_path):
     assert [(r.file[-8:], r.m_ordinal, r.r_ordinal, r.distance) for r in pairs] == [("g1.fasta", 0, 1, 25), ("g2.fasta", 0, 1, 26)]
 
 
+def test_crowded_genes_are_not_paired(spark):
+    """Main genes and regulators of one contig on a few midpoints: every join makes fewer rows than pairs."""
+    r = random.Random(5)
+    rows = [("f", r.choice(["c", "c", "c", "d", None]), i, r.choice(["MAIN_GENE", "REGULATOR"]), 2 * r.randrange(8), None if r.random() < 0.9 else "bad") for i in range(600)]
+    genes = spark.createDataFrame(rows, "file string, contig string, ordinal int, kind string, start int, reject string").withColumns({"end": F.col("start") + 3, "seq": F.concat(F.lit("S"), "ordinal")})
+    pairs = composites.pair_regulators(genes, 2)
+    fine = [x for x in rows if x[1] and not x[5]]
+    want = []
+    for m in (x for x in fine if x[3] == "MAIN_GENE"):
+        near = [(abs(m[4] - x[4]), x[2]) for x in fine if x[3] == "REGULATOR" and x[1] == m[1] and abs(m[4] - x[4]) <= 2]
+        want += [(m[2], f"S{m[2]}", *min(near), f"S{min(near)[1]}")] if near else []
+    assert [(x.m_ordinal, x.m_seq, x.distance, x.r_ordinal, x.r_seq) for x in pairs.collect()] == want and len(want) > 100
+    assert "__band" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_totals_join_null_scopes_and_empty_tables(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "f string, v double")
     assert sorted((r.f or "", r.x) for r in aggregates.minmax_scale(df, ["f"], F.col("v"), "x").collect()) == [("", 0.0), ("", 1.0), ("a", 0.0)]
