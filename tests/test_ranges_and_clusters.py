@@ -4,6 +4,7 @@ import math
 import random
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,21 @@ def test_values_are_found_once_for_two_classes(spark):
     assert pairs.rdd.getNumPartitions() == 10
 
 
+@pytest.mark.parametrize("name", ["overlap_pct"])
+def test_pairs_of_a_large_block_go_to_all_tasks(spark, tmp_path, name):
+    """A block of 2,000 rows is a few KB in one file; its two million pairs are more than one task's."""
+    sizes = F.when(F.col("id") % 90 == 0, None).otherwise(F.col("id") % 50 + 1).cast("int")
+    block = lambda n, brand: spark.range(n).select(F.col("id").alias("p_partkey"), F.lit(brand).alias("p_brand"), F.lit("t").alias("p_type"), sizes.alias("p_size"))
+    block(2000, "x").unionByName(block(30, None)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got.write.parquet(f"{tmp_path}/got")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'; CREATE VIEW got AS SELECT * FROM '{tmp_path}/got/*.parquet'; CREATE TABLE want AS {queries.ORACLE_SQL[name]}")
+    differ = "SELECT (SELECT count(*) FROM (FROM got EXCEPT ALL FROM want)), (SELECT count(*) FROM (FROM want EXCEPT ALL FROM got)), (SELECT count(*) FROM got)"
+    assert con.execute(differ).fetchone() == (0, 0, 2000 * 1999 // 2)
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 40])
 def test_nearest_over_ranges_of_a_hot_key(spark, ranges):
     """Nine tenths of the rows have one key; partners lie in other ranges."""
