@@ -69,7 +69,7 @@ def test_values_are_found_once_for_two_classes(spark):
     assert pairs.rdd.getNumPartitions() == 10
 
 
-@pytest.mark.parametrize("name", ["overlap_pct"])
+@pytest.mark.parametrize("name", ["overlap_pct", "signed_gap"])
 def test_pairs_of_a_large_block_go_to_all_tasks(spark, tmp_path, name):
     """A block of 2,000 rows is a few KB in one file; its two million pairs are more than one task's."""
     sizes = F.when(F.col("id") % 90 == 0, None).otherwise(F.col("id") % 50 + 1).cast("int")
