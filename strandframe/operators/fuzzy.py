@@ -2,8 +2,9 @@
 
 A join of similar texts never compares all pairs. Texts that are as similar as the threshold asks share most of their pairs of
 letters (bigrams), so they share one among the rarest few of each: these alone are indexed, in one order of rareness. How many
-are needed follows from a text's length. Texts with too few different bigrams for that meet in bands of length. Every pair that
-meets is then scored.
+are needed follows from a text's length. Texts with too few different bigrams for that meet in bands of length. Texts so short
+that the threshold lets at most one edit meet by what one edit leaves: names made of few letters share bigrams widely. Every pair
+that meets is then scored.
 
 Greedy leaders are the texts that no earlier leader resembles. In the graph of similar pairs, a text without an earlier neighbour
 leads; what it resembles does not; both leave, and the next round begins. The order of texts alone decides, so the rounds end
@@ -52,8 +53,9 @@ def _met(left: DataFrame, right: DataFrame, on: Sequence[str], scope: Sequence[s
     return pairs.select(*scope, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _sharing_rare_tokens(texts: DataFrame, scope: Sequence[str], tokens: Column, lost: Column, factor: float) -> DataFrame:
-    """Pairs that may differ in no more than `lost` of their tokens, on either side, whose lengths differ by `factor` at most."""
+def _sharing_rare_tokens(texts: DataFrame, scope: Sequence[str], tokens: Column, lost: Column, factor: float, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs that may differ in no more than `lost` of their tokens, on either side, whose lengths differ by `factor` at most; only
+    those wanted by the length of the longer, but for pairs of texts with few tokens."""
     keys = [*scope, "text"]
     sized = texts.withColumns({"__tokens": tokens, "__lost": lost})
     order = Window.partitionBy(*keys).orderBy("n", "token")
@@ -61,6 +63,7 @@ def _sharing_rare_tokens(texts: DataFrame, scope: Sequence[str], tokens: Column,
     first = ranked.where(F.col("__place") <= F.col("__lost") + 1).select(*keys, F.length("low").alias("size"), "token")
     left, right = first.withColumnRenamed("text", "x"), first.withColumnsRenamed({"text": "y", "size": "size_y"})
     near = (F.col("x") < F.col("y")) & (F.greatest("size", "size_y") <= F.least("size", "size_y") * (factor + _EPS))
+    near = near & wanted(F.greatest("size", "size_y")) if wanted else near
     met = left.join(right, [*scope, "token"]).where(near).select(*scope, F.col("x").alias("a"), F.col("y").alias("b"))
     # Texts that could lose all their tokens: by bands of length, a band and the next.
     band = F.floor(F.log(F.greatest(F.length("low"), F.lit(1)).cast("double")) / math.log(max(factor, 1 + 1e-6))).cast("long")
@@ -69,11 +72,34 @@ def _sharing_rare_tokens(texts: DataFrame, scope: Sequence[str], tokens: Column,
     return met.unionByName(_met(weak, beside, [*scope, "band"], scope))
 
 
+def _one_edit_apart(texts: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Pairs of equal forms or of forms that one edit makes equal; `edits` tells whether a text may be edited.
+
+    Two forms of one length that differ in a place are equal with a mark there; of two others, the longer is the shorter with a
+    letter left out. As many texts meet at a form with a mark as there are letters."""
+    keys = [*scope, "text"]
+    low, places = F.col("low"), F.sequence(F.lit(1), F.length("low"))
+    without = lambda mark: F.transform(places, lambda i: F.concat(F.substring(low, F.lit(1), i - 1), F.lit(mark), F.substring(low, i + 1, F.length(low))))
+    may = lambda c: F.when(F.col("edits") > 0, c).otherwise(F.array().cast("array<string>"))
+    form = lambda c: F.xxhash64(c).alias("form")
+    marked = texts.select(*keys, F.explode(F.concat(F.array("low"), may(without(_MARK)))).alias("f")).select(*keys, form("f"))
+    left, right = marked.withColumnRenamed("text", "x"), marked.withColumnRenamed("text", "y")
+    met = left.join(right, [*scope, "form"]).where("x < y").select(*scope, F.col("x").alias("a"), F.col("y").alias("b"))
+    shorter = texts.select(*keys, F.explode(may(F.array_distinct(without("")))).alias("f")).select(*keys, form("f"))
+    return met.unionByName(_met(shorter, texts.select(*keys, form("low")), [*scope, "form"], scope))
+
+
 def _candidates_by_edits(texts: DataFrame, scope: Sequence[str], threshold: float) -> DataFrame:
+    edits = lambda size: F.floor((1 - threshold) * size + _EPS)
     # The longer text has size / threshold letters at most; an edit touches two bigrams.
-    longest = F.floor(F.length("low") / threshold + _EPS)
-    lost = _Q * F.floor((1 - threshold) * longest + _EPS)
-    return _sharing_rare_tokens(texts, scope, _bigrams(F.col("low")), lost, 1 / threshold)
+    lost = _Q * edits(F.floor(F.length("low") / threshold + _EPS))
+    own = texts.withColumn("edits", edits(F.length("low")))
+    one = _one_edit_apart(own.where("edits < 2"), scope)
+    # The longer of the other pairs may have more edits: scopes without such a text end here.
+    several = own.where(lost >= 2 * _Q)
+    if scope:
+        several = several.join(own.where("edits >= 2").select(*scope).distinct(), list(scope), "left_semi")
+    return one.unionByName(_sharing_rare_tokens(several, scope, _bigrams(F.col("low")), lost, 1 / threshold, lambda size: edits(size) >= 2))
 
 
 def _candidates_by_subsequence(texts: DataFrame, scope: Sequence[str], threshold: float, form: Column, padded: bool) -> DataFrame:

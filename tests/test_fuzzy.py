@@ -128,6 +128,24 @@ def test_similar_pairs_are_those_of_all_pairs(spark, scorer, threshold):
     assert want and got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.8, 1.0])
+def test_short_texts_of_few_letters(spark, threshold):
+    """Lengths on either side of one and of two edits; letters repeat, so that one edit can be had in several ways."""
+    r = random.Random(int(threshold * 10))
+    texts = {"".join(r.choice("01é" if r.random() < 0.2 else "0") for _ in range(r.choice([1, 2, 4, 5, 9, 10, 11, 18, 19, 20, 21, 22]))) for _ in range(160)} | {"Ab" * 5, "aB" * 5, "0\x000000000000", "00000000000000"}
+    got = {(x.a, x.b): x.score for x in fuzzy.similar_pairs(spark.createDataFrame([("k", t) for t in texts], "k string, text string"), ["k"], threshold).collect()}
+    want = {(a, b): s for a in texts for b in texts if a < b and (s := edit_score(a, b)) >= threshold}
+    assert want and got == pytest.approx(want)
+
+
+def test_numbers_meet_only_where_one_edit_lies_between(spark):
+    """3,000 names that share nearly all bigrams: about 54 others are one digit away, and no more meet."""
+    rows = spark.range(3000).select(F.lit("s").alias("scope"), F.format_string("Customer#%09d", "id").alias("text"))
+    low = rows.withColumn("low", F.lower("text"))
+    met, pairs = fuzzy._candidates_by_edits(low, ["scope"], 0.9), fuzzy.similar_pairs(rows, ["scope"], 0.9).count()
+    assert pairs == met.distinct().count() == sum(10 * 9 // 2 * 300 for _ in range(3)) + 1000 * 3
+
+
 def test_thresholds_without_an_exact_filter_raise(spark):
     df = spark.createDataFrame([("a",)], "text string")
     for threshold, scorer in ((0.89, "weighted"), (0, "edit"), (0.9, "other")):
